@@ -5,20 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
+from .decontaminate import contamination
 from .ngram_join import near_duplicates
 from .runtime import table
+from .topk import exact_topk
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_decontamination": op3_decontamination,
+    "op9_exact_topk": op9_exact_topk,
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": sql.NGRAM_JACCARD_JOIN,
+    "op3_decontamination": sql.DECONTAMINATION,
+    "op9_exact_topk": sql.EXACT_TOPK,
 }

@@ -17,3 +17,30 @@ m AS (SELECT node, min(root) AS root FROM c GROUP BY node)
 SELECT f.doc_id, CAST(f.n AS BIGINT) AS n_shingles, coalesce(m.root, f.doc_id) AS component_id
 FROM f LEFT JOIN r ON r.fp = f.fp AND f.n > 0 LEFT JOIN m ON m.node = r.rep
 """
+
+#: Words of ASCII letters, digits and all beyond ASCII, lower-cased; windows of 13 words (a shorter item is one).
+DECONTAMINATION = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+bw AS (SELECT item_id, least(len(ws), 13) AS k, ws, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS p FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS g FROM bw),
+dp AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM win) WHERE len(ws) >= k),
+dw AS (SELECT doc_id, k, p, array_to_string(ws[p:p + k - 1], ' ') AS g FROM dp),
+h AS (SELECT dw.doc_id, dw.k, dw.p, win.item_id FROM dw JOIN win ON dw.k = win.k AND dw.g = win.g),
+hw AS (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS p FROM h),
+n AS (SELECT doc_id, count(*) AS n_hit FROM hw GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+#: Components floored to multiples of 1/64; the 20 best others of each row whose id 20 divides.
+EXACT_TOPK = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
