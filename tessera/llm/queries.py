@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .bpe import decode, encode
 from .decontaminate import contamination
 from .ngram_join import near_duplicates
 from .runtime import table
@@ -30,6 +31,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(rank_file)
+    encoded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
 
@@ -37,6 +51,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_decontamination": op3_decontamination,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_topk": op9_exact_topk,
 }
 
