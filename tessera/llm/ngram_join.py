@@ -24,7 +24,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +35,13 @@ from .text_kernel import mix, text_sets
 #: Words in a shingle.
 WORDS = 5
 #: Size of the table of frequent shingles; it only orders shingles, results don't depend on it.
-FREQUENT = 65_536
+FREQUENT = 1 << 20
 #: Shingles among which a task counts at a time, and the count from which it reports one.
-COUNTED, REPORTED = 2_000_000, 3
+COUNTED, REPORTED = 2_000_000, 2
 #: Sets in an inverted list up to which it is merged into pairs.
 LONG_LIST = 64
+#: Bits of the filter for the texts that are compared.
+FILTER_BITS = 1 << 27
 #: Sets of a block that queries are searched against, and queries in a task's group.
 BLOCK, QUERIES = 256, 2_048
 
@@ -93,10 +94,28 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
-def _lists(known: np.ndarray, counts: np.ndarray, buckets: int):
+def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingles, at most FREQUENT, of the highest counts, and their counts."""
+    counted = written(counted, "counts")
+    size, least = 0, None
+    for r in counted.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        size += r.k
+        if size > FREQUENT:
+            break
+        least = r.n
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    top = counted.where(F.col("n") >= least).toArrow()
+    known, counts = top["id"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
+def _lists(table, buckets: int):
     """Deals the short lists' postings: one row for each bucket and stretch of texts, packed."""
 
     def rank(s: np.ndarray) -> np.ndarray:
+        known, counts = table.value
         at = np.searchsorted(known, s)
         at[at == len(known)] = 0
         return np.where(known[at] == s, counts[at], 0) if len(known) else np.zeros(len(s), np.int64)
@@ -228,38 +247,82 @@ def divide_skip(index: list[np.ndarray], queries: list[np.ndarray]) -> Iterator[
         yield near
 
 
-def _search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) between a group's queries and its index rows."""
-    sets = list(text_sets(pa.array(rows["text"], pa.large_string()), WORDS))
-    # where ids repeat, a node's id can bring other texts along; and equal rows bring a text twice
-    true = np.array([len(s) > 0 and fingerprint(s).view(np.int64) == x for s, x in zip(sets, rows["node"], strict=True)])
-    seen: set[tuple[int, int]] = set()
-    keep = []
-    for i in np.flatnonzero(true):
-        if (who := (rows["node"].iat[i], rows["role"].iat[i])) not in seen:
-            seen.add(who)
-            keep.append(i)
-    sets, rows = [sets[i] for i in keep], rows.iloc[keep]
-    node, role = rows["node"].to_numpy(), rows["role"].to_numpy()
-    at, ask = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-    a, b = [], []
-    for q, near in zip(ask, divide_skip([sets[i] for i in at], [sets[i] for i in ask]), strict=True):
-        for i in near:
-            if node[at[i]] != node[q]:
-                a.append(node[q])
-                b.append(node[at[i]])
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between each group's queries (role 1) and index rows (role 0), which come first."""
+    group, index, nodes, seen = None, [], [], set()
+    for batch in batches:
+        node, role = batch.column("node").to_numpy(), batch.column("role").to_numpy()
+        keys = list(zip(batch.column("g1").to_pylist(), batch.column("g2").to_pylist(), batch.column("g3").to_pylist(), strict=True))
+        a, b = [], []
+        asked: list[np.ndarray] = []
+        who: list[int] = []
+
+        def answer() -> None:
+            for q, near in zip(who, divide_skip(index, asked), strict=True):
+                for i in near:
+                    if nodes[i] != q:
+                        a.append(q)
+                        b.append(nodes[i])
+            asked.clear()
+            who.clear()
+
+        for i, s in enumerate(text_sets(batch.column("text"), WORDS)):
+            if keys[i] != group:
+                answer()
+                group, index, nodes, seen = keys[i], [], [], set()
+            # where ids repeat, a node's id can bring other texts along, and equal rows bring a text twice
+            me = (int(node[i]), int(role[i]))
+            if me in seen or not len(s) or fingerprint(s).view(np.int64) != node[i]:
+                continue
+            seen.add(me)
+            if role[i]:
+                asked.append(s)
+                who.append(me[0])
+            else:
+                index.append(s)
+                nodes.append(me[0])
+        answer()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _searched(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """groups(g1, g2, role, node): links between queries (role 1) and index rows (role 0) of a group."""
-    return groups.join(texts, "node").groupBy("g1", "g2").applyInPandas(_search, "a long, b long")
+    """groups(g1, g2, g3, role, node): links between queries (role 1) and index rows (role 0) of a group."""
+    parts = partitions(groups.sparkSession)
+    rows = groups.join(texts, "node").repartition(parts, "g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "role")
+    return rows.mapInArrow(_search, "a long, b long")
+
+
+def _chosen(bits: bytes):
+    """The rows whose filter bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            p = batch.column(2).to_numpy()
+            keep = pa.array((on[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+            yield batch.select([0, 1]).filter(keep)
+
+    return run
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted (node, doc_id). A bit filter of a fixed size spares most other texts the shuffle."""
+    spark = docs.sparkSession
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    held = wanted.select((bit + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    on = bytearray(FILTER_BITS // 8)
+    for r in held.toLocalIterator():
+        at = (r.k - 1) * 4096
+        on[at : at + 4096] = r.bits
+    shared = spark.sparkContext.broadcast(bytes(on))
+    kept = docs.where("doc_id is not null").select("doc_id", "text", bit.alias("p")).mapInArrow(_chosen(shared), "doc_id long, text string")
+    return kept.join(wanted, "doc_id").select("node", "text")
 
 
 def _tested(pairs: DataFrame) -> DataFrame:
     """pairs(a, b) as groups: b's in salted groups of their a."""
-    salted = pairs.select(F.col("a").alias("g1"), F.pmod(F.xxhash64("b"), F.lit(16)).alias("g2"), "b")
-    return salted.select("g1", "g2", F.lit(0).alias("role"), F.col("g1").alias("node")).distinct().union(salted.select("g1", "g2", F.lit(1), "b"))
+    salted = pairs.select(F.col("a").alias("g1"), F.pmod(F.xxhash64("b"), F.lit(16)).alias("g2"), F.lit(0).cast("long").alias("g3"), "b")
+    return salted.select("g1", "g2", "g3", F.lit(0).alias("role"), F.col("g1").alias("node")).distinct().union(salted.select("g1", "g2", "g3", F.lit(1), "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,36 +340,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     measured = written(docs.mapInArrow(_measure, "kind byte, id long, n long, fp long"), "sets")
     members = measured.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "fp")
-    top = measured.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
-    known = np.array([r.id for r in top], np.int64).view(np.uint64)
-    counts = np.array([r.n for r in top], np.int64)
-    order = np.argsort(known)
+    known, counts = _frequent(measured.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")))
 
     parts = partitions(spark)
-    dealt = docs.select("text").mapInArrow(_lists(known[order], counts[order], 4 * parts), "bucket long, packed binary")
+    dealt = docs.select("text").mapInArrow(_lists(spark.sparkContext.broadcast((known, counts)), 4 * parts), "bucket long, packed binary")
     merged = written(dealt.repartition(parts, "bucket").mapInArrow(_merge, "kind byte, a long, b long, shared long, m long, n long"), "lists")
     long = merged.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("node"), "n")
     any_long = not long.isEmpty()
 
     pairs = merged.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("m").alias("m"), F.max("n").alias("n"))
-    if any_long:
-        unmerged = long.groupBy("node").agg(F.count("*").alias("u"))
-        for side in ("a", "b"):
-            pairs = pairs.join(unmerged.select(F.col("node").alias(side), F.col("u").alias(f"u{side}")), side, "left")
-        more = F.least(F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0)))
-    else:
-        more = F.lit(0)
-    # what both sets' shingles beyond their short lists can add: the set whose last short list comes first has ceil(3n/4) - 1 of them
+    # what the shingles beyond the short lists can add: the set whose last short list comes first has ceil(3n/4) - 1 of them
     rest = F.ceil(3 * F.greatest("m", "n") / 4) - 1
-    pairs = pairs.where(F.col("shared") + more + rest >= F.ceil(3 * (F.col("m") + F.col("n")) / 7)).select("a", "b")
+    lack = F.ceil(3 * (F.col("m") + F.col("n")) / 7) - F.col("shared") - rest
+    pairs = written(pairs.select("a", "b", lack.alias("lack")), "pairs")
+    enough = pairs.where("lack <= 0").select("a", "b")
+    if any_long:  # lists that weren't merged may add what lacks, where both sets have some
+        for side in ("a", "b"):
+            pairs = pairs.join(long.groupBy(F.col("node").alias(side)).agg(F.count("*").alias(f"more_{side}")), side)
+        enough = enough.union(pairs.where("lack > 0 and lack <= least(more_a, more_b)").select("a", "b"))
+    pairs = enough
+
     reps = members.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))
     if any_long:
         wanted = wanted.union(long.select("node"))
     wanted = reps.join(wanted.distinct(), "fp", "left_semi").select(F.col("fp").alias("node"), "doc_id")
-    texts = docs.join(wanted, "doc_id").select("node", "text")
+    texts = written(_texts(docs, wanted), "texts")
     if any_long:
-        texts = written(texts, "texts")
         hubs = long.groupBy("tok").agg(F.min("node").alias("hub"))
         spokes = written(long.join(hubs, "tok").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "spokes")
         links = written(_searched(_tested(pairs.union(spokes.where("a <> b").select("a", "b")).distinct()), texts), "links")
@@ -319,7 +379,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ask = ask.withColumn("part", F.pmod(F.xxhash64("b", F.lit(1)), F.ceil(F.col("blocks") * BLOCK / QUERIES)))
         held = spokes.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
         held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("blocks") * BLOCK / QUERIES) - 1)))
-        group = lambda df, role: df.select("a", F.struct("block", "part").alias("g2"), F.lit(role).alias("role"), F.col("b").alias("node")).withColumnRenamed("a", "g1")
+        group = lambda df, role: df.select(F.col("a").alias("g1"), F.col("block").alias("g2"), F.col("part").alias("g3"), F.lit(role).alias("role"), F.col("b").alias("node"))
         more_links = written(_searched(group(held, 0).union(group(ask, 1)), texts), "links")
         links = links.union(more_links)
         roots = components(links)

@@ -17,6 +17,8 @@ def prepare(spark: SparkSession) -> None:
     env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # gives freed memory back
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", "262144")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
