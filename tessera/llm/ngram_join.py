@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import partitions, prepare, written
+from .runtime import partitions, prepare, sliced, written
 from .text_kernel import mix, text_sets
 
 #: Words in a shingle.
@@ -84,14 +84,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(s)
                 size += len(s)
             if size >= COUNTED:
-                yield frequent()
+                yield from sliced(frequent())
                 held, size = [], 0
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.zeros(len(ns), np.int8)), batch.column(0), pa.array(np.array(ns, np.int64)), pa.array(signed(np.array(fps, np.uint64)))],
             ["kind", "id", "n", "fp"],
         )
     if held:
-        yield frequent()
+        yield from sliced(frequent())
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -154,10 +154,10 @@ def _lists(table, buckets: int):
                 sets.append((fp, n, own))
                 size += own
                 if size >= COUNTED:
-                    yield packed()
+                    yield from sliced(packed(), 16)
                     toks, sets, size = [], [], 0
         if toks:
-            yield packed()
+            yield from sliced(packed(), 16)
 
     return run
 
@@ -179,8 +179,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cuts = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1, [len(tok)]])
     length = np.diff(cuts)
     long = np.repeat(length > LONG_LIST, length)
-    for a in range(0, int(long.sum()), 1 << 20):
-        at = np.flatnonzero(long)[a : a + (1 << 20)]
+    where = np.flatnonzero(long)
+    for a in range(0, len(where), 1 << 16):
+        at = where[a : a + (1 << 16)]
         yield _rows(1, signed(tok[at]), node[at], np.ones(len(at), np.int64), n[at], n[at])
     #: Pairs at a distance d in their list, for every d: all of them once, without a loop over lists.
     short = np.repeat(length <= LONG_LIST, length) & np.repeat(length > 1, length)
@@ -199,9 +200,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pairs[:, order]
         cuts = np.concatenate([[0], np.flatnonzero((pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])) + 1, [pairs.shape[1]]])
         shared, pairs = np.diff(cuts), pairs[:, cuts[:-1]]
-        for a in range(0, pairs.shape[1], 1 << 20):
-            p = pairs[:, a : a + (1 << 20)]
-            yield _rows(0, p[0], p[1], shared[a : a + (1 << 20)], p[2], p[3])
+        for a in range(0, pairs.shape[1], 1 << 16):
+            p = pairs[:, a : a + (1 << 16)]
+            yield _rows(0, p[0], p[1], shared[a : a + (1 << 16)], p[2], p[3])
 
 
 def _rows(kind: int, a: np.ndarray, b: np.ndarray, shared: np.ndarray, m: np.ndarray, n: np.ndarray) -> pa.RecordBatch:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch that goes to Python; texts average a few KB and the longest are far longer.
@@ -22,6 +24,12 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 16_384) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces: what Python returns is held off-heap by the JVM until it is read."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
