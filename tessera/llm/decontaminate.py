@@ -120,7 +120,7 @@ def _counts(values: np.ndarray, sizes: np.ndarray, bitmaps: dict[int, np.ndarray
     return run
 
 
-def _scan(w: Windows, values: np.ndarray, sizes: np.ndarray, bitmaps: dict[int, np.ndarray], cuts: np.ndarray, window: np.ndarray, place: np.ndarray):
+def _scan(w: Windows, values: np.ndarray, sizes: np.ndarray, bitmaps: dict[int, np.ndarray], cuts: np.ndarray, window: np.ndarray, place: np.ndarray, kept: int):
     """Rows of documents with n_words, the hit spans (in words, end exclusive) and the items of occurring windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +164,8 @@ def _scan(w: Windows, values: np.ndarray, sizes: np.ndarray, bitmaps: dict[int,
                 spans += own_spans
                 items += own_items
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                ["uid", "n_words", "spans", "items"],
+                [batch.column(0), *batch.columns[2 : 2 + kept], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
+                ["uid", *batch.schema.names[2 : 2 + kept], "n_words", "spans", "items"],
             )
 
     return run
@@ -183,7 +183,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
     yield block
 
 
-def _against(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
+def _against(docs: DataFrame, items: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
     w = windows_of(items)
     window, place, value = window_shingles(w)
     size = shingle_size(w.length)[window]
@@ -202,8 +202,10 @@ def _against(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
         values, sizes, bitmaps = _sized(value, size) if len(value) else (value, size, {})
     cuts = np.searchsorted(value, values, "left") if len(values) else np.zeros(0, np.int64)
     cuts = np.append(cuts, len(value))
-    schema = "uid long, n_words long, spans array<struct<first:int,end:int>>, items array<string>"
-    return docs.select("uid", "text").mapInArrow(_scan(w, values, sizes, bitmaps, cuts, window, place), schema)
+    rows = docs.select("uid", "text", *keep)
+    extra = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[2:])
+    schema = f"uid long, {extra}n_words long, spans array<struct<first:int,end:int>>, items array<string>"
+    return rows.mapInArrow(_scan(w, values, sizes, bitmaps, cuts, window, place, len(keep)), schema)
 
 
 def _united(hits: DataFrame) -> DataFrame:
@@ -215,8 +217,8 @@ def _united(hits: DataFrame) -> DataFrame:
     return hits.groupBy("uid").agg(F.first("n_words").alias("n_words"), F.expr(merged).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, hit_spans, n_hit, items, contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, (columns to keep, as kept_<name>), n_words, hit_spans, n_hit, items, contaminated.
 
     Words are the runs [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the whole text with A-Z lower-cased. A
     document word is hit if it lies in an occurrence of a window of a benchmark item; hit_spans are
@@ -227,12 +229,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     benchmark hits nothing; an empty table gives no rows. Other columns are ignored.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kept = tuple(f"kept_{c}" for c in keep)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
     bench = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")).dropna()
     blocks = _blocks(bench)
     block = next(blocks)
     if sum(len(t) for _, t in block) < BLOCK_BYTES:
-        hits = _against(docs.withColumnRenamed("doc_id", "uid"), block).withColumnRenamed("uid", "doc_id")
+        hits = _against(docs.withColumnRenamed("doc_id", "uid"), block, kept).withColumnRenamed("uid", "doc_id")
     else:
         docs = written(docs.withColumn("uid", F.monotonically_increasing_id()), "documents")
         hits = None
@@ -240,8 +243,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             one = written(_against(docs, block), "hits")  # then this block's broadcast can go
             hits = one if hits is None else hits.union(one)
             block = next(blocks, None)
-        hits = _united(hits).join(docs.select("uid", "doc_id"), "uid")
+        hits = _united(hits).join(docs.select("uid", "doc_id", *kept), "uid")
     spans, n_hit = F.col("spans"), F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.first)")
     return hits.select(
-        "doc_id", "n_words", spans.alias("hit_spans"), n_hit.alias("n_hit"), F.array_sort("items").alias("items")
+        "doc_id", *kept, "n_words", spans.alias("hit_spans"), n_hit.alias("n_hit"), F.array_sort("items").alias("items")
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

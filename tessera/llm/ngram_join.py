@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitfilter import id_bits, with_bit
 from .components import components
 from .runtime import partitions, prepare, sliced, written
 from .text_kernel import mix, text_sets
@@ -40,8 +41,6 @@ FREQUENT = 1 << 20
 COUNTED, REPORTED = 2_000_000, 2
 #: Sets in an inverted list up to which it is merged into pairs.
 LONG_LIST = 64
-#: Bits of the filter for the texts that are compared.
-FILTER_BITS = 1 << 27
 #: Sets of a block that queries are searched against, and queries in a task's group.
 BLOCK, QUERIES = 256, 2_048
 
@@ -293,31 +292,9 @@ def _searched(groups: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_search, "a long, b long")
 
 
-def _chosen(bits: bytes):
-    """The rows whose filter bit is set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
-            p = batch.column(2).to_numpy()
-            keep = pa.array((on[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
-            yield batch.select([0, 1]).filter(keep)
-
-    return run
-
-
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted (node, doc_id). A bit filter of a fixed size spares most other texts the shuffle."""
-    spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    held = wanted.select((bit + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    on = bytearray(FILTER_BITS // 8)
-    for r in held.toLocalIterator():
-        at = (r.k - 1) * 4096
-        on[at : at + 4096] = r.bits
-    shared = spark.sparkContext.broadcast(bytes(on))
-    kept = docs.where("doc_id is not null").select("doc_id", "text", bit.alias("p")).mapInArrow(_chosen(shared), "doc_id long, text string")
-    return kept.join(wanted, "doc_id").select("node", "text")
+    """(node, text) of the wanted (node, doc_id)."""
+    return with_bit(docs, id_bits(wanted), True).join(wanted, "doc_id").select("node", "text")
 
 
 def _tested(pairs: DataFrame) -> DataFrame:

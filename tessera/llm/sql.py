@@ -44,3 +44,26 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+#: The list's entries by rule, their intervals, and the captures that fall into one.
+URL_FILTER = r"""
+WITH p AS (SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', ''), '') AS host,
+  regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+  CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 6) AS INTEGER) % 366 AS day FROM pages),
+h AS (SELECT host, d, e, array_to_string(string_split(host, '.')[-3:], '.') AS above FROM (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS d, CAST('0x' || substr(md5(host), 9, 6) AS INTEGER) AS e FROM p WHERE host IS NOT NULL)),
+en AS (SELECT 'spam' AS list, 'host' AS kind, host AS pattern, 'add' AS action, d % 200 AS day FROM h WHERE d % 4 = 0
+  UNION ALL SELECT 'spam', 'host', host, 'remove', d % 200 + e % 150 FROM h WHERE d % 8 = 0
+  UNION ALL SELECT 'spam', 'host', host, 'add', d % 200 + e % 150 + 20 FROM h WHERE d % 16 = 0
+  UNION ALL SELECT 'adult', 'domain', above, 'add', e % 300 FROM h WHERE e % 9 = 0
+  UNION ALL SELECT 'adult', 'domain', above, 'remove', e % 300 + 40 FROM h WHERE e % 18 = 0
+  UNION ALL SELECT 'legal', 'prefix', host || '/fr', 'add', e % 100 FROM h WHERE d % 3 = 0),
+o AS (SELECT list, kind, pattern, day, max(action) AS action FROM en GROUP BY ALL),
+c AS (SELECT *, lag(action) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS before FROM o),
+i AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS until FROM c WHERE before IS NULL OR before <> action),
+m AS (SELECT DISTINCT p.page_id, p.url, i.list || ':' || i.kind || ':' || i.pattern AS rule FROM p JOIN i ON i.action = 'add' AND i.day <= p.day AND (i.until IS NULL OR p.day < i.until)
+  AND ((i.kind = 'host' AND p.host = i.pattern) OR (i.kind = 'domain' AND (p.host = i.pattern OR ends_with(p.host, '.' || i.pattern)))
+    OR (i.kind = 'prefix' AND (lower(p.host || p.path) = i.pattern OR starts_with(lower(p.host || p.path), i.pattern || '/'))))),
+r AS (SELECT page_id, url, count(*) AS n, string_agg(rule, ',' ORDER BY rule) AS rules FROM m GROUP BY ALL)
+SELECT p.page_id, p.url, strftime(DATE '2024-01-01' + p.day, '%Y-%m-%d') AS fetched_on, r.n IS NOT NULL AS blocked, CAST(coalesce(r.n, 0) AS BIGINT) AS n_rules, coalesce(r.rules, '') AS rules
+FROM p LEFT JOIN r ON p.page_id = r.page_id AND p.url = r.url
+"""
