@@ -1,3 +1,6 @@
-QUERIES = {}
-ORACLES = {}
-flagship = None
+"""Queries over the driver's tables, and the SQL that they are held against."""
+
+from .oracles import ORACLES
+from .queries import QUERIES, flagship
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
