@@ -51,6 +51,6 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = read(spark, sf_dir, "customer").where("c_custkey is not null").select((F.col("c_nationkey") + 1).alias("run"), F.col("c_custkey").alias("key"), "c_acctbal")
     w = Window.partitionBy("run").orderBy("key")
-    acc = F.round((F.col("c_acctbal") + 1000) / 12000, 6)
+    acc = F.round((F.col("c_acctbal") + 1000) / 12000, 9)
     t = c.withColumn("cycle", F.row_number().over(w)).withColumn("accuracy", F.max(acc).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return t.select("run", "cycle", "accuracy", F.col("accuracy").alias("score"))
