@@ -215,7 +215,7 @@ def interleave(feature: DataFrame, spatial: DataFrame, k: int) -> DataFrame:
 
 
 def import_sparse(entries: DataFrame, k: int, similarity: bool = False) -> DataFrame:
-    """Sparse entries (i, j, value, pos) as a graph: similarity s is distance 1 - min(max(s, 0), 1); self-loops go; k nearest, ties by position."""
+    """Sparse entries (i, j, value, pos) as a graph: similarity s is distance 1 - min(max(s, 0), 1); self-loops go; k nearest, ties by position, then j."""
     d = 1.0 - F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(1.0)) if similarity else F.col("value").cast("double")
     rows = entries.where("i <> j").withColumn("dist", d)
-    return top_k(rows, k, "dist", "pos")
+    return top_k(rows, k, "dist", "pos", "j")

@@ -55,7 +55,7 @@ oracle(
     s2_gather_rows=f"WITH {F} SELECT id, label FROM f WHERE id IN (SELECT o_custkey FROM orders)",
     s3_raw_roundtrip=f"WITH {F} {cells('f')}",
     s7_import_sparse=f"""WITH x AS (SELECT l_suppkey AS i, l_partkey AS j, 1.0 - least(greatest(CAST(l_discount AS DOUBLE), 0.0), 1.0) AS dist, l_orderkey * 10 + l_linenumber AS pos FROM lineitem WHERE l_suppkey <> l_partkey)
-      SELECT i, CAST(rank AS INTEGER) AS rank, j, {r6('dist', 'dist')} FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, pos) AS rank FROM x) WHERE rank <= 10""",
+      SELECT i, CAST(rank AS INTEGER) AS rank, j, {r6('dist', 'dist')} FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, pos, j) AS rank FROM x) WHERE rank <= 10""",
     s8_transpose=f"WITH {F}, l AS (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS c FROM f) SELECT CAST(c AS BIGINT) AS id, count(*) AS rows, {r6('arg_min(x, id)', 'first')} FROM l GROUP BY c",
     s9_first_dims=f"WITH {F}, h AS (SELECT id, v[1:8] AS v FROM f) {cells('h')}",
     s10_top_features="SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50",
