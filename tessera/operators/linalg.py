@@ -169,6 +169,9 @@ def simpls(m: Moments, p: int, components: int, center: bool = True, scale: bool
         if values[-1] <= SPAN**2:
             break
         r = s @ vectors[:, -1]
+        for _ in range(2):  # scores stay orthogonal where columns are nearly exchangeable
+            for w in weights:
+                r = r - (w @ xx @ r) * w
         size = np.sqrt(max(r @ xx @ r, 0.0))
         if size <= SPAN:
             break
