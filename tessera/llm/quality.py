@@ -20,7 +20,7 @@ from .runtime import prepare, written
 from .text_kernel import LOWER, NOT_SPACE, chunks, joined, word_hashes, words
 
 #: Weight of the pooled covariance, and of the identity (in units of the pooled variances).
-POOLED, IDENTITY = 0.1, 0.02
+POOLED, IDENTITY = 0.1, 0.1
 
 _KIND = np.full(256, 5, np.uint8)  # other marks
 _KIND[0x61:0x7B] = _KIND[0x80:] = 0
