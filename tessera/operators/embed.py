@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.table import beside
 from tessera.session import bounded, prepare
 
 MOST_POINTS = 20_000
@@ -100,7 +101,7 @@ def affinities(graph: DataFrame, perplexity: float = 30.0) -> DataFrame:
     w = _rows(graph).mapInPandas(run, "i long, j long, w double").where("i <> j")
     both = w.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.sum("w").alias("w"))
     total = both.agg((2 * F.sum("w")).alias("t"))
-    return both.crossJoin(F.broadcast(total)).select("a", "b", (F.col("w") / F.col("t")).alias("w"))
+    return both.transform(beside, total).select("a", "b", (F.col("w") / F.col("t")).alias("w"))
 
 
 def curve(min_dist: float = 0.01, spread: float = 1.0) -> tuple[float, float]:
@@ -130,6 +131,7 @@ def _layout(edges: DataFrame, start: DataFrame, kernel, most: int) -> DataFrame:
         y = kernel(np.array(p["vec"].tolist(), float), np.searchsorted(ids, e["a"]), np.searchsorted(ids, e["b"]), e["w"].to_numpy())
         return pd.DataFrame({"id": ids, "vec": list(y)})
 
+    e = e.toDF(*e.columns)  # apart from p, which may stem from the same tables
     return p.groupBy("g").cogroup(e.groupBy("g")).applyInPandas(run, "id long, vec array<double>")
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.table import beside
 from tessera.session import written
 
 from .graph import laplacian_features
 from .kmeans import kmeans
 from .knn import interleave, knn_graph
 from .optimizer import Options, optimize
-from .sampling import landmarks, shuffled
+from .sampling import landmarks
 from .spatial import grid_knn, landmark_strata
 from .votes import cv_neighbours, majority
 
@@ -24,20 +25,23 @@ def project_labels(graph: DataFrame, known: DataFrame, nodes: DataFrame, k: int)
 
     A node takes the majority label of its first k labelled neighbours; without any, that of its first
     neighbour which has some (that neighbour's vote); else the majority of all. Ties to the smaller label.
+    With known(run, id, label), the same within each run: (run, id, label).
     """
-    rest = nodes.select("id").join(known.select("id"), "id", "left_anti")
-    lab = known.select(F.col("id").alias("j"), "label")
-    edges = graph.join(lab, "j")
-    w = Window.partitionBy("i").orderBy("rank", "j")
-    first = edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select(F.col("i").alias("id"), "label")
-    votes = majority(first, "id")
-    direct = rest.join(votes, "id").select("id", "label")
-    lone = rest.join(direct.select("id"), "id", "left_anti")
-    hop = graph.join(lone.withColumnRenamed("id", "i"), "i", "left_semi").join(votes.select(F.col("id").alias("j"), "label"), "j")
-    hop = hop.groupBy("i").agg(F.min_by("label", F.struct("rank", "j")).alias("label")).select(F.col("i").alias("id"), "label")
-    every = majority(known.select(F.lit(1).alias("one"), "label"), "one").select(F.col("label").alias("most"))
-    last = lone.join(hop, "id", "left").crossJoin(F.broadcast(every)).select("id", F.coalesce("label", "most").alias("label"))
-    return direct.union(last)
+    run = ["run"] if "run" in known.columns else []
+    every = majority(known.select(*(run or [F.lit(1).alias("run")]), "label"), "run").withColumnRenamed("label", "most")
+    each = nodes.select("id").transform(beside, every.select("run")) if run else nodes.select("id")  # one row a run
+    rest = each.join(known.select(*run, "id"), [*run, "id"], "left_anti")
+    edges = graph.join(known.select(*run, F.col("id").alias("j"), "label"), "j")
+    w = Window.partitionBy(*run, "i").orderBy("rank", "j")
+    first = edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select(*run, F.col("i").alias("id"), "label")
+    votes = written(majority(first, *run, "id"), "votes")
+    direct = rest.join(votes, [*run, "id"]).select(*run, "id", "label")
+    lone = rest.join(votes, [*run, "id"], "left_anti")
+    hop = graph.join(lone.withColumnRenamed("id", "i"), "i").join(votes.select(*run, F.col("id").alias("j"), "label"), [*run, "j"])
+    hop = hop.groupBy(*run, F.col("i").alias("id")).agg(F.min_by("label", F.struct("rank", "j")).alias("label"))
+    last = lone.join(hop, [*run, "id"], "left")
+    last = last.join(F.broadcast(every), "run") if run else last.transform(beside, every.drop("run"))
+    return direct.union(last.select(*run, "id", F.coalesce("label", "most").alias("label")))
 
 
 def dissimilarity(graph: DataFrame, labels: DataFrame) -> DataFrame:
@@ -104,30 +108,20 @@ def run_ensemble(
     groups = constrain.select("id", F.col("grp").cast("long").alias("grp")) if constrain is not None else rows.select("id", F.col("id").cast("long").alias("grp"))
     frozen = fixed.select("id", "fixed") if fixed is not None else rows.select("id", F.lit(False).alias("fixed"))
     base = initial.join(groups, "id").join(frozen, "id").join(rows.select("id", "vec"), "id")
-    parts, edges = None, None
-    for r in range(1, runs + 1):
-        picked = written(landmarks(strata, size, seed + r).select("id"), "landmarks")
-        fold = F.pmod(F.conv(F.substring(shuffled(seed + r, "grp"), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
-        own = base.join(picked, "id", "left_semi").withColumn("fold", fold)
-        e = cv_neighbours(graph, own.select("id", "fold"), k).withColumn("run", F.lit(r))
-        own = own.withColumn("run", F.lit(r))
-        own = own.select("run", "id", "label", "grp", "fixed", "fold", *(["vec"] if classifier != "knn" else []))
-        parts = own if parts is None else parts.union(own)
-        edges = e if edges is None else edges.union(e)
+    picked = landmarks(strata, size, seed, runs=runs).select("run", "id")
+    fold = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("run")).cast("string"), F.col("grp").cast("string")))
+    fold = F.pmod(F.conv(F.substring(fold, 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+    own = written(picked.join(base, "id").withColumn("fold", fold), "landmarks")
+    edges = cv_neighbours(graph, own.select("run", "id", "fold"), k)
+    parts = own.select("run", "id", "label", "grp", "fixed", "fold", *(["vec"] if classifier != "knn" else []))
     o = Options(cycles=cycles, evolutionary=start is None, diversity=True, absorption=True, coarsening=classifier != "knn", classifier=classifier, k=k, folds=folds, seed=seed)
     found = written(optimize(parts, edges, o), "runs")
-    best = found.where("best")
-    every = None
-    for r in range(1, runs + 1):
-        own = best.where(F.col("run") == r).select("id", "label")
-        rest = project_labels(graph, own, rows, k)
-        lab = own.union(rest)
-        if constrain is not None:
-            lab = lab.join(groups, "id")
-            lab = lab.select("id", "grp").join(majority(lab, "grp"), "grp").select("id", "label")
-        lab = lab.select(F.lit(r).alias("run"), "id", "label")
-        every = lab if every is None else every.union(lab)
-    labels = written(every, "labels")
+    best = found.where("best").select("run", "id", "label")
+    labels = best.union(project_labels(graph, best, rows, k))
+    if constrain is not None:
+        labels = labels.join(groups, "id")
+        labels = labels.select("run", "id", "grp").join(majority(labels, "run", "grp"), ["run", "grp"]).select("run", "id", "label")
+    labels = written(labels.select("run", "id", "label"), "labels")
     return labels, found.where("not best").select("run", "cycle", "accuracy", "score"), dissimilarity(graph, labels)
 
 

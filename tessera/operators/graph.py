@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vec as V
+from tessera.functions.table import beside
 from tessera.session import bounded, prepare, written
 
 WEIGHTS = ("distance", "adaptive", "binary", "snn")
@@ -101,8 +102,8 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     e = edges.join(of("a"), "a").join(of("b"), "b")
     inside = e.agg(F.sum(F.when(F.col("l_a") == F.col("l_b"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("m"))
     degree = e.select(F.col("l_a").alias("l"), "w").union(e.select("l_b", "w")).groupBy("l").agg(F.sum("w").alias("d"))
-    squares = degree.crossJoin(F.broadcast(inside.select("m"))).agg(F.sum((F.col("d") / (2 * F.col("m"))) ** 2).alias("squares"))
-    return inside.crossJoin(squares).select((F.col("inside") / F.col("m") - F.col("squares")).alias("modularity"))
+    squares = degree.transform(beside, (inside.select("m"))).agg(F.sum((F.col("d") / (2 * F.col("m"))) ** 2).alias("squares"))
+    return inside.transform(beside, squares).select((F.col("inside") / F.col("m") - F.col("squares")).alias("modularity"))
 
 
 def _one_task(edges: DataFrame, nodes: DataFrame, kernel, schema: str, what: str, most: int = MOST_EDGES) -> DataFrame:

@@ -94,6 +94,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclide
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     q = q.withColumn("qb", own(nq)).withColumn("bb", spread(nb))
     b = b.withColumn("bb", own(nb)).withColumn("qb", spread(nq))
+    b = b.toDF(*b.columns)  # apart from q, which may stem from the same tables
     met = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(_nearest(k, metric, exclude_self, apart is not None), "i long, j long, dist double")
     return top_k(met, k)
 
@@ -165,27 +166,25 @@ def ivf_join(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray,
 
 
 def tuned_probes(rows: DataFrame, k: int, centroids: np.ndarray, target: float = 0.99, pilot: int = 128) -> tuple[int, float]:
-    """The fewest probes whose recall on a pilot (the rows whose ids hash lowest) reaches the target: grown by half, then bisected."""
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(pilot)
-    some = written(some.select("id", "vec"), "pilot")
-    exact = {(r.i, r.j) for r in knn_join(some, rows, k, exclude_self=True).collect()}
-
-    def recall(p: int) -> float:
-        got = {(r.i, r.j) for r in ivf_join(some, rows, k, centroids, p, exclude_self=True).collect()}
-        return len(got & exact) / max(1, len(exact))
-
-    low, p = 0, min(len(centroids), max(1, 2 * int(np.ceil(np.sqrt(len(centroids))))))
-    reached = recall(p)
-    while reached < target and p < len(centroids):
-        low, p = p, min(len(centroids), int(np.ceil(1.5 * p)))
-        reached = recall(p)
-    while p - low > 1 and low:
-        mid = (low + p) // 2
-        if (r := recall(mid)) >= target:
-            p, reached = mid, r
-        else:
-            low = mid
-    return p, reached
+    """The fewest probes whose recall on a pilot (the rows whose ids hash lowest) reaches the target, and that recall.
+
+    A search finds a true neighbour if and only if the neighbour's list is among those it looks into, so the
+    place of each true neighbour's list in the query's order of lists gives the recall for every number of probes.
+    """
+    some = written(rows.orderBy(F.xxhash64("id"), "id").limit(pilot).select("id", "vec"), "pilot")
+    exact = written(knn_join(some, rows, k, exclude_self=True), "exact")
+    wanted = exact.select(F.col("i").alias("id")).union(exact.select("j")).distinct()
+    near = rows.select("id", vec.doubles(F.col("vec")).alias("vec")).join(wanted, "id", "left_semi").collect()  # at most pilot * (k + 1) rows
+    place, own = {}, {}
+    for r in near:
+        order = np.argsort((centroids**2).sum(axis=1) - 2 * centroids @ np.array(r.vec), kind="stable")
+        place[r.id] = np.argsort(order, kind="stable")
+        own[r.id] = order[0]
+    ranks = np.sort([place[r.i][own[r.j]] + 1 for r in exact.collect()])
+    if not len(ranks):
+        return 1, 1.0
+    probes = int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)])
+    return probes, float((ranks <= probes).mean())
 
 
 def normalize_graph(edges: DataFrame, k: int, nodes: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vec as V
+from tessera.functions.table import beside
 from tessera.session import prepare
 
 SPAN = 1e-10
@@ -136,7 +137,7 @@ def starting_layout(scores: DataFrame, method: str, seed: int = 1234) -> DataFra
     moved = scores.select("id", F.transform("vec", lambda v, i: v * F.lit(10.0 / top) + 1e-4 * noise(i)).alias("vec"))
     mean = moved.select(F.posexplode("vec").alias("c", "v")).groupBy("c").agg(F.avg("v").alias("m"))
     mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "m"))), lambda p: p["m"]).alias("m"))
-    return moved.crossJoin(F.broadcast(mean)).select("id", F.zip_with("vec", "m", lambda v, m: v - m).alias("vec"))
+    return moved.transform(beside, mean).select("id", F.zip_with("vec", "m", lambda v, m: v - m).alias("vec"))
 
 
 # partial least squares

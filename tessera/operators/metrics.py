@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vec as V
+from tessera.functions.table import beside
 
 from .stats import assignment
 
@@ -18,7 +19,7 @@ def contingency(rows: DataFrame) -> DataFrame:
     t = n.groupBy("truth").agg(F.sum("n").alias("a"))
     p = n.groupBy("pred").agg(F.sum("n").alias("b"))
     total = n.agg(F.sum("n").alias("total"))
-    return n.join(t, "truth").join(p, "pred").crossJoin(F.broadcast(total))
+    return n.join(t, "truth").join(p, "pred").transform(beside, total)
 
 
 def rand_index(rows: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def rand_index(rows: DataFrame) -> DataFrame:
     b = n.groupBy("pred").agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("b"))
     e = F.col("a") * F.col("b") / pairs(F.col("total"))
     top = (F.col("a") + F.col("b")) / 2
-    return both.crossJoin(a).crossJoin(b).select(F.when(top == e, 1.0).otherwise((F.col("s") - e) / F.when(top == e, 1.0).otherwise(top - e)).alias("ari"))
+    return both.transform(beside, a).transform(beside, b).select(F.when(top == e, 1.0).otherwise((F.col("s") - e) / F.when(top == e, 1.0).otherwise(top - e)).alias("ari"))
 
 
 def information(rows: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def information(rows: DataFrame) -> DataFrame:
     h = lambda key, col: c.select(key, (F.col(col) / F.col("total")).alias("p")).distinct().agg((-F.sum(F.col("p") * F.log("p"))).alias(f"h_{col}"))
     pure = c.groupBy("pred").agg(F.max("n").alias("m"), F.first("total").alias("t")).agg((F.sum("m") / F.max("t")).alias("purity"))
     ratio = lambda x, y: F.when(F.abs(y) < 1e-12, 1.0).otherwise(x / F.when(F.abs(y) < 1e-12, 1.0).otherwise(y))
-    s = m.crossJoin(h("truth", "a")).crossJoin(h("pred", "b")).crossJoin(pure)
+    s = m.transform(beside, h("truth", "a")).transform(beside, h("pred", "b")).transform(beside, pure)
     i, ha, hb = F.col("mutual"), F.col("h_a"), F.col("h_b")
     hom, com = ratio(i, ha), ratio(i, hb)
     return s.select(
@@ -77,7 +78,7 @@ def silhouette(rows: DataFrame) -> DataFrame:
     parts = _long(rows).groupBy("label", "c").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("v").alias("n"))
     parts = parts.groupBy("label").agg(F.max("n").alias("n"), F.sum("q").alias("q"), F.transform(F.array_sort(F.collect_list(F.struct("c", "s"))), lambda p: p["s"]).alias("s"))
     own = rows.select("id", "label", V.doubles(F.col("vec")).alias("vec")).withColumn("xx", V.dot(F.col("vec"), F.col("vec")))
-    met = own.crossJoin(F.broadcast(parts.select(F.col("label").alias("k"), "n", "q", "s")))  # one row a class
+    met = own.transform(beside, (parts.select(F.col("label").alias("k"), "n", "q", "s")))  # one row a class
     same = F.col("label") == F.col("k")
     size = F.when(same, F.col("n") - 1).otherwise(F.col("n"))
     d = (F.col("n") * F.col("xx") - 2 * V.dot(F.col("vec"), F.col("s")) + F.col("q")) / F.when(size > 0, size).otherwise(1)
@@ -95,14 +96,14 @@ def scatter(rows: DataFrame) -> DataFrame:
     by = x.groupBy("label").agg(F.sum(d2).alias("w"), F.avg(F.sqrt(d2)).alias("s"), F.count("*").alias("n"))
     mean = rows.select(F.posexplode(V.doubles(F.col("vec"))).alias("c", "v")).groupBy("c").agg(F.avg("v").alias("v"))
     mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda p: p["v"]).alias("g"))
-    between = c.crossJoin(F.broadcast(mean)).agg(F.sum(F.col("n") * V.squared_distance(F.col("vec"), F.col("g"))).alias("between"), F.sum("n").alias("n"), F.count("*").alias("k"))
+    between = c.transform(beside, mean).agg(F.sum(F.col("n") * V.squared_distance(F.col("vec"), F.col("g"))).alias("between"), F.sum("n").alias("n"), F.count("*").alias("k"))
     t = c.select("label", "vec").join(by.select("label", "s"), "label")
     o = t.select(F.col("label").alias("o"), F.col("vec").alias("ov"), F.col("s").alias("os"))
-    gap = t.join(o, F.col("label") != F.col("o")).withColumn("d", F.sqrt(V.squared_distance(F.col("vec"), F.col("ov"))))  # classes x classes
+    gap = t.transform(beside, o).where(F.col("label") != F.col("o")).withColumn("d", F.sqrt(V.squared_distance(F.col("vec"), F.col("ov"))))  # classes x classes
     worst = gap.groupBy("label").agg(F.max((F.col("s") + F.col("os")) / F.col("d")).alias("r"), F.min("d").alias("near"))
     bouldin = worst.agg(F.avg("r").alias("davies_bouldin"), F.min("near").alias("near"))
     within = by.agg(F.sum("w").alias("within"), F.max("s").alias("far"))
-    s = within.crossJoin(between).crossJoin(bouldin)
+    s = within.transform(beside, between).transform(beside, bouldin)
     ch = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
     return s.select("within", "between", ch.alias("calinski_harabasz"), "davies_bouldin", (F.col("near") / (2 * F.col("far"))).alias("dunn"))
 
@@ -133,7 +134,7 @@ def conductance(edges: DataFrame, labels: DataFrame) -> DataFrame:
     v = side("l_i", "l_j").union(side("l_j", "l_i")).groupBy("label").agg(F.sum("w").alias("vol"), F.sum("out").alias("cut"))
     total = v.agg(F.sum("vol").alias("all"))
     low = F.least("vol", F.col("all") - F.col("vol"))
-    return v.crossJoin(F.broadcast(total)).select("label", F.when(low > 0, F.col("cut") / F.when(low > 0, low).otherwise(1.0)).otherwise(0.0).alias("conductance"))
+    return v.transform(beside, total).select("label", F.when(low > 0, F.col("cut") / F.when(low > 0, low).otherwise(1.0)).otherwise(0.0).alias("conductance"))
 
 
 def boundary_f1(edges: DataFrame, truth: DataFrame, pred: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def run_summary(trace: DataFrame) -> DataFrame:
 def cycle_deciles(trace: DataFrame) -> DataFrame:
     """(decile, runs, mean_accuracy): mean best accuracy at each tenth of the cycles."""
     last = trace.agg(F.max("cycle").alias("last"))
-    d = trace.crossJoin(F.broadcast(last)).withColumn("decile", F.ceil(10 * F.col("cycle") / F.col("last")).cast("int"))
+    d = trace.transform(beside, last).withColumn("decile", F.ceil(10 * F.col("cycle") / F.col("last")).cast("int"))
     end = d.groupBy("run", "decile").agg(F.max_by("accuracy", "cycle").alias("a"))
     return end.groupBy("decile").agg(F.count("*").alias("runs"), F.avg("a").alias("mean_accuracy"))
 

@@ -242,5 +242,6 @@ def optimize(rows: DataFrame, neighbours: DataFrame, o: Options, run: str = "run
         trace = pd.DataFrame({"run": int(key[0]), "id": -1, "label": 0, "pred": 0, "best": False, "cycle": range(1, o.cycles + 1), "accuracy": found.trace, "score": found.scores})
         return pd.concat([last, trace])
 
+    neighbours = neighbours.toDF(*neighbours.columns)  # apart from rows, which may stem from the same tables
     return rows.groupBy(run).cogroup(neighbours.groupBy(run)).applyInPandas(one, RUN)
 

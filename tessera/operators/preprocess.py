@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vec as V
+from tessera.functions.table import beside, medians, numbered
 
 NORMALIZATIONS = ("pqn", "sum", "median", "sqrt", "none")
 SCALINGS = ("none", "centering", "autoscaling", "rangescaling", "paretoscaling")
@@ -92,10 +93,10 @@ def normalize(train: DataFrame, method: str = "pqn", test: DataFrame | None = No
         scaled = rows.withColumn("s", sums).withColumn("vec", _divided(v, F.col("s")))
         if reference is None:
             known = scaled.where(is_train).select(F.posexplode("vec").alias("c", "v")).where(~F.isnan("v"))
-            reference = known.groupBy("c").agg(F.median("v").alias("v"))
+            reference = medians(known)
         ref = reference.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda p: p["v"]).alias("ref"))  # one value a column
         quotients = F.zip_with("vec", "ref", _ieee)
-        out = scaled.crossJoin(F.broadcast(ref)).withColumn("q", median(quotients))
+        out = scaled.transform(beside, ref).withColumn("q", median(quotients))
         return out.select("id", "part", _divided(v, F.col("q")).alias("vec"), (F.col("q") * F.col("s")).alias("coef"))
     any_nan = F.exists(v, lambda x: F.isnan(x))
     nan = F.lit(_NAN)
@@ -130,7 +131,7 @@ def scale(train: DataFrame, method: str = "autoscaling", test: DataFrame | None
     fit = column_stats(train).select("c", "mean", by.alias("scale"))
     fit = fit.agg(F.array_sort(F.collect_list(F.struct("c", "mean", "scale"))).alias("fit"))  # one value a column
     out = F.zip_with("vec", "fit", lambda x, f: _ieee(x - f["mean"], f["scale"]))
-    return rows.crossJoin(F.broadcast(fit)).select("id", "part", out.alias("vec"))
+    return rows.transform(beside, fit).select("id", "part", out.alias("vec"))
 
 
 def gram(rows: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def first_dims(rows: DataFrame, d: int) -> DataFrame:
 def renumber(groups: DataFrame, *keys: str) -> DataFrame:
     """(id, grp): the groups of equal keys, numbered from 1 by their first id."""
     first = groups.groupBy(*keys).agg(F.min("id").alias("first"))
-    number = first.withColumn("grp", F.row_number().over(Window.orderBy("first")))  # one row a group
+    number = numbered(first, "first", name="grp")
     same = [groups[k].eqNullSafe(number[k]) for k in keys]
     cond = same[0]
     for c in same[1:]:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.session import bounded, prepare
+from tessera.functions.table import beside, ranked
+from tessera.session import bounded, prepare, written
 
 #: Groups that the greedy fold assignment orders in one task.
 MOST_GROUPS = 1_000_000
@@ -22,24 +23,12 @@ def shuffled(seed: int, *columns: str):
 
 
 def folds(rows: DataFrame, n: int = 10, seed: int = 1, stratified: bool = True) -> DataFrame:
-    """(id, fold): shuffled rows dealt in turn; stratified, each label's rows from fold 0 on.
-
-    Plain folds number the rows in ranges of their hash, so no task sorts them all.
-    """
+    """(id, fold): shuffled rows dealt in turn; stratified, each label's rows from fold 0 on."""
     if n < 2:
         raise ValueError("at least two folds")
-    key = shuffled(seed, "id")
-    if stratified:
-        keys = rows.select("id", "label", key.alias("k"))
-    else:
-        keys = rows.select("id", F.lit(0).alias("label"), key.alias("k"))
-    keys = keys.withColumn("range", F.substring("k", 1, 2))
-    sizes = keys.groupBy("label", "range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("label", "range", F.coalesce(before, F.lit(0)).alias("start"))  # 256 rows a label
-    within = F.row_number().over(Window.partitionBy("label", "range").orderBy("k", "id"))
-    number = keys.withColumn("r", within).join(F.broadcast(starts), ["label", "range"]).withColumn("r", F.col("r") + F.col("start") - 1)
-    return number.select("id", F.pmod("r", F.lit(n)).cast("int").alias("fold"))
+    keyed = rows.select("id", "label") if stratified else rows.select("id")
+    dealt = ranked(keyed if stratified else keyed.withColumn("label", F.lit(0)), ["label"], shuffled(seed, "id"), "id")
+    return dealt.select("id", F.pmod(F.col("r") - 1, F.lit(n)).cast("int").alias("fold"))
 
 
 def grouped_folds(rows: DataFrame, n: int = 10, seed: int = 1, stratified: bool = True) -> DataFrame:
@@ -72,22 +61,28 @@ def grouped_folds(rows: DataFrame, n: int = 10, seed: int = 1, stratified: bool
     return rows.join(dealt, "grp").select("id", "fold")
 
 
-def landmarks(rows: DataFrame, target: int, seed: int = 1, offset: float = 0.5) -> DataFrame:
+def landmarks(rows: DataFrame, target: int, seed: int = 1, offset: float = 0.5, runs: int = 0) -> DataFrame:
     """rows(id, stratum) -> (id, stratum): exactly min(target, n) rows, each stratum its share.
 
     Quotas are rounded down; the slots left go to the strata whose cumulated fractions pass offset + 0, 1,
-    2, ... (systematic rounding), in stratum order. Within a stratum rows are taken in shuffled order.
+    2, ... (systematic rounding), in stratum order. Within a stratum rows are taken in shuffled order. With
+    runs, as many independent draws: (run from 1, id, stratum), run r shuffled by seed + r.
     """
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("total"))
-    s = sizes.crossJoin(F.broadcast(total)).withColumn("t", F.least(F.lit(target), F.col("total")))
+    s = sizes.transform(beside, total).withColumn("t", F.least(F.lit(target), F.col("total")))
     s = s.withColumn("quota", F.floor(F.col("t") * F.col("n") / F.col("total"))).withColumn("rest", F.pmod(F.col("t") * F.col("n"), F.col("total")))  # exact: the fraction is rest / total
     w = Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, 0)  # one row a stratum
     s = s.withColumn("cum", F.sum("rest").over(w)).withColumn("lo", F.col("cum") - F.col("rest"))
     at = lambda c: F.ceil(F.col(c) / F.col("total") - F.lit(offset))  # noqa: E731  slots whose place offset + t lies below c
     s = s.withColumn("quota", F.col("quota") + at("cum") - at("lo"))
-    w = Window.partitionBy("stratum").orderBy(shuffled(seed, "id"), "id")
-    return rows.withColumn("r", F.row_number().over(w)).join(F.broadcast(s.select("stratum", "quota")), "stratum").where("r <= quota").select("id", "stratum")
+    if runs:
+        each = rows.select("id", "stratum", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+        key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("run")).cast("string"), F.col("id").cast("string")))
+        out = ranked(each, ["run", "stratum"], key, "id")
+    else:
+        out = ranked(rows.select("id", "stratum"), ["stratum"], shuffled(seed, "id"), "id")
+    return out.join(s.select("stratum", "quota"), "stratum").where("r <= quota").select(*(["run"] if runs else []), "id", "stratum")
 
 
 def covered_landmarks(rows: DataFrame, chosen: DataFrame, seed: int = 1) -> DataFrame:
@@ -98,9 +93,10 @@ def covered_landmarks(rows: DataFrame, chosen: DataFrame, seed: int = 1) -> Data
     """
     have = rows.join(chosen.select("id"), "id", "left_semi")
     key = shuffled(seed, "id")
-    rank = F.row_number().over(Window.partitionBy("grp").orderBy(key, "id"))
-    missing = rows.join(have.select("grp").distinct(), "grp", "left_anti").withColumn("r", rank).where("r = 1").select("id")
-    kept, spare = have.withColumn("r", rank).where("r = 1").select("id"), have.withColumn("r", rank).where("r > 1").select("id")
+    first = lambda df: df.groupBy("grp").agg(F.min(F.struct(key.alias("k"), "id"))["id"].alias("id")).select("id")
+    missing = written(first(rows.join(have.select("grp").distinct(), "grp", "left_anti")), "missing")
+    kept = written(first(have), "kept")
+    spare = have.select("id").join(kept, "id", "left_anti")
     need, extra = missing.count(), spare.count()
     if need > extra:
         raise ValueError("fewer landmarks than groups")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vec as V
+from tessera.functions.table import beside
 from tessera.session import bounded, prepare, written
 
 from .knn import BLOCK, _nearest, knn_join, top_k
@@ -41,7 +42,7 @@ def grid_cells(rows: DataFrame, bins: int) -> DataFrame:
     s = s.agg(F.array_sort(F.collect_list(F.struct("c", "low", "high"))).alias("box"))  # one value a dimension
     width = lambda b: (b["high"] - b["low"]) / bins
     cell = F.zip_with("vec", "box", lambda x, b: F.when(width(b) > 0, F.least(F.lit(bins - 1), F.floor((x - b["low"]) / width(b)).cast("int"))).otherwise(0))
-    return rows.crossJoin(F.broadcast(s)).withColumn("cell", cell).drop("box")
+    return rows.transform(beside, s).withColumn("cell", cell).drop("box")
 
 
 def landmark_strata(rows: DataFrame, target: int, dims: int = 2) -> DataFrame:
@@ -106,7 +107,7 @@ def jitter_width(rows: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     pick = graph.where(F.col("rank").isin(1, at)).join(long, "j")
     gap = pick.groupBy("i", "c").agg(F.max(F.when(F.col("rank") == 1, F.col("v"))).alias("a"), F.max(F.when(F.col("rank") == at, F.col("v"))).alias("b"))
     n = rows.agg(F.count("*").alias("n"))
-    return gap.groupBy("c").agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("s")).crossJoin(F.broadcast(n)).select("c", (3 * F.col("s") / F.col("n")).alias("width"))
+    return gap.groupBy("c").agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("s")).transform(beside, n).select("c", (3 * F.col("s") / F.col("n")).alias("width"))
 
 
 def hashed_uniform(seed: int, *columns: str | Column) -> Column:
@@ -119,7 +120,7 @@ def jitter(rows: DataFrame, widths: DataFrame, seed: int) -> DataFrame:
     """Coordinates moved by a uniform step within each dimension's width; replayed by the seed."""
     w = widths.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "width"))), lambda p: p["width"]).alias("w"))  # one value a dimension
     move = F.transform("vec", lambda x, i: x + F.get("w", i) * (2 * hashed_uniform(seed, F.col("id"), i) - 1))
-    return rows.crossJoin(F.broadcast(w)).withColumn("vec", move).drop("w")
+    return rows.transform(beside, w).withColumn("vec", move).drop("w")
 
 
 def pass_messages(rows: DataFrame, features: DataFrame, k: int = 15) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.table import beside
+from tessera.session import written
+
 from .knn import knn_join
 
 
@@ -27,7 +30,7 @@ def fold_fallback(rows: DataFrame) -> DataFrame:
     by = rows.groupBy("fold", "label").agg(F.count("*").alias("n"))
     folds = by.select("fold").distinct()
     total = by.groupBy("label").agg(F.sum("n").alias("n"))
-    every = folds.join(F.broadcast(total), F.lit(True))  # folds x classes
+    every = folds.transform(beside, total)  # folds x classes
     own = by.withColumnRenamed("n", "own")
     rest = every.join(own, ["fold", "label"], "left").select("fold", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
     return rest.groupBy("fold").agg((-F.max(F.struct("n", (-F.col("label")).alias("m")))["m"]).alias("label"))
@@ -60,7 +63,7 @@ def absorption_candidates(rows: DataFrame) -> DataFrame:
     total = size.agg(F.sum("size").alias("total"))
     stay = n.where("source = target").select("source", F.col("n").alias("stay"))
     t = n.where("source <> target").join(size, "source").join(size.withColumnRenamed("source", "target").withColumnRenamed("size", "target_size"), "target")
-    t = t.join(stay, "source", "left").crossJoin(F.broadcast(total))
+    t = t.join(stay, "source", "left").transform(beside, total)
     t = t.withColumn("surplus", F.col("n") - F.col("size") * F.col("target_size") / F.col("total")).where("n > coalesce(stay, 0) and surplus > 0")
     w = Window.partitionBy("source").orderBy(F.desc(F.round("surplus", 9)), "target")  # one row a pair of classes
     return t.withColumn("r", F.row_number().over(w)).where("r = 1").select("source", "target", "n", "surplus")
@@ -83,11 +86,15 @@ def objective(rows: DataFrame) -> DataFrame:
 
 
 def cv_neighbours(graph: DataFrame, folds: DataFrame, k: int) -> DataFrame:
-    """A graph's edges whose ends lie in different folds, the first k of each row: (i, rank, j, dist)."""
-    f = lambda c: folds.select(F.col("id").alias(c), F.col("fold").alias(f"{c}_fold"))
-    ok = graph.join(f("i"), "i").join(f("j"), "j").where("i_fold <> j_fold")
-    w = Window.partitionBy("i").orderBy("rank", "j")
-    return ok.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("i", F.col("r").alias("rank"), "j", "dist")
+    """A graph's edges whose ends lie in different folds, the first k of each row: (i, rank, j, dist).
+
+    With folds(run, id, fold), the same within each run, of its rows: (run, i, rank, j, dist).
+    """
+    run = ["run"] if "run" in folds.columns else []
+    f = lambda c: folds.select(*run, F.col("id").alias(c), F.col("fold").alias(f"{c}_fold"))
+    ok = graph.join(f("i"), "i").join(f("j"), [*run, "j"]).where("i_fold <> j_fold")
+    w = Window.partitionBy(*run, "i").orderBy("rank", "j")
+    return ok.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select(*run, "i", F.col("r").alias("rank"), "j", "dist")
 
 
 def predict(neighbours: DataFrame, labels: DataFrame, folds: DataFrame, metric: str = "euclidean") -> DataFrame:
@@ -106,6 +113,7 @@ def predict(neighbours: DataFrame, labels: DataFrame, folds: DataFrame, metric:
 
 def knn_cv(rows: DataFrame, folds: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
     """rows(id, vec, label), folds(id, fold): every row predicted from the k nearest rows of the other folds, all folds in one join."""
-    both = rows.select("id", "vec").join(folds, "id")
+    folds = written(folds, "folds")
+    both = written(rows.select("id", "vec").join(folds, "id"), "rows")
     near = knn_join(both, both, k, metric, apart="fold")
     return predict(near, rows, folds, metric)
