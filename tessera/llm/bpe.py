@@ -13,6 +13,7 @@ import base64
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .runtime import prepare
 from .text_kernel import run_positions
 
-#: Distinct pieces whose tokens a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 400_000
+#: Distinct pieces whose tokens a worker remembers, twice: those in use lately, and those before them.
+REMEMBERED = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,10 +41,15 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=0)
+        self.reach: dict[bytes, int] = {}  # the longest token that ends with three bytes
+        for b in ranks:
+            if len(b) > 2 and len(b) > self.reach.get(b[-3:], 2):
+                self.reach[b[-3:]] = len(b)
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.token = {r: b for b, r in ranks.items()}
+        self.size = {r: len(b) for b, r in ranks.items()}
         for rank in sorted(self.token):
             if len(self.token[rank]) > 1 and (pair := self._parts(self.token[rank], rank)):
                 self.parts[rank] = pair
@@ -97,19 +103,39 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _token(self, data: bytes, end: int) -> int:
-        v, last = self.vocabulary, self.last
-        for start in range(max(0, end - v.longest), end):
-            t = v.ranks.get(data[start:end])
-            if t is not None and (last[start] >= 0 or not start) and (not start or v.may_follow(last[start], t)):
-                return t
-        raise ValueError("the vocabulary lacks a byte")
-
     def append(self, data: bytes) -> None:
         """Goes on from the stored states."""
         self.data += data
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._token(self.data, end))
+        self._extend(len(self.data))
+
+    def _extend(self, upto: int) -> None:
+        data, last, v = self.data, self.last, self.vocabulary
+        rank, fits, reach = v.ranks.get, v.fits.get, v.reach.get
+        for end in range(len(last), upto + 1):
+            far = end - reach(data[end - 3 : end], 2) if end > 2 else 0
+            for start in range(far if far > 0 else 0, end):
+                t = rank(data[start:end])
+                if t is not None:
+                    if not start:
+                        last.append(t)
+                        break
+                    u = last[start]
+                    ok = fits((u, t))
+                    if ok or (ok is None and v.may_follow(u, t)):
+                        last.append(t)
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+
+    def become(self, data: bytes) -> None:
+        """Another byte string: the states of the prefix that both share stay, the rest is appended."""
+        old, n = self.data, min(len(self.data), len(data))
+        same = 0
+        while same < n and old[same] == data[same]:
+            same += 1
+        del self.last[same + 1 :]
+        self.data = data
+        self._extend(len(data))
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replaces data[start:end]; returns how many states were computed anew."""
@@ -118,7 +144,7 @@ class Prefixes:
         self.last, same = old[: start + 1], 0
         while len(self.last) <= len(self.data):
             at = len(self.last)
-            self.last.append(self._token(self.data, at))
+            self._extend(at)
             was = at - shift
             same = same + 1 if was > end and old[was] == self.last[-1] else 0
             if same >= self.vocabulary.longest:  # a state depends on that many before it
@@ -128,11 +154,13 @@ class Prefixes:
         return len(self.last) - 1 - start
 
     def tokens(self) -> list[int]:
-        out, end = [], len(self.data)
+        out, end, last, size = [], len(self.data), self.last, self.vocabulary.size
         while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.token[out[-1]])
-        return out[::-1]
+            t = last[end]
+            out.append(t)
+            end -= size[t]
+        out.reverse()
+        return out
 
 
 def _classes(limit: int) -> tuple[str, str]:
@@ -176,25 +204,41 @@ class Splitter:
 
 
 def _encoder(ranks: bytes, pattern: str):
-    """A worker's function from a text to its ids' bytes (int32)."""
-    vocabulary = Vocabulary(dict(map(tuple, ((base64.b64decode(a), int(b)) for a, b in map(bytes.split, ranks.splitlines())))))
-    split, known = Splitter(pattern), {}
-
-    def piece(p: str) -> bytes:
-        data = p.encode()
-        whole = vocabulary.ranks.get(data)
-        tokens = [whole] if whole is not None and (len(data) == 1 or whole in vocabulary.parts) else Prefixes(vocabulary, data).tokens()
-        if len(known) >= REMEMBERED:
-            known.clear()
-        out = np.array(tokens, np.int32).tobytes()
-        if len(data) <= 64:
-            known[p] = out
+    """A worker's function from texts to their ids' bytes (int32)."""
+    vocabulary = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())})
+    split = Splitter(pattern)
+    young: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
+
+    def encode(texts: list[str | None]) -> list[bytes]:
+        """Each text's ids. Pieces that aren't remembered are encoded in sorted order, so that each goes on from the prefix it shares with the one before."""
+        nonlocal young, old
+        pieces = [split(t) if t else [] for t in texts]
+        if len(young) >= REMEMBERED:
+            young, old = {}, young
+        new = []
+        for p in set().union(*pieces).difference(young):
+            if (ids := old.get(p)) is None:
+                new.append((p.encode(), p))
+            else:
+                young[p] = ids
+        new.sort()
+        states = Prefixes(vocabulary)
+        for data, p in new:
+            whole = vocabulary.ranks.get(data)
+            if whole is not None and (len(data) == 1 or whole in vocabulary.parts):
+                tokens = [whole]
+            else:
+                states.become(data)
+                tokens = states.tokens()
+            young[p] = array("i", tokens).tobytes()
+        known = young.__getitem__
+        out = [b"".join(map(known, own)) for own in pieces]
+        for data, p in new:
+            if len(data) > 64:  # long ones don't come again
+                del young[p]
         return out
 
-    def encode(text: str) -> bytes:
-        get = known.get
-        return b"".join([get(p) or piece(p) for p in split(text)])
-
     return encode
 
 
@@ -219,7 +263,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             _encoders[key] = _encoder(shared.value, pattern)
         one = _encoders[key]
         for batch in batches:
-            parts = [one(t) if t else b"" for t in batch.column(0).to_pylist()]
+            parts = one(batch.column(0).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], [*batch.schema.names[1:], "ids"])
