@@ -217,8 +217,10 @@ def findings(model: Model, column: pa.Array) -> Iterator[list[dict]]:
 
 def background(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """At most BACKGROUND paragraphs, of the documents whose ids hash lowest."""
-    picked = docs.select(F.col(id_col).cast("long").alias("i"), F.substring(text_col, 1, 4000).alias("t")).dropna().orderBy(F.xxhash64("i"), "i", "t").limit(BACKGROUND // 5)
-    return [p for r in picked.collect() for p in r.t.split("\n")[:5]]
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.substring(text_col, 1, 4000).alias("t")).dropna()
+    ids = [r.i for r in rows.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(BACKGROUND // 5).collect()]  # ids only leave the tasks
+    picked = rows.where(F.col("i").isin(ids)).groupBy("i").agg(F.min("t").alias("t")).orderBy(F.xxhash64("i"), "i").collect() if ids else []
+    return [p for r in picked for p in r.t.split("\n")[:5]]
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
