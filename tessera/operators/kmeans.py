@@ -47,8 +47,9 @@ def kmeans(rows: DataFrame, k: int, steps: int = 10, seed: int = 1) -> tuple[Dat
 
     A cluster left without rows takes the row farthest from its centroid (the smallest id of these).
     """
-    start = rows.select("id", V.doubles(F.col("vec")).alias("vec")).orderBy(shuffled(seed, "id"), "id").limit(k).collect()
-    c = np.array([r.vec for r in start], float)
+    first = [r.id for r in rows.select("id").orderBy(shuffled(seed, "id"), "id").limit(k).collect()]  # ids only leave the tasks
+    start = {r.id: r.vec for r in rows.select("id", V.doubles(F.col("vec")).alias("vec")).where(F.col("id").isin(first)).collect()}
+    c = np.array([start[i] for i in first], float)
     before = None
     for _ in range(steps):
         found = written(assign(rows, c), "clusters")

@@ -115,11 +115,12 @@ def nearest(queries: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def ivf_centroids(rows: DataFrame, lists: int | None = None, steps: int = 8, seed: int = 4, sample: int = 65_536) -> np.ndarray:
-    """Centroids by Lloyd's steps on a sample: the rows (at most sample) whose ids hash lowest."""
+    """Centroids by Lloyd's steps on a sample: all rows, or of more than `sample` rows about as many, those whose ids hash lowest."""
     n = rows.count()
     lists = lists or min(4096, max(1, int(np.ceil(np.sqrt(n)))))
-    picked = rows.select("id", vec.doubles(F.col("vec")).alias("vec")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(sample, n)).collect()
-    x = np.array([r.vec for r in picked], float)
+    key = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
+    picked = rows.select(key.alias("key"), "id", vec.doubles(F.col("vec")).alias("vec")).where(F.col("key") < int((1 << 40) * min(1.0, sample / max(1, n)))).collect()
+    x = np.array([r.vec for r in sorted(picked, key=lambda r: (r.key, r.id))], float)
     c = x[:lists].copy()
     for _ in range(steps):
         near = np.concatenate([((c**2).sum(axis=1)[None] - 2 * x[a : a + 2048] @ c.T).argmin(axis=1) for a in range(0, len(x), 2048)])
