@@ -21,6 +21,8 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # gives freed memory back
     env.setdefault("MALLOC_TRIM_THRESHOLD_", "262144")
+    # a union that claims its children's partitioning can have twice their partitions once adaptive execution has merged some
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
