@@ -11,12 +11,13 @@ from pyspark.sql.window import Window
 from tessera.functions.table import beside
 from tessera.session import written
 
-from .graph import laplacian_features
+from .graph import balanced_regions, laplacian_features, spanning_components, undirected
 from .kmeans import kmeans
 from .knn import interleave, knn_graph
 from .optimizer import Options, optimize
+from .preprocess import renumber
 from .sampling import landmarks
-from .spatial import grid_knn, landmark_strata
+from .spatial import grid_knn, jitter, jitter_width, landmark_strata, repair_singletons, separate_samples
 from .votes import cv_neighbours, majority
 
 
@@ -64,6 +65,34 @@ def dissimilarity(graph: DataFrame, labels: DataFrame) -> DataFrame:
     return e.select("i", "j", d.alias("dist"), "valid", "same").withColumn("rank", F.row_number().over(w)).select("i", "rank", "j", "dist", "valid", "same")
 
 
+def spatial_groups(points: DataFrame, clusters: int, resolution: float = 0.3, mode: int = 0, seed: int = 1234, constrain: DataFrame | None = None) -> DataFrame:
+    """points(id, sample, vec) -> (id, grp): neighbourhoods that share a fold and move together, none across samples.
+
+    mode 0: k-means of jittered coordinates into `clusters`; 1: components of the lightest neighbour edges down
+    to as many; -1: connected regions of at least 1 / resolution rows within each sample. Regions are cut by
+    sample, and a region of one row joins its nearest larger one. With constrain(id, grp), a constraint group
+    goes whole to the region of most of its rows (within a sample).
+    """
+    if "sample" not in points.columns:
+        points = points.withColumn("sample", F.lit(0))
+    apart = written(separate_samples(points), "points")
+    n = apart.count()
+    if mode == 0:
+        near = written(grid_knn(apart.drop("sample"), min(20, n), exclude_self=False), "near")
+        moved = jitter(apart.drop("sample"), jitter_width(apart, near, min(20, n)), seed)
+        found = kmeans(moved, max(1, min(clusters, n)), 10, seed)[0].withColumnRenamed("cluster", "region")
+    else:
+        near = grid_knn(apart if mode < 0 else apart.drop("sample"), max(1, min(32, n - 1)))
+        edges = written(undirected(near.select("i", "j", F.col("dist").alias("w"))), "edges")
+        found = balanced_regions(edges, apart, resolution) if mode < 0 else spanning_components(edges, apart, clusters).withColumnRenamed("component", "region")
+    cut = written(renumber(found.join(apart.select("id", "sample"), "id"), "sample", "region"), "regions")
+    whole = repair_singletons(apart.join(cut.withColumnRenamed("grp", "cluster"), "id"))
+    if constrain is None:
+        return whole.select("id", F.col("cluster").cast("long").alias("grp"))
+    own = whole.select("id", F.col("cluster").alias("label")).join(constrain.select("id", "grp"), "id").join(apart.select("id", "sample"), "id")
+    return written(own.select("id", "sample", "grp").join(majority(own, "sample", "grp"), ["sample", "grp"]), "groups").select("id", F.col("label").cast("long").alias("grp"))
+
+
 def run_ensemble(
     rows: DataFrame,
     runs: int = 100,
@@ -80,12 +109,15 @@ def run_ensemble(
     constrain: DataFrame | None = None,
     fixed: DataFrame | None = None,
     spatial: DataFrame | None = None,
+    resolution: float = 0.3,
+    mode: int = 0,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows(id, vec) -> (labels(run, id, label), runs(run, cycle, accuracy, score), graph with agreement).
 
     The graph is built once; every run draws its landmarks (three quarters of fewer rows than `take`) by
     strata, labels them by cluster, optimises, and projects the labels to all rows; members of a constraint
-    group get their group's majority. Runs are tasks of their own, bounded by their landmarks.
+    group get their group's majority. With spatial(id, sample, vec), landmarks are drawn by grid cells, the
+    graph takes turns with the spatial one, and neighbourhoods (see spatial_groups) are constraint groups. Runs are tasks of their own, bounded by their landmarks.
     """
     n = rows.count()
     if n < 3:
@@ -105,6 +137,8 @@ def run_ensemble(
         strata = initial.select("id", F.col("label").alias("stratum"))
     if start is not None:
         initial = start.select("id", F.col("label").cast("long").alias("label"))
+    if spatial is not None:
+        constrain = written(spatial_groups(spatial, max(1, round(size * resolution)), resolution, mode, seed, constrain), "groups")
     groups = constrain.select("id", F.col("grp").cast("long").alias("grp")) if constrain is not None else rows.select("id", F.col("id").cast("long").alias("grp"))
     frozen = fixed.select("id", "fixed") if fixed is not None else rows.select("id", F.lit(False).alias("fixed"))
     base = initial.join(groups, "id").join(frozen, "id").join(rows.select("id", "vec"), "id")

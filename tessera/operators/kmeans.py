@@ -23,12 +23,14 @@ def assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
         for pdf in it:
-            x = np.array(pdf["vec"].tolist(), float).reshape(len(pdf), -1)
-            d = np.zeros((len(x), len(c)))
-            for k in range(x.shape[1]):
-                diff = x[:, k, None] - c[None, :, k]
-                d += diff * diff
-            yield pd.DataFrame({"id": pdf["id"], "cluster": d.argmin(axis=1) + 1, "d2": d.min(axis=1)})
+            step = max(1, 2_000_000 // max(1, len(c)))
+            for a in range(0, len(pdf), step):
+                x = np.array(pdf["vec"].iloc[a : a + step].tolist(), float).reshape(min(step, len(pdf) - a), -1)
+                d = np.zeros((len(x), len(c)))
+                for k in range(x.shape[1]):
+                    diff = x[:, k, None] - c[None, :, k]
+                    d += diff * diff
+                yield pd.DataFrame({"id": pdf["id"].iloc[a : a + step], "cluster": d.argmin(axis=1) + 1, "d2": d.min(axis=1)})
 
     return rows.select(F.col("id").cast("long").alias("id"), V.doubles(F.col("vec")).alias("vec")).mapInPandas(run, "id long, cluster int, d2 double")
 

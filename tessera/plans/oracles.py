@@ -109,6 +109,7 @@ oracle(
     j4_filtered_knn=f"WITH {F}, {knn('e', 5, 'f', 'f', on='a.id <> b.id AND b.id % 3 = 0')} {EDGES} e",
     j5_grid_knn=f"WITH {F}, {P}, {knn('e', 10, 'p', 'p')} {EDGES} e",
     j6_nearest=f"WITH {F}, {P}, {knn('e', 1, 'p', 'p', on='a.sample = 1 AND b.sample = 0')} SELECT i, j, {r6('dist', 'dist')} FROM e",
+    j7_self_graph_clamped=f"WITH p AS (SELECT CAST(n_nationkey AS BIGINT) AS id, [CAST(n_nationkey * 7 % 11 AS DOUBLE), CAST(n_nationkey * 5 % 13 AS DOUBLE)] AS v FROM nation), {knn('e', 100, 'p', 'p')} {EDGES} e",
     j9_normalize_graph=f"""WITH x AS (SELECT l_suppkey AS i, l_partkey % 120 AS j, round(min(CAST(l_tax AS DOUBLE)) - 0.04, 6) AS dist, min(l_orderkey * 10 + l_linenumber) AS was FROM lineitem GROUP BY 1, 2),
       y AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY was, j) AS rank FROM x WHERE i <> j AND j IN (SELECT i FROM x)) SELECT i, CAST(rank AS INTEGER) AS rank, j, {r6('greatest(dist, 0.0)', 'dist')} FROM y WHERE rank <= 5""",
     j10_induced=f"WITH {graph()} SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY rank, j) AS INTEGER) AS rank, j, {r6('dist', 'dist')} FROM e WHERE i % 2 = 0 AND j % 2 = 0",

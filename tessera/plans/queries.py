@@ -231,6 +231,12 @@ def j6_nearest(spark, sf_dir):
     return rounded(knn.nearest(p.where("sample = 1"), p.where("sample = 0")), "dist")
 
 
+@query
+def j7_self_graph_clamped(spark, sf_dir):
+    some = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.array((F.col("n_nationkey") * 7 % 11).cast("double"), (F.col("n_nationkey") * 5 % 13).cast("double")).alias("vec"))
+    return rounded(knn.knn_graph(some, 100), "dist")
+
+
 @query
 def j9_normalize_graph(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
@@ -504,6 +510,17 @@ def c12_ensemble_graph(spark, sf_dir):
     return rounded(d.where("same > 0"), "dist")
 
 
+def _regions(mode):
+    def run(spark, sf_dir):
+        return ensemble.spatial_groups(points(spark, sf_dir), 40, 0.2, mode)
+
+    return run
+
+
+for _m in (0, 1, -1):
+    QUERIES[f"c11_spatial_groups_{('kmeans', 'forest', 'balanced')[_m]}"] = _regions(_m)
+
+
 @query
 def c14_laplacian_weights(spark, sf_dir):
     return rounded(graph.laplacian_weights(self_graph(spark, sf_dir)), "w")
@@ -594,6 +611,12 @@ def g3_walktrap(spark, sf_dir):
     return graph.cluster_graph(self_graph(spark, sf_dir), features(spark, sf_dir))
 
 
+@query
+def g5_embedding_cluster(spark, sf_dir):
+    y = written(linalg.pca(features(spark, sf_dir), 2)[0], "scores")
+    return graph.cluster_graph(written(knn.knn_graph(y, 30), "graph"), y, target=10)
+
+
 @query
 def g4_merge_to(spark, sf_dir):
     e = written(graph.weigh(self_graph(spark, sf_dir), "distance"), "weights")

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package."""
+    """Lets Python workers import this package, and settles the session for its plans."""
     env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
+    # a union that claims its children's partitioning can have twice their partitions once adaptive execution has merged some
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a table in the shared folder, read back: computed once, lineage cut, safe against lost executors."""
+    prepare(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -88,3 +88,17 @@ def test_kernels_check_their_size(spark):
     none = spark.createDataFrame([], "run int, i long, rank int, j long, dist double")
     with pytest.raises(TooLarge):
         optimizer.optimize(rows, none, optimizer.Options(), most=20)
+
+
+@pytest.mark.parametrize("mode", [0, 1, -1])
+def test_spatial_groups_stay_in_their_sample(spark, mode):
+    rng = np.random.default_rng(4)
+    p = spark.createDataFrame([(i, i % 2, rng.random(2).tolist()) for i in range(90)], "id long, sample int, vec array<double>")
+    got = {r.id: r.grp for r in ensemble.spatial_groups(p, 12, 0.2, mode).collect()}
+    sizes = {}
+    for i, g in got.items():
+        sizes.setdefault(g, set()).add(i)
+    assert len(got) == 90 and all(len({i % 2 for i in s}) == 1 and len(s) > 1 for s in sizes.values())
+    constrain = spark.createDataFrame([(i, i // 4) for i in range(90)], "id long, grp long")
+    tied = {r.id: r.grp for r in ensemble.spatial_groups(p, 12, 0.2, mode, constrain=constrain).collect()}
+    assert all(tied[i] == tied[j] for i in range(90) for j in range(i) if i // 4 == j // 4 and i % 2 == j % 2)
