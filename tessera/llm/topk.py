@@ -25,8 +25,8 @@ SCALE = 64
 DIM_BLOCK = 16
 #: Queries and candidates handled at once.
 QUERY_BLOCK, CANDIDATE_BLOCK = 128, 2_048
-#: Queries, and candidates, that meet in one task.
-TASK_QUERIES, TASK_CANDIDATES = 8_192, 65_536
+#: Queries, and candidates, that meet in one task at most; candidates from which rows are dealt to more tasks.
+TASK_QUERIES, TASK_CANDIDATES, LEAST_CANDIDATES = 8_192, 65_536, 4_096
 #: Sums beyond it may not be exact in float64.
 EXACT = 2.0**52
 
@@ -132,7 +132,7 @@ def exact_topk(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "ve
     total = packed.agg(F.count("*").alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).first()
     parts = partitions(spark)
     groups_q = max(1, -(-total.q // TASK_QUERIES))
-    groups_c = max(1, -(-total.n // TASK_CANDIDATES), -(-parts // groups_q))
+    groups_c = max(1, -(-total.n // TASK_CANDIDATES), min(-(-parts // groups_q), -(-total.n // LEAST_CANDIDATES)))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     ask = packed.where("asks").select(own(groups_q).alias("gq"), "id", "packed", F.lit(True).alias("asks")).withColumn("gc", spread(groups_c))
