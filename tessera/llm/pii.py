@@ -11,6 +11,7 @@ identifiers that the base forms miss, where a token's own form allows the kind.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -81,7 +82,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _context(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: the word before it, the two before it, the words at both sides."""
+    """The lexical patterns around a span, within 80 characters before and 40 after it: the word before it, the two before it, the words at both sides."""
     left = [w.strip(_TRIM).lower() for w in text[max(0, start - 80) : start].split()[-2:]]
     right = [w.strip(_TRIM).lower() for w in text[end : end + 40].split()[:1]]
     left = [w for w in left if w and not _DIGIT.search(w)]
@@ -111,8 +112,7 @@ def _others(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str,
             i += 1
         if i < len(taken) and taken[i][0] < b:
             continue
-        if len(word) <= 320:
-            yield next((k for k, form in _FORMS if form.match(word)), ""), a, b
+        yield next((k for k, form in _FORMS if form.match(word)), ""), a, b
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +124,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             spans = base_spans(text)
             for k, f, a, b in [*((k, "", a, b) for k, a, b in spans), *(("", f, a, b) for f, a, b in _others(text, spans))]:
+                name = text[a:b].lower()
+                name = name if len(name) <= 320 else hashlib.sha256(name.encode()).hexdigest()
                 for p in _context(text, a, b):
                     pattern.append(p)
-                    instance.append(text[a:b].lower())
+                    instance.append(name)
                     kind.append(k)
                     form.append(f)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (pattern, instance, kind, form)], ["pattern", "instance", "kind", "form"])

@@ -71,6 +71,8 @@ def test_patterns_find_unseen_identifiers(spark):
             assert not s.base and s.kind == "phone" and t[: s.start].endswith("telephone ")
     assert {(r.pattern, r.kind) for r in learn_patterns(df).collect()} == {("telephone _", "phone")}
     assert personal_data(df.limit(0)).collect() == []
+    long = spark.createDataFrame([(1, "id " + "1x" * 300_000 + " a@b.cd"), (2, "@" * 100_000 + " 1" * 100_000)], "doc_id long, text string")
+    assert {r.doc_id: [s.kind for s in r.spans] for r in personal_data(long).collect()} == {1: ["email"], 2: [k for k, *_ in brute("@" * 100_000 + " 1" * 100_000)]}
 
 
 def test_mask(spark):
