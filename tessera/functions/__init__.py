@@ -1 +1 @@
-
+"""Column and table expressions."""

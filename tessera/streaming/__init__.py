@@ -1 +1 @@
-
+"""No operator of this engine is a stream; see the README."""
