@@ -41,12 +41,23 @@ def _stacked(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), float).reshape(len(column), -1)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows over their norms, summed in order of dimensions; a zero or non-finite norm counts as 1."""
+    n = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        n += x[:, d] * x[:, d]
+    n = np.sqrt(n)
+    return x / np.where(np.isfinite(n) & (n > 0), n, 1.0)[:, None]
+
+
 def _nearest(k: int, metric: str, exclude_self: bool, apart: bool):
     def run(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(b):
             b = b.sort_values("id")
             qv, bv, bid = _stacked(q["vec"]), _stacked(b["vec"]), b["id"].to_numpy()
+            if metric == "cosine":
+                qv, bv = _units(qv), _units(bv)
             for a in range(0, len(q), 256):
                 d = _distances(qv[a : a + 256], bv, metric)
                 if exclude_self:
@@ -83,7 +94,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclide
     prepare(spark)
     part = F.col(apart).cast("long") if apart else F.lit(0).cast("long")
     shaped = lambda df: df.select(
-        F.col("id").cast("long").alias("id"), (vec.unit(vec.doubles(F.col("vec"))) if metric == "cosine" else vec.doubles(F.col("vec"))).alias("vec"), part.alias("part")
+        F.col("id").cast("long").alias("id"), vec.doubles(F.col("vec")).alias("vec"), part.alias("part")
     ).where("id is not null and vec is not null")
     q, b = shaped(queries), shaped(base)
     blocks = lambda df: max(1, -(-df.count() // BLOCK))
