@@ -24,8 +24,8 @@ from .runtime import prepare, written
 KINDS = ("email", "ip", "card", "phone")
 #: Confidence from which a pattern or an instance counts as known, and the rounds of scoring.
 CONFIDENT, ROUNDS = 0.9, 3
-#: Patterns come with at least this share of the corpus's occurrences, and at least LEAST of them: so many can't exceed 3 / SHARE a kind.
-SHARE, LEAST = 1e-5, 20
+#: Distinct instances that a pattern comes with at least, whatever the corpus's size; patterns that are held in memory at a time.
+LEAST, HELD = 20, 100_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -142,8 +142,7 @@ def learn_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     prepare(docs.sparkSession)
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(_occurrences, "pattern string, instance string, kind string, form string")
     edges = written(found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("form").alias("form")), "occurrences")
-    least = max(LEAST, int(SHARE * edges.count()))
-    strong = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    strong = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
     edges = edges.join(strong, "pattern")
     known = edges.where("kind <> ''").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
     patterns = None
@@ -172,12 +171,44 @@ def all_spans(text: str, patterns: dict[str, dict[str, float]]) -> tuple[list, l
     return base, more
 
 
-def _known(patterns: DataFrame) -> dict[str, dict[str, float]]:
-    """At most 3 / SHARE patterns: a pattern takes part in SHARE of all edges, and a token has three."""
-    out: dict[str, dict[str, float]] = {}
-    for r in patterns.collect():
-        out.setdefault(r.pattern, {})[r.kind] = r.confidence
-    return out
+def _held(patterns: DataFrame) -> Iterator[dict[str, dict[str, float]]]:
+    """The patterns in blocks of about HELD by their hash, one at least."""
+    blocks = max(1, -(-patterns.count() // HELD))
+    for k in range(blocks):
+        out: dict[str, dict[str, float]] = {}
+        for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect():
+            out.setdefault(r.pattern, {})[r.kind] = r.confidence
+        yield out
+
+
+_ADDED = "array<struct<kind:string,start:int,end:int>>"
+
+
+def _with_added(rows: DataFrame, text_col: str, patterns: DataFrame) -> tuple[DataFrame, dict[str, dict[str, float]]]:
+    """rows with a last column _added, the spans that all but the last block of patterns add, and the last block.
+
+    With more than one block the rows are written after each: a span is added if any of its patterns is known.
+    """
+    rows = rows.withColumn("_added", F.array().cast(_ADDED))
+    at, schema, held = rows.columns.index(text_col), rows.schema, None
+    for block in _held(patterns):
+        if held is not None:
+            known = rows.sparkSession.sparkContext.broadcast(held)
+
+            def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    columns = list(batch.columns)
+                    added = [_merged(old, all_spans(t or "", known.value)[1]) for t, old in zip(columns[at].to_pylist(), columns[-1].to_pylist(), strict=True)]
+                    columns[-1] = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in a] for a in added], columns[-1].type)
+                    yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+            rows = written(rows.mapInArrow(run, schema), "added")
+        held = block
+    return rows, held
+
+
+def _merged(old: list[dict], new: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    return sorted({*((s["kind"], s["start"], s["end"]) for s in old), *new}, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns: DataFrame | None = None) -> DataFrame:
@@ -189,26 +220,29 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Other columns are ignored. patterns: learn_patterns' result, learned from the documents by default.
     """
     prepare(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(_known(learn_patterns(docs, text_col) if patterns is None else patterns))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, last = _with_added(rows, "text", learn_patterns(docs, text_col) if patterns is None else patterns)
+    known = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
+            for text, added in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 base, more = all_spans(text or "", known.value)
+                more = _merged(added, more)
                 spans = [(k, a, b, True) for k, a, b in base] + [(k, a, b, False) for k, a, b in more]
                 spans.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
                 out.append([dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
-def masked(text: str, patterns: dict[str, dict[str, float]]) -> str:
-    """The text with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
+def masked(text: str, patterns: dict[str, dict[str, float]], added: list[dict] = ()) -> str:
+    """The text with every span, and those added before, replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
     base, more = all_spans(text, patterns)
+    more = _merged(added, more)
     if not base and not more:
         return text
     out, done = [], 0
@@ -223,14 +257,15 @@ def masked(text: str, patterns: dict[str, dict[str, float]]) -> str:
 def mask(docs: DataFrame, text_col: str = "text", patterns: DataFrame | None = None) -> DataFrame:
     """The documents, all columns, with personal data in the text masked. Null texts stay null."""
     prepare(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(_known(learn_patterns(docs, text_col) if patterns is None else patterns))
+    rows, last = _with_added(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, learn_patterns(docs, text_col) if patterns is None else patterns)
+    known = docs.sparkSession.sparkContext.broadcast(last)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([t and masked(t, known.value) for t in batch.column(at).to_pylist()], pa.string())
-            columns = list(batch.columns)
-            columns[at] = texts
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            *columns, added = batch.columns
+            texts = zip(columns[at].to_pylist(), added.to_pylist(), strict=True)
+            columns[at] = pa.array([t and masked(t, known.value, a) for t, a in texts], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)

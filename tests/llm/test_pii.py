@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+from tessera.llm import pii
 from tessera.llm.pii import base_spans, learn_patterns, mask, masked, personal_data
 
 PLAIN = {
@@ -75,6 +76,24 @@ def test_patterns_find_unseen_identifiers(spark):
     assert {r.doc_id: [s.kind for s in r.spans] for r in personal_data(long).collect()} == {1: ["email"], 2: [k for k, *_ in brute("@" * 100_000 + " 1" * 100_000)]}
 
 
+def test_support_does_not_grow_with_the_corpus(spark):
+    noise = spark.range(0, 2_100_000, 1, 16).selectExpr("concat('ab cd 7x', id, ' ef') as text")  # 6.3 million edges, of which 1e-5 are 63
+    seeds = spark.range(50).selectExpr("concat('dial +1 555-01', 1000 + id) as text")
+    assert [(r.pattern, r.kind) for r in learn_patterns(noise.union(seeds)).collect()] == [("dial _", "phone")]
+
+
+def test_blocks_of_patterns_equal_one(spark, monkeypatch):
+    words = ["call", "ring", "dial", "fax", "mobile", "desk"]
+    patterns = spark.createDataFrame([(f"{w} _", k, 0.95) for w in words for k in ("phone", "card")], "pattern string, kind string, confidence double")
+    rows = [(i, " and ".join(f"{w} 555-1234-{100 + i}" for w in words[i % 3 :]) + " or a@b.cd") for i in range(9)] + [(3, None), (None, "fax 555-1234-999")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = [sorted(map(str, f(df, patterns=patterns).collect())) for f in (personal_data, mask)]
+    assert sum(s.count("base=False") for s in one[0]) == 3 * (6 + 5 + 4) + 1
+    monkeypatch.setattr(pii, "HELD", 3)
+    assert len([b for b in pii._held(patterns) if b]) > 1
+    assert [sorted(map(str, f(df, patterns=patterns).collect())) for f in (personal_data, mask)] == one
+
+
 def test_mask(spark):
     assert masked("write a@b.cd or +1 (234) 555-1234!", {}) == "write <EMAIL> or <PHONE>!"
     assert masked("call 555-1234-999", {"call _": {"phone": 0.95}}) == "call <PHONE>"
