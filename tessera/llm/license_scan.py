@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-A paragraph (a line of the text) has a bag of word 1- to 3-grams. Multinomial logistic regression, trained
+A paragraph is a line of the text, or a window of a template's length in a block of lines that no line without
+a word interrupts (hard-wrapped notices, several notices in a line). It has a bag of word 1- to 3-grams. Multinomial logistic regression, trained
 here on variants of the templates against background paragraphs, gives each licence family's probability,
 with a class for everything else; its temperature is calibrated on variants kept from training. The
 features are the n-grams of the templates, all others have no weight, so the model is sparse and most
@@ -9,6 +10,7 @@ paragraphs need no score. A prediction counts if it is likely enough and a templ
 
 from __future__ import annotations
 
+import bisect
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -177,19 +179,91 @@ def train(background: list[str], seed: int = 7) -> Model:
 _MASK = np.uint64((1 << 20) - 1)
 _NOT_BREAK = np.ones(256, bool)
 _NOT_BREAK[10] = False
+#: Comment markers that are words, where a line begins with one; others have no letter or digit.
+_MARKERS = np.sort(np.concatenate([hashed(w) for w in ("rem", "dnl", "c")]))
+
+
+class _Windows:
+    """Finds the windows of a text's words that agree with templates, by template word pairs."""
+
+    def __init__(self, model: Model):
+        self.pairs = np.array(sorted(set().union(*(t for _, t in model.templates))), np.uint64)
+        self.member = np.array([[x in t for _, t in model.templates] for x in self.pairs.tolist()], np.int64)
+        self.sizes = self.member.sum(axis=0)
+        self.families = [f for f, _ in model.templates]
+        self.on = np.zeros(1 << 20, bool)
+        self.on[(self.pairs & _MASK).astype(np.int64)] = True
+
+    def of(self, h: np.ndarray, block: np.ndarray) -> Iterator[list[tuple[float, int, int, int]]]:
+        """(agreement, family, first word, last word + 1) of the windows of each block that has some."""
+        run = joined(h, 2)
+        at = np.flatnonzero(self.on[(run & _MASK).astype(np.int64)])
+        at = at[block[at] == block[at + 1]]
+        ids = np.minimum(np.searchsorted(self.pairs, run[at]), len(self.pairs) - 1)
+        same = self.pairs[ids] == run[at]
+        at, ids = at[same], ids[same]
+        cuts = np.flatnonzero(np.diff(block[at], prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=False):
+            if b - a < AGREES * self.sizes.min():
+                continue
+            agree = self.member[np.unique(ids[a:b])].sum(axis=0) >= AGREES * self.sizes
+            out = []
+            for t in np.flatnonzero(agree).tolist():
+                own = np.flatnonzero(self.member[ids[a:b], t]) + a
+                size = int(self.sizes[t])
+                out += [(n / size, self.families[t], x, y) for n, x, y in _best(ids[own].tolist(), at[own].tolist(), AGREES * size, size + size // 2 + 3)]
+            if out:
+                yield out
+
+
+def _best(ids: list[int], at: list[int], need: float, size: int) -> list[tuple[int, int, int]]:
+    """(distinct pairs, first word, last word + 1) of windows of at most size words, from left to right, each with the most pairs."""
+    out, seen, best = [], {}, None
+    left = right = 0
+    while right < len(ids) or best:
+        if best and (right == len(ids) or at[right] - best[1] > size):
+            out.append(best[:3])
+            left = right = best[3] + 1
+            seen, best = {}, None
+            continue
+        seen[ids[right]] = seen.get(ids[right], 0) + 1
+        while at[right] - at[left] > size or seen[ids[left]] > 1:
+            seen[ids[left]] -= 1
+            if not seen[ids[left]]:
+                del seen[ids[left]]
+            left += 1
+        if len(seen) >= need and (best is None or len(seen) > best[0]):
+            best = (len(seen), at[left], at[right] + 2, right)
+        right += 1
+    return out
+
+
+def _chosen(model: Model, windows: list[tuple[float, int, int, int]], h: np.ndarray) -> Iterator[tuple[float, int, int, int, float]]:
+    """Windows that the classifier confirms and that share no word with one that agrees better, with the probability."""
+    firsts: list[int] = []
+    ends: list[int] = []
+    for s, family, a, b in sorted(windows, key=lambda w: (-w[0], w[2] - w[3], w[2], w[1])):
+        i = bisect.bisect_left(firsts, b)  # those before begin before the window's end
+        if i and ends[i - 1] > a:
+            continue
+        p = model.probabilities(_bag(model.features, h[a:b])[None, :])[0]
+        if int(p.argmax()) == family and p[family] >= LIKELY:
+            firsts.insert(i, a)
+            ends.insert(i, b)
+            yield s, family, a, b, float(p[family])
 
 
 def findings(model: Model, column: pa.Array) -> Iterator[list[dict]]:
-    """The confirmed paragraphs of each text: family, start and end (code points), probability, agreement."""
+    """The confirmed paragraphs of each text: family, start and end (code points) of their lines, probability, agreement."""
     on = np.zeros(1 << 20, bool)
     on[(model.features & _MASK).astype(np.int64)] = True
     other = len(model.families) - 1
+    templates = _Windows(model)
     for a, b, data, offsets in chunks(column):
         low = LOWER[data]
         starts, ends, first = words(low, offsets, ALNUM)
         h = word_hashes(low, starts, ends)
         lines, line_ends, _ = words(low, offsets, _NOT_BREAK)
-        out: list[list[dict]] = [[] for _ in range(b - a)]
         # three-word features only occur in notices, so paragraphs without one are left
         run = joined(h, GRAMS)
         at = np.flatnonzero(on[(run & _MASK).astype(np.int64)])
@@ -200,6 +274,7 @@ def findings(model: Model, column: pa.Array) -> Iterator[list[dict]]:
             two = joined(h, 2)[single]
             single = single[model.features[np.minimum(np.searchsorted(model.features, two), len(model.features) - 1)] == two]
         line = np.unique(np.searchsorted(lines, starts[np.concatenate([at, single])], side="right") - 1)
+        alone: dict[tuple[int, int], tuple[float, float]] = {}  # (line, family)
         for i in line.tolist():
             x, y = int(lines[i]), int(line_ends[i])
             w0, w1 = np.searchsorted(starts, [x, y])
@@ -208,10 +283,41 @@ def findings(model: Model, column: pa.Array) -> Iterator[list[dict]]:
             family = int(p.argmax())
             if family == other or p[family] < LIKELY or (s := agreement(model, family, own)) < AGREES:
                 continue
+            alone[i, family] = (s, float(p[family]))
+        found: dict[tuple[int, int, int], tuple[float, float]] = {}  # (first line, last line, family)
+        if len(h) > 1:
+            of = np.searchsorted(lines, starts, side="right") - 1
+            kept = (np.diff(of, prepend=-1) == 0) | (_MARKERS[np.minimum(np.searchsorted(_MARKERS, h), len(_MARKERS) - 1)] != h)
+            doc = np.searchsorted(offsets, lines, side="right") - 1
+            apart = np.append(True, (lines[1:] != line_ends[:-1] + 1) | (doc[1:] != doc[:-1]))  # from the line before
+            wordless = np.ones(len(lines), bool)
+            wordless[of] = False
+            apart[1:] |= wordless[:-1]
+            block = np.cumsum(apart)[of]
+            if not kept.all():
+                h, of, block = h[kept], of[kept], block[kept]
+            for windows in templates.of(h, block):
+                for s, family, w0, w1, p in _chosen(model, windows, h):
+                    i, j = int(of[w0]), int(of[w1 - 1])
+                    key = (i, j, family)
+                    found[key] = max(found.get(key, (0.0, 0.0)), (s, p))
+        own = {(k, f) for i, j, f in found for k in range(i, j + 1)}
+        for i, j, family in list(found):
+            for k in range(i, j + 1):
+                if (k, family) in alone:
+                    found.pop((i, j, family), None)  # the line says it
+                if i < j:  # a line by itself can be taken for another family than its block
+                    for f in range(other):
+                        if f != family and (k, f) not in own and (k, f) in alone and alone[k, f][0] < found.get((i, j, family), (0.0,))[0]:
+                            del alone[k, f]
+        found |= {(i, i, family): v for (i, family), v in alone.items()}
+        out: list[list[dict]] = [[] for _ in range(b - a)]
+        for (i, j, family), (s, p) in sorted(found.items()):
+            x, y = int(lines[i]), int(line_ends[j])
             d = int(np.searchsorted(offsets, x, side="right")) - 1
             text = bytes(data[offsets[d] : y])
             begin = len(text[: x - int(offsets[d])].decode())
-            out[d].append({"family": model.families[family], "start": begin, "end": begin + len(text[x - int(offsets[d]) :].decode()), "probability": float(p[family]), "agreement": s})
+            out[d].append({"family": model.families[family], "start": begin, "end": begin + len(text[x - int(offsets[d]) :].decode()), "probability": p, "agreement": s})
         yield from out
 
 
@@ -226,7 +332,8 @@ def background(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, licences array<struct<family, start, end, probability, agreement>>.
 
-    In text order, over the whole text; a paragraph is a line. Null and empty texts have none; repeated
+    In text order, over the whole text, each with the lines that it lies on; lines with notices of several
+    families give one for each. Null and empty texts have none; repeated
     rows give as many rows; an empty table none; of families with one probability the first by name is
     taken. Other columns are ignored.
     """

@@ -1,6 +1,7 @@
 """op4: planted notices, altered ones, and text that only resembles them."""
 
 import random
+import textwrap
 
 import pyarrow as pa
 import pytest
@@ -36,6 +37,29 @@ def test_altered_and_alike(model):
     assert [x["family"] for x in found(model, long + "\nLicensed under CC BY-NC 4.0.\n" + long)] == ["CC-BY-NC"]
 
 
+@pytest.mark.parametrize("marker", ["", " * ", "// ", "# ", "dnl "])
+@pytest.mark.parametrize("width", [40, 60, 76])
+def test_wrapped_templates_are_found(model, marker, width):
+    for family, texts in S.TEMPLATES.items():
+        for t in texts:
+            lines = textwrap.wrap(t, width, break_on_hyphens=False)
+            body = "\n".join(marker + x for x in lines)
+            text = f"{marker}A file é.\n{marker.rstrip() if marker != 'dnl ' else ''}\n{body}\n\n{marker}the words after"
+            got = found(model, text)
+            assert {x["family"] for x in got} == {family}, (t, got)
+            assert body.startswith(text[got[0]["start"] : got[-1]["end"]]) or text[got[0]["start"] : got[-1]["end"]] in body
+
+
+def test_every_family_of_a_line_is_found(model):
+    mit, apache, bsd = S.TEMPLATES["MIT"][2], S.TEMPLATES["Apache-2.0"][1], S.TEMPLATES["BSD"][2]
+    for text in (f"{mit} {apache}", f"some words {bsd} and more words of others {mit} the end {apache}"):
+        got = found(model, text)
+        assert {x["family"] for x in got} == {f for f, t in (("MIT", mit), ("Apache-2.0", apache), ("BSD", bsd)) if t in text}
+        assert all((x["start"], x["end"]) == (0, len(text)) for x in got)
+    words = mit.split()
+    assert found(model, " ".join(words[:13]) + "\n\n" + " ".join(words[13:])) == []  # two paragraphs, neither with enough of it
+
+
 def test_scan(spark, model):
     rows = [(1, "x\nReleased under the MIT License.", "a"), (2, None, "b"), (None, "Released under the MIT License.", "c"), (2, "", "d"), (1, "x\nReleased under the MIT License.", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, licences string")
