@@ -19,10 +19,10 @@ from tessera.llm.runtime import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a text or a letter go."""
+    """Documents with a letter; those without a text or a letter go. Where no language was learned, none is told and none goes for it."""
     others = tuple(c for c in docs.columns if c != "doc_id")
     found = identify(docs, fit(docs.where(~held_out()).select("text", "lang")), keep=others)
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    return found.where((F.col("lang_pred") != UNDETERMINED) | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

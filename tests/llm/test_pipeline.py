@@ -62,3 +62,14 @@ def test_stages_keep_the_columns(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
         assert last.count() == docs.count()
+
+
+def test_no_language_learned_keeps_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for langs in ((None, None), (None, "en")):  # the second row has no id, so nothing is learned from it
+        rows = [(1, "some text", langs[0], None, None), (None, "more words é", langs[1], "x", 9), (2, "12 34", None, None, None), (3, None, None, None, None), (4, "", None, None, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert sorted(r.text for r in docs.collect()) == ["more words é", "some text"]
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 2
