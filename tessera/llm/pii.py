@@ -34,11 +34,14 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Identifier-like tokens that aren't base matches: a form that a kind may have.
+#: Identifier-like tokens that aren't base matches, of which digit groups with single spaces between are one: a form that a kind may have.
 _TOKEN = re.compile(r"\S*[0-9@]\S*")
+_GROUPS = re.compile(r"[0-9().\-/]+\Z")
 _FORMS = (
     ("email", re.compile(r"[\w.%+-]+(?:@|\(at\)|\[at\])[\w-]+(?:(?:\.|\(dot\)|\[dot\])[\w-]+)*\Z")),
     ("ip", re.compile(r"(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}\Z|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+|/[0-9]+)\Z")),
+    ("card", re.compile(r"[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?\Z|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}\Z")),
+    ("phone", re.compile(r"(?=\S+ )(?=(?:[ ().\-/]*+[0-9]){7,15}+[ ().\-/]*+\Z)\(?[0-9]{1,5}\)?(?:(?:[-./ ]|(?<=\)))\(?[0-9]{2,5}\)?){1,6}\Z")),
     ("phone", re.compile(r"\(?[0-9]{2,4}\)?(?:[-./][0-9]{2,5}){1,4}\Z|00?[0-9]{8,13}\Z")),
     ("card", re.compile(r"[0-9]{13,19}\Z|[0-9]{4}(?:-[0-9]{4}){2,3}\Z")),
 )
@@ -97,11 +100,15 @@ def _context(text: str, start: int, end: int) -> list[str]:
 
 
 def _others(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """Identifier-like tokens outside the base spans, with the kind that their form allows ('' for none)."""
+    """Identifier-like tokens outside the base spans, with the kind that their form allows ('' for none).
+
+    Digit groups (with dots, hyphens, slashes and parentheses) that single spaces join are one token, as many as there are.
+    """
     if not _DIGIT.search(text) and "@" not in text:
         return
     taken = sorted((a, b) for _, a, b in spans)
     i = 0
+    held = None  # start, end, whether of digit groups, how many
     for m in _TOKEN.finditer(text):
         word = m[0].strip(_TRIM)
         if not word:
@@ -112,7 +119,25 @@ def _others(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str,
             i += 1
         if i < len(taken) and taken[i][0] < b:
             continue
-        yield next((k for k, form in _FORMS if form.match(word)), ""), a, b
+        groups = bool(_GROUPS.match(word))
+        if held and held[2] and groups and a == held[1] + 1 and text[held[1]] == " ":
+            held = (held[0], b, True, held[3] + 1)
+            continue
+        if held:
+            yield _formed(text, *held)
+        held = (a, b, groups, 1)
+    if held:
+        yield _formed(text, *held)
+
+
+def _formed(text: str, a: int, b: int, groups: bool, n: int) -> tuple[str, int, int]:
+    if n > 1:  # parentheses around all of it aren't part of it
+        word = text[a:b]
+        if word[0] == "(" and ")" not in word[:-1]:
+            a += 1
+        if word[-1] == ")" and "(" not in text[a:b]:
+            b -= 1
+    return next((k for k, form in _FORMS if form.match(text[a:b])), ""), a, b
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

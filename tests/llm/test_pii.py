@@ -76,6 +76,28 @@ def test_patterns_find_unseen_identifiers(spark):
     assert {r.doc_id: [s.kind for s in r.spans] for r in personal_data(long).collect()} == {1: ["email"], 2: [k for k, *_ in brute("@" * 100_000 + " 1" * 100_000)]}
 
 
+def test_identifiers_with_spaces(spark):
+    forms = lambda t: [(k, t[a:b]) for k, a, b in pii._others(t, base_spans(t))]
+    assert forms("ring (020) 7946 0958, or 020 7946-0958.") == [("phone", "(020) 7946 0958"), ("phone", "020 7946-0958")]
+    assert forms("(020 7946 0958)") == [("phone", "020 7946 0958")]
+    assert forms("card 4111 1111 1111 1112 x 4111-1111-1111-1112") == [("card", "4111 1111 1111 1112"), ("card", "4111-1111-1111-1112")]
+    assert forms("in 17. 45 2020  12 and 1 a1 2") == [("", "17"), ("", "45 2020"), ("", "12"), ("", "1"), ("", "a1"), ("", "2")]
+    assert forms("4111 1111 1111 1111 is a base form") == []
+    began = time.time()
+    for t in (" 1" * 500_000, "(1 " * 300_000, "1" * 500_000 + " 1x" * 300_000, "1." * 300_000 + " 1"):
+        list(pii._others(t, []))
+    assert time.time() - began < 30
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    local = lambda: f"020 {rng.randrange(2000, 9999)} {rng.randrange(1000, 9999)}"
+    rows = [(i, f"{word()} telephone +44 20 {rng.randrange(2000, 9999)} {rng.randrange(1000, 9999)} {word()}") for i in range(200)]
+    rows += [(200 + i, f"{word()} telephone {local() if i % 2 else local().replace(' ', '-')} {word()}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in personal_data(df).where("doc_id >= 200").collect():
+        text = dict(rows)[r.doc_id]
+        assert [(s.kind, text[s.start : s.end], s.base) for s in r.spans] == [("phone", re.search("020.[0-9]+.[0-9]+", text)[0], False)], text
+
+
 def test_support_does_not_grow_with_the_corpus(spark):
     noise = spark.range(0, 2_100_000, 1, 16).selectExpr("concat('ab cd 7x', id, ' ef') as text")  # 6.3 million edges, of which 1e-5 are 63
     seeds = spark.range(50).selectExpr("concat('dial +1 555-01', 1000 + id) as text")
