@@ -26,9 +26,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id."""
-    classes = written(near_duplicates(docs), "classes")
-    return without(docs, classes.where("doc_id <> component_id").select("doc_id").distinct())
+    """Of each group of linked rows one: of the smallest id, then by a hash of its columns; rows without an id link too and come last.
+
+    Rows are told apart by a key of their own, so repeated rows and copies under one id are linked like others.
+    """
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    place = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row").alias("place"))
+    classes = near_duplicates(keyed, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    placed = written(classes.join(place, "_row"), "classes")
+    first = placed.groupBy("component_id").agg(F.min("place").alias("place")).select("place._row")
+    gone = written(placed.join(first, "_row", "left_anti").select(F.col("_row").alias("doc_id")), "gone")
+    rows = keyed.select(F.col("_row").alias("doc_id"), *(F.col(c).alias(f"kept_{c}") for c in docs.columns))
+    return without(rows, gone).select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

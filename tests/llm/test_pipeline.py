@@ -73,3 +73,13 @@ def test_no_language_learned_keeps_documents(spark, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             assert sorted(r.text for r in docs.collect()) == ["more words é", "some text"]
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 2
+
+
+def test_rows_are_deduplicated_one_by_one(spark):
+    copy, other, third = ("one two three four five six seven", "a text of its own with other words", "the third text has no number at all")
+    rows = [(1, copy), (1, copy), (7, copy), (7, other), (None, third), (None, third), (9, None), (9, None), (None, ""), (8, copy), (None, copy), (5, third + " x " * 9)]
+    docs = spark.createDataFrame([(i, t, None, f"s{i}", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.ngram_jaccard_join(spark, docs.repartition(3), "")
+    assert got.columns == docs.columns
+    want = [(1, copy), (7, other), (None, third), (9, None), (9, None), (None, ""), (5, third + " x " * 9)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
