@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -19,9 +20,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share, in spark.checkpoint.dir; only a local master, as in tests, may leave it unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return root or "file:///tmp/checkpoints/tessera"
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it names a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -29,7 +34,26 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     prepare(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables that written() made and that nothing reads any more; others are left."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application; results that weren't read yet are lost."""
+    _delete(spark, shared_dir(spark))
 
 
 def partitions(spark: SparkSession) -> int:
