@@ -52,4 +52,4 @@ def with_bit(docs: DataFrame, bits, on: bool) -> DataFrame:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in gone(doc_id); rows without an id stay."""
     bits = id_bits(gone)
-    return with_bit(docs, bits, False).union(with_bit(docs, bits, True).join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return with_bit(docs, bits, False).union(with_bit(docs, bits, True).join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)))

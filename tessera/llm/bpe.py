@@ -246,7 +246,7 @@ _encoders: dict[tuple[int, int, str], object] = {}
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, (columns to keep), ids array<int>.
+    """One row per document: id, (columns to keep, as kept_<name>), ids array<int>.
 
     Each match of the pattern is encoded by itself, without special tokens. Null and empty texts have
     no ids. Rows that repeat, or have no id, give as many rows; an empty table none. The rank file is
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], [*batch.schema.names[1:], "ids"])
 
-    kept = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *keep)
+    kept = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
     return kept.mapInArrow(run, f"{schema}, ids array<int>")
 

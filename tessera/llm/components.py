@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,14 +17,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.select("a", "b").where("a is not null and b is not null").distinct(), "edges")
     roots = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), "roots")
+    step, loops = 0, edges
     edges = edges.where("a <> b")
-    step = 0
     while not edges.isEmpty():
         step += 1
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("rank"), c.alias("to"))
         both = edges.union(edges.select("b", "a"))
         best = both.groupBy(F.col("a").alias("from")).agg(F.min(rank(F.col("b"))).alias("near"))
         moves = written(best.select("from", F.least("near", rank(F.col("from")))["to"].alias("to")), "moves")
+        old = (roots, edges, loops)
+        loops = None
         roots = written(
             roots.join(moves, roots["root"] == moves["from"], "left").select("node", F.coalesce("to", "root").alias("root")), "roots"
         )
@@ -32,4 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         right = moves.select(F.col("from").alias("b"), F.col("to").alias("b2"))
         moved = edges.join(left, "a").join(right, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
         edges = written(moved.where("a <> b").distinct(), "edges")
+        discard(*old, moves)
+    discard(edges, loops)
     return roots

@@ -229,7 +229,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     benchmark hits nothing; an empty table gives no rows. Other columns are ignored.
     """
     prepare(docs.sparkSession)
-    kept = tuple(f"kept_{c}" for c in keep)
+    kept = tuple(f"`kept_{c}`" for c in keep)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
     bench = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")).dropna()
     blocks = _blocks(bench)

@@ -125,7 +125,7 @@ def mixtures(ll: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, (columns to keep), lang_pred, score, languages array<struct<lang, share>>.
+    """One row per document: id, (columns to keep, as kept_<name>), lang_pred, score, languages array<struct<lang, share>>.
 
     languages: the chosen set with its proportions, largest first; lang_pred is the first of them and
     score its proportion. A null text, one without a letter (Unicode category L), and any text if no
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     prepare(docs.sparkSession)
     langs = model[0]
     shared = docs.sparkSession.sparkContext.broadcast(model[1] / np.float32(OVERLAP))  # 256 KB for each language
-    kept = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *keep)
+    kept = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, written
+from .runtime import discard, fresh, prepare, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Confidence from which a pattern or an instance counts as known, and the rounds of scoring.
@@ -35,7 +35,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 #: Identifier-like tokens that aren't base matches, of which digit groups with single spaces between are one: a form that a kind may have.
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_TOKEN = re.compile(r"\S+")
+_MARK = re.compile(r"[0-9@]")
 _GROUPS = re.compile(r"[0-9().\-/]+\Z")
 _FORMS = (
     ("email", re.compile(r"[\w.%+-]+(?:@|\(at\)|\[at\])[\w-]+(?:(?:\.|\(dot\)|\[dot\])[\w-]+)*\Z")),
@@ -48,6 +49,12 @@ _FORMS = (
 _TRIM = " \t\n.,;:!?\"'<>*#%&$|[]{}"
 
 
+def _octet(part: str) -> bool:
+    """Whether the digits, with any number of zeros before, are at most 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -73,7 +80,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 or len(p.lstrip("0")) <= 3 for p in m[0].split(".")) and all(int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -110,8 +117,7 @@ def _others(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str,
     i = 0
     held = None  # start, end, whether of digit groups, how many
     for m in _TOKEN.finditer(text):
-        word = m[0].strip(_TRIM)
-        if not word:
+        if not _MARK.search(m[0]) or not (word := m[0].strip(_TRIM)):
             continue
         a = m.start() + m[0].index(word)
         b = a + len(word)
@@ -166,13 +172,14 @@ def learn_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     prepare(docs.sparkSession)
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(_occurrences, "pattern string, instance string, kind string, form string")
-    edges = written(found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("form").alias("form")), "occurrences")
-    strong = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    edges = edges.join(strong, "pattern")
+    found = written(found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("form").alias("form")), "occurrences")
+    strong = found.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    edges = found.join(strong, "pattern")
     known = edges.where("kind <> ''").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
     patterns = None
     others = edges.where("kind = ''").drop("kind").withColumnRenamed("form", "kind")
     for _ in range(ROUNDS):
+        before = (patterns, known)
         share = edges.drop("kind", "form").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("s"), F.first("n").alias("all"))
         still = others.join(known, ["instance", "kind"], "left_anti").groupBy("pattern", "kind").agg(F.count("*").alias("open"))
         share = share.join(still, ["pattern", "kind"], "left").withColumn("n", F.col("all") - F.coalesce("open", F.lit(0))).where(F.col("s") >= LEAST)
@@ -181,6 +188,8 @@ def learn_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
         patterns = written(share.withColumn("confidence", low).where(F.col("confidence") >= CONFIDENT).select("pattern", "kind", "confidence"), "patterns")
         new = others.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
         known = written(known.where("belief = 1.0").union(new.select("instance", "kind", "belief")).groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "known")
+        discard(*before)
+    discard(found, known)
     return patterns
 
 
@@ -210,11 +219,11 @@ _ADDED = "array<struct<kind:string,start:int,end:int>>"
 
 
 def _with_added(rows: DataFrame, text_col: str, patterns: DataFrame) -> tuple[DataFrame, dict[str, dict[str, float]]]:
-    """rows with a last column _added, the spans that all but the last block of patterns add, and the last block.
+    """rows with one more last column, the spans that all but the last block of patterns add, and the last block.
 
     With more than one block the rows are written after each: a span is added if any of its patterns is known.
     """
-    rows = rows.withColumn("_added", F.array().cast(_ADDED))
+    rows = rows.withColumn(fresh("added", rows.columns), F.array().cast(_ADDED))
     at, schema, held = rows.columns.index(text_col), rows.schema, None
     for block in _held(patterns):
         if held is not None:
@@ -227,7 +236,8 @@ def _with_added(rows: DataFrame, text_col: str, patterns: DataFrame) -> tuple[Da
                     columns[-1] = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in a] for a in added], columns[-1].type)
                     yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-            rows = written(rows.mapInArrow(run, schema), "added")
+            before, rows = rows, written(rows.mapInArrow(run, schema), "added")
+            discard(before)
         held = block
     return rows, held
 

@@ -87,7 +87,7 @@ def captures_and_list(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, entries = captures_and_list(spark, sf_dir)
     found = filter_urls(captures, entries, keep=("page_id",))
-    return found.select("page_id", "url", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "blocked", F.size("rules").cast("long").alias("n_rules"), F.array_join("rules", ",").alias("rules"))
+    return found.select(F.col("kept_page_id").alias("page_id"), "url", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "blocked", F.size("rules").cast("long").alias("n_rules"), F.array_join("rules", ",").alias("rules"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import discard, partitions, shared_dir, written  # noqa: F401
+
 #: Rows in an Arrow batch that goes to Python; texts average a few KB and the longest are far longer.
 BATCH_ROWS = 1024
 
@@ -32,23 +33,12 @@ def sliced(batch: pa.RecordBatch, rows: int = 16_384) -> Iterator[pa.RecordBatch
         yield batch.slice(a, rows)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return root or "file:///tmp/checkpoints/tessera"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    """Shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, or with underscores after it, that none of the columns has."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

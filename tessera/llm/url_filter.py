@@ -44,7 +44,7 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per capture (url, fetched_at): (columns to keep), url, fetched_at, host, blocked, rules.
+    """One row per capture (url, fetched_at): (columns to keep, as kept_<name>), url, fetched_at, host, blocked, rules.
 
     entries: (list, kind, pattern, action, dated). A host pattern matches the host, a domain pattern the
     host and all below it, a prefix pattern (host/path) that path and all below it at a '/'. rules are the
@@ -54,7 +54,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, keep: tuple[str, ...] =
     """
     spark = captures.sparkSession
     prepare(spark)
-    rows = captures.select(*keep, F.col("url").cast("string").alias("url"), F.col("fetched_at").cast("timestamp").alias("fetched_at"))
+    kept = tuple(f"`kept_{c}`" for c in keep)
+    rows = captures.select(*(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep), F.col("url").cast("string").alias("url"), F.col("fetched_at").cast("timestamp").alias("fetched_at"))
     rows = written(rows.withColumn("host", host_of(F.col("url"))).withColumn("uid", F.monotonically_increasing_id()), "captures")
     valid = written(validity(entries), "intervals")
     reach = valid.agg(F.max(F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/")) - 1)).alias("depth")).first().depth or 0
@@ -81,4 +82,4 @@ def filter_urls(captures: DataFrame, entries: DataFrame, keep: tuple[str, ...] =
     rules = hits.groupBy("uid").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
     out = rows.join(rules, "uid", "left")
     none = F.array().cast("array<string>")
-    return out.select(*keep, "url", "fetched_at", "host", F.col("rules").isNotNull().alias("blocked"), F.coalesce("rules", none).alias("rules"))
+    return out.select(*kept, "url", "fetched_at", "host", F.col("rules").isNotNull().alias("blocked"), F.coalesce("rules", none).alias("rules"))

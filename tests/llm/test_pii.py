@@ -45,6 +45,18 @@ def test_long_texts_are_linear():
     assert time.time() - began < 30
 
 
+def test_very_long_texts(spark):
+    zeros = "0" * 1_000_000
+    texts = ["1.2.3." + zeros + "4", zeros + ".2.3.256 a@b.cd", "x" * 1_000_000 + " 7", "ab" * 400_000 + " call 555-1234-999 " + "é" * 200_000, "@" * 1_000_000 + " 1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in personal_data(df).collect()}
+    assert got == {0: [("ip", 0, 1_000_007)], 1: [("email", 1_000_009, 1_000_015)], 2: [], 3: [], 4: []}
+    patterns = spark.createDataFrame([("call _", "phone", 0.95)], "pattern string, kind string, confidence double")
+    assert [s.kind for s in personal_data(df.where("doc_id = 3"), patterns=patterns).first().spans] == ["phone"]
+    assert time.time() - began < 60
+
+
 def corpus():
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))

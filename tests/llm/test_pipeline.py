@@ -32,6 +32,8 @@ def test_run(spark, tmp_path):
             words[10:10] = [rng.choice(["a.b@mail.com", "10.1.2.3", "4111 1111 1111 1111", "+1 (234) 555-1234"])]
         if i % 17 == 0:
             words[20:20] = rng.choice(items)[1].split()
+        if i % 34 == 0:  # a passage far below a twentieth of its document
+            words += rng.choices(say[lang], k=900)
         rows.append((i, " ".join(words), lang, f"s{i % 3}", 0))
     rows += [(200 + i, rows[i * 3][1], rows[i * 3][2], "copy", 0) for i in range(10)]
     rows += [(300, None, "en", None, None), (301, "", None, "x", 0), (302, "123 456", "de", "x", 0), (303, " \n", "en", "x", 0)]
@@ -41,7 +43,7 @@ def test_run(spark, tmp_path):
     kept = [(d, t) for d, t, *_ in rows if t and any(c.isalpha() for c in t)]
     ids = {d for d, _, c in classes(kept) if d == c}
     kept = [(d, t) for d, t in kept if d in ids]
-    clean = {d for d, _, _, _, bad in contaminated(kept, items) if not bad}
+    clean = {d for d, _, n_hit, _, _ in contaminated(kept, items) if not n_hit}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = {}
     for d, t in kept:
@@ -64,6 +66,19 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert last.count() == docs.count()
 
 
+def test_extra_columns_of_any_name(spark, tmp_path):
+    names = ("score", "languages", "lang_pred", "_text", "kept_text", "_row", "_added", "added", "_bit", "place", "hash", "uid", "spans", "n_words", "n_hit", "items", "decoded", "ids", "n_tokens", "component_id", "fp", "x")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, f"some text of number {i} or so", "en", "s", 9, *(f"{n}{i}" for n in names)) for i in range(4)] + [(0, "some text of number 0 or so", "en", "s", 9, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+    assert sorted(tuple(r)[5:] for r in docs.where("doc_id > 0").collect()) == [tuple(f"{n}{i}" for n in names) for i in (1, 2, 3)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 4
+
+
 def test_no_language_learned_keeps_documents(spark, tmp_path):
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for langs in ((None, None), (None, "en")):  # the second row has no id, so nothing is learned from it

@@ -39,7 +39,7 @@ def brute(captures, entries):
 def run(spark, captures, entries):
     c = spark.createDataFrame([(i, u, at(n), 1, "z") for i, u, n in captures], "page_id long, url string, fetched_at timestamp, host int, key string")
     e = spark.createDataFrame([(*x[:4], at(x[4])) for x in entries], "list string, kind string, pattern string, action string, dated timestamp")
-    return sorted(((r.page_id, r.blocked, r.rules) for r in filter_urls(c.repartition(3), e, keep=("page_id",)).collect()), key=str)
+    return sorted(((r.kept_page_id, r.blocked, r.rules) for r in filter_urls(c.repartition(3), e, keep=("page_id",)).collect()), key=str)
 
 
 def test_against_brute_force(spark):
