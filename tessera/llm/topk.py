@@ -27,6 +27,8 @@ DIM_BLOCK = 16
 QUERY_BLOCK, CANDIDATE_BLOCK = 128, 2_048
 #: Queries, and candidates, that meet in one task at most; candidates from which rows are dealt to more tasks.
 TASK_QUERIES, TASK_CANDIDATES, LEAST_CANDIDATES = 8_192, 65_536, 4_096
+#: Bytes of queries, and of candidates, that meet in one task: longer vectors meet in smaller groups.
+TASK_BYTES = 64 << 20
 #: Sums beyond it may not be exact in float64.
 EXACT = 2.0**52
 
@@ -45,16 +47,31 @@ def _remaining(m: np.ndarray) -> np.ndarray:
     return np.sqrt(np.array([np.square(m[b:]).sum(axis=0) for b in blocks] + [np.zeros(m.shape[1])]))
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of each query's k best vectors but its own, ties to the smaller id. Matrices are dimensions x rows."""
+class _Integers:
+    """Columns of a matrix as Python's integers, made when they are asked for."""
+
+    def __init__(self, m: np.ndarray):
+        self.m, self.held = m, {}
+
+    def __getitem__(self, at: tuple[slice, int]) -> np.ndarray:
+        j = int(at[1])
+        if j not in self.held:
+            if len(self.held) >= CANDIDATE_BLOCK:
+                self.held.clear()
+            self.held[j] = np.array([int(v) for v in self.m[:, j]], object)
+        return self.held[j]
+
+
+def search(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's row, ids, scores) of each query's k best vectors but its own row, ties to the smaller id. Matrices are dimensions x rows."""
     dims = max(queries.shape[0], vectors.shape[0])
     queries, vectors = (np.pad(m, ((0, dims - m.shape[0]), (0, 0))) for m in (queries, vectors))
     order = np.argsort(ids, kind="stable")
-    vectors, ids = vectors[:, order], ids[order]
+    vectors, ids, rows = vectors[:, order], ids[order], rows[order]
     mass_q, mass_v = _remaining(queries), _remaining(vectors)
     exact = float(mass_q[0].max(initial=0)) * float(mass_v[0].max(initial=0)) < EXACT
     for a in range(0, queries.shape[1], QUERY_BLOCK):
-        own, q, mq = query_ids[a : a + QUERY_BLOCK], queries[:, a : a + QUERY_BLOCK], mass_q[:, a : a + QUERY_BLOCK]
+        own, q, mq = query_rows[a : a + QUERY_BLOCK], queries[:, a : a + QUERY_BLOCK], mass_q[:, a : a + QUERY_BLOCK]
         best = np.full((len(own), k), -np.inf) if exact else np.full((len(own), k), None, object)
         best_ids = np.full((len(own), k), np.iinfo(np.int64).max)
         for c in range(0, vectors.shape[1], CANDIDATE_BLOCK):
@@ -69,7 +86,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
                         at, score = at[alive], score[:, alive]
                     if not len(at):
                         break
-                score[own[:, None] == ids[at]] = -np.inf
+                score[own[:, None] == rows[at]] = -np.inf
                 keep = (score >= bar).any(axis=0) & (score > -np.inf).any(axis=0)
                 score, at = score[:, keep], at[keep]
                 if not len(at):
@@ -82,10 +99,13 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
                 every_ids = np.concatenate([best_ids, np.broadcast_to(ids[at], score.shape)], axis=1)
                 first = np.lexsort((every_ids, -every), axis=-1)[:, :k]
                 best, best_ids = np.take_along_axis(every, first, 1), np.take_along_axis(every_ids, first, 1)
-            else:  # huge components: Python's integers
+            else:  # huge components: Python's integers, of what the norms don't rule out
+                big = _Integers(vectors)
                 for i in range(len(own)):
-                    x = [int(v) for v in q[:, i]]
-                    new = [(sum(s * int(v) for s, v in zip(x, vectors[:, j], strict=True)), int(ids[j])) for j in at if ids[j] != own[i]]
+                    bar = best[i, -1]
+                    x = np.array([int(v) for v in q[:, i]], object)
+                    near = at if bar is None else at[float(bar) * (1 - 1e-9 * np.sign(float(bar))) - 1 <= mq[0, i] * mass_v[0, at] * (1 + 1e-9)]
+                    new = [(int(x @ big[:, j]), int(ids[j])) for j in near if rows[j] != own[i]]
                     old = [(s, int(v)) for s, v in zip(best[i], best_ids[i], strict=True) if s is not None]
                     top = sorted(old + new, key=lambda t: (-t[0], t[1]))[:k]
                     for n, (s, v) in enumerate(top):
@@ -118,40 +138,44 @@ def exact_topk(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "ve
     A component x counts as floor(64 x), x as double; the score is the integer inner product (where
     lengths differ, missing components are 0); ties go to the smaller id; a query has fewer rows if
     there are fewer candidates. Vectors that are null or hold null or non-finite components, and
-    rows without an id, take no part; an empty vector scores 0. Rows that repeat an id count once
-    (the row whose packed bytes are smallest). Scores beyond 64 bits are cut to their ends. Other columns are ignored.
+    rows without an id, take no part; an empty vector scores 0. Rows that repeat an id are rows like others:
+    each is a query of its own if its id asks, and a candidate of all others, those of its id included.
+    Scores beyond 64 bits are cut to their ends. Other columns are ignored. An empty table gives no rows.
 
     The stated queries meet all rows in blocks: groups of queries x groups of rows, each pair of
-    groups a task of bounded size.
+    groups a task of bounded size, whatever the vectors' length.
     """
     spark = vectors.sparkSession
     prepare(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    packed = rows.mapInArrow(_pack, "id long, packed binary").groupBy("id").agg(F.min("packed").alias("packed"))
+    packed = rows.mapInArrow(_pack, "id long, packed binary").withColumn("row", F.monotonically_increasing_id())
     packed = written(packed.withColumn("asks", F.coalesce(F.expr(is_query), F.lit(False))), "vectors")
-    total = packed.agg(F.count("*").alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).first()
+    total = packed.agg(F.count("*").alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q"), F.max(F.length("packed")).alias("bytes")).first()
     parts = partitions(spark)
-    groups_q = max(1, -(-total.q // TASK_QUERIES))
-    groups_c = max(1, -(-total.n // TASK_CANDIDATES), min(-(-parts // groups_q), -(-total.n // LEAST_CANDIDATES)))
+    fit = max(1, TASK_BYTES // max(1, total.bytes or 1))
+    groups_q = max(1, -(-total.q // min(TASK_QUERIES, fit)))
+    groups_c = max(1, -(-total.n // min(TASK_CANDIDATES, fit)), min(-(-parts // groups_q), -(-total.n // LEAST_CANDIDATES)))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    ask = packed.where("asks").select(own(groups_q).alias("gq"), "id", "packed", F.lit(True).alias("asks")).withColumn("gc", spread(groups_c))
-    have = packed.select(own(groups_c).alias("gc"), "id", "packed", F.lit(False).alias("asks")).withColumn("gq", spread(groups_q))
+    own = lambda n: F.pmod(F.xxhash64("id", "row"), F.lit(n)).cast("int")
+    ask = packed.where("asks").select(own(groups_q).alias("gq"), "id", "row", "packed", F.lit(True).alias("asks")).withColumn("gc", spread(groups_c))
+    have = packed.select(own(groups_c).alias("gc"), "id", "row", "packed", F.lit(False).alias("asks")).withColumn("gq", spread(groups_q))
     both = ask.unionByName(have)
 
     def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy(bool)
-        ids = rows["id"].to_numpy(np.int64)
+        ids, at = rows["id"].to_numpy(np.int64), rows["row"].to_numpy(np.int64)
         m = [np.frombuffer(x) for x in rows["packed"]]
-        found = list(search(_matrix([m[i] for i in np.flatnonzero(asks)]), ids[asks], _matrix([m[i] for i in np.flatnonzero(~asks)]), ids[~asks], k))
+        of = dict(zip(at.tolist(), ids.tolist(), strict=True))
+        found = list(search(_matrix([m[i] for i in np.flatnonzero(asks)]), at[asks], _matrix([m[i] for i in np.flatnonzero(~asks)]), ids[~asks], at[~asks], k))
         return pd.DataFrame(
             {
-                "query_id": np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found]),
+                "row": np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found]),
+                "query_id": np.repeat(np.array([of[f[0]] for f in found], np.int64), [len(f[1]) for f in found]),
                 "vec_id": np.concatenate([np.empty(0, np.int64), *(f[1] for f in found)]),
                 "score": np.concatenate([np.empty(0, np.int64), *(f[2] for f in found)]),
             }
         )
 
-    near = both.groupBy("gq", "gc").applyInPandas(best, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = both.groupBy("gq", "gc").applyInPandas(best, "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,18 +3,16 @@
 import math
 import random
 
+from tessera.llm import topk
 from tessera.llm.topk import exact_topk
 
 
 def brute(rows, k, step):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            ok.setdefault(i, [math.floor(64 * x) for x in v])
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in ok:
+    for n, (q, a) in enumerate(ok):
         if q % step == 0:
-            s = sorted((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q)
+            s = sorted((-sum(x * y for x, y in zip(a, b)), c) for m, (c, b) in enumerate(ok) if m != n)
             out += [(q, r + 1, c, -x) for r, (x, c) in enumerate(s[:k])]
     return sorted(out)
 
@@ -32,11 +30,21 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows, 20, 20)
 
 
+def test_long_vectors_meet_in_small_groups(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i % 150, [rng.gauss(0, 1) for _ in range(rng.choice([0, 5, 64]))]) for i in range(200)]
+    monkeypatch.setattr(topk, "TASK_BYTES", 64 * 8 * 9)
+    assert run(spark, rows, k=5, step=10) == brute(rows, 5, 10)
+
+
 def test_few_rows_and_huge_values(spark):
     assert run(spark, []) == []
-    rows = [(0, [1.0]), (1, [1.0]), (1, [1.0])]
-    assert run(spark, rows) == [(0, 1, 1, 4096)]
+    rows = [(0, [1.0]), (1, [1.0]), (1, [2.0]), (1, [1.0]), (0, [1.0])]
+    assert run(spark, rows) == brute(rows, 20, 20) and len(run(spark, rows)) == 8
     rows = [(0, [1e6, 1.0]), (1, [1e6, -1.0]), (2, [-1e6, 3.0])]
     assert run(spark, rows) == brute(rows, 20, 20)
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([1e7, -1e7, 3e6, 1.0]) * rng.random() for _ in range(5)]) for i in range(120)]
+    assert run(spark, rows, k=3) == brute(rows, 3, 20)
     assert run(spark, [(0, [1e30]), (1, [1e30])])[0][3] == 2**63 - 1
     assert run(spark, [(0, [1.0], 1, 2, "a"), (5, [2.0], 1, 2, "b")]) == [(0, 1, 5, 8192)]
