@@ -191,8 +191,8 @@ def _against(docs: DataFrame, items: list[tuple[str, str]], keep: tuple[str, ...
     if len(values):
         counted = docs.select("text").mapInArrow(_counts(values, sizes, bitmaps), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
         often = np.zeros(len(values), np.int64)
-        for r in counted.collect():  # at most one row for each shingle of the block
-            often[r.token] = r.n
+        counted = counted.toArrow()  # at most one row for each shingle of the block
+        often[counted["token"].to_numpy()] = counted["n"].to_numpy()
         order = np.lexsort((value, often[np.searchsorted(values, value)], window))
         rarest = order[np.concatenate([[True], np.diff(window[order]) > 0])]
         rarest = rarest[often[np.searchsorted(values, value[rarest])] > 0]  # what occurs nowhere hits nothing

@@ -3,8 +3,8 @@
 Every word of a text is drawn from one of the languages, with the likelihood of its letter trigrams (of
 bytes, hashed) under that language; expectation-maximisation estimates the document's proportions. The
 set of languages is the one of the highest penalised likelihood among the best single language and the
-2, 3, 4 languages of the highest proportions: each further language costs half the logarithm of the
-number of words, and EXTRA.
+2, 3, ... languages of the highest proportions, as long as they have LEAST of the words: each further
+language costs half the logarithm of the number of words, and EXTRA.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from .text_kernel import chunks
 BUCKETS = 1 << 16
 #: Added to each bucket's count; trigrams overlap, so a word's log-likelihood is divided by three.
 SMOOTH, OVERLAP = 0.5, 3.0
-#: Steps of expectation-maximisation, languages a document may have, and the cost of each beyond the first.
-STEPS, MOST, EXTRA = 12, 4, 3.0
+#: Steps of expectation-maximisation, the share from which a language is one of a document's, and the cost of each beyond the first.
+STEPS, LEAST, EXTRA = 12, 0.02, 3.0
+#: A word's log-likelihood under a language counts as at most so far below that under its likeliest.
+FLOOR = -60.0
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
 UNDETERMINED = "und"
@@ -99,7 +101,7 @@ def mixtures(ll: np.ndarray, first: np.ndarray) -> np.ndarray:
     cuts, words = first[some], np.diff(first)[some]
     doc = np.repeat(np.arange(len(some)), words)
     top = ll.max(axis=1, keepdims=True)
-    like = np.exp(np.maximum(ll - top, -60.0))
+    like = np.exp(np.maximum(ll - top, FLOOR))
     alone = np.add.reduceat(np.log(like), cuts, axis=0)
     best = alone.max(axis=1)
     result = np.zeros((len(some), ll.shape[1]))
@@ -107,8 +109,8 @@ def mixtures(ll: np.ndarray, first: np.ndarray) -> np.ndarray:
     share, _ = _em(like, doc, cuts, np.ones_like(result))
     order = np.argsort(-share, axis=1, kind="stable")
     cost = 0.5 * np.log(words + 1.0) + EXTRA
-    for k in range(2, min(MOST, ll.shape[1]) + 1):
-        may = np.flatnonzero(share[np.arange(len(some)), order[:, k - 1]] >= 0.02)
+    for k in range(2, ll.shape[1] + 1):
+        may = np.flatnonzero(share[np.arange(len(some)), order[:, k - 1]] >= LEAST)
         if not len(may):
             break
         allowed = np.zeros((len(may), ll.shape[1]))

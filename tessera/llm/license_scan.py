@@ -84,6 +84,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 OTHER = "other"
 #: Longest n-gram, variants of each template, background paragraphs (the bound of the sample), steps of training.
 GRAMS, VARIANTS, BACKGROUND, STEPS = 3, 24, 1_500, 200
+#: Paragraphs of a document, and characters that they are looked for in, that background takes. The scan reads all.
+PARAGRAPHS, EXTRACT = 5, 4_000
 #: Least probability, and share of a template's shingles, that confirm a prediction.
 LIKELY, AGREES = 0.5, 0.7
 
@@ -182,6 +184,17 @@ _NOT_BREAK[10] = False
 #: Comment markers that are words, where a line begins with one; others have no letter or digit.
 _MARKERS = np.sort(np.concatenate([hashed(w) for w in ("rem", "dnl", "c")]))
 
+#: "not licensed", "is never distributed": what denies a notice, with at most one word between.
+_DENIALS = np.sort(np.concatenate([hashed(w) for w in ("not", "never", "isn", "aren", "cannot", "neither")]))
+_GRANTS = np.sort(np.concatenate([hashed(w) for w in ("licensed", "released", "distributed", "available", "covered", "governed", "published", "subject", "under")]))
+
+
+def _denied(h: np.ndarray, a: int, b: int, least: int) -> bool:
+    """Whether words a to b, or one of the two before them from word least on, say that no licence is given."""
+    a = max(least, a - 2)
+    deny = np.flatnonzero(np.isin(h[a:b], _DENIALS)) + a
+    return bool(len(deny)) and bool(np.isin(h[np.minimum(np.concatenate([deny + 1, deny + 2]), b - 1)], _GRANTS).any())
+
 
 class _Windows:
     """Finds the windows of a text's words that agree with templates, by template word pairs."""
@@ -238,7 +251,7 @@ def _best(ids: list[int], at: list[int], need: float, size: int) -> list[tuple[i
     return out
 
 
-def _chosen(model: Model, windows: list[tuple[float, int, int, int]], h: np.ndarray) -> Iterator[tuple[float, int, int, int, float]]:
+def _chosen(model: Model, windows: list[tuple[float, int, int, int]], h: np.ndarray, block: np.ndarray) -> Iterator[tuple[float, int, int, int, float]]:
     """Windows that the classifier confirms and that share no word with one that agrees better, with the probability."""
     firsts: list[int] = []
     ends: list[int] = []
@@ -247,7 +260,7 @@ def _chosen(model: Model, windows: list[tuple[float, int, int, int]], h: np.ndar
         if i and ends[i - 1] > a:
             continue
         p = model.probabilities(_bag(model.features, h[a:b])[None, :])[0]
-        if int(p.argmax()) == family and p[family] >= LIKELY:
+        if int(p.argmax()) == family and p[family] >= LIKELY and not _denied(h, a, b, int(np.searchsorted(block, block[a]))):
             firsts.insert(i, a)
             ends.insert(i, b)
             yield s, family, a, b, float(p[family])
@@ -281,7 +294,7 @@ def findings(model: Model, column: pa.Array) -> Iterator[list[dict]]:
             own = h[w0:w1]
             p = model.probabilities(_bag(model.features, own)[None, :])[0]
             family = int(p.argmax())
-            if family == other or p[family] < LIKELY or (s := agreement(model, family, own)) < AGREES:
+            if family == other or p[family] < LIKELY or _denied(h, w0, w1, int(first[np.searchsorted(first, w0, side="right") - 1])) or (s := agreement(model, family, own)) < AGREES:
                 continue
             alone[i, family] = (s, float(p[family]))
         found: dict[tuple[int, int, int], tuple[float, float]] = {}  # (first line, last line, family)
@@ -297,7 +310,7 @@ def findings(model: Model, column: pa.Array) -> Iterator[list[dict]]:
             if not kept.all():
                 h, of, block = h[kept], of[kept], block[kept]
             for windows in templates.of(h, block):
-                for s, family, w0, w1, p in _chosen(model, windows, h):
+                for s, family, w0, w1, p in _chosen(model, windows, h, block):
                     i, j = int(of[w0]), int(of[w1 - 1])
                     key = (i, j, family)
                     found[key] = max(found.get(key, (0.0, 0.0)), (s, p))
@@ -322,18 +335,18 @@ def findings(model: Model, column: pa.Array) -> Iterator[list[dict]]:
 
 
 def background(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """At most BACKGROUND paragraphs, of the documents whose ids hash lowest."""
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.substring(text_col, 1, 4000).alias("t")).dropna()
-    ids = [r.i for r in rows.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(BACKGROUND // 5).collect()]  # ids only leave the tasks
+    """At most BACKGROUND paragraphs, the bounded sample to train on: the first PARAGRAPHS, from the first EXTRACT characters, of the documents whose ids hash lowest."""
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.substring(text_col, 1, EXTRACT).alias("t")).dropna()
+    ids = [r.i for r in rows.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(BACKGROUND // PARAGRAPHS).collect()]  # ids only leave the tasks
     picked = rows.where(F.col("i").isin(ids)).groupBy("i").agg(F.min("t").alias("t")).orderBy(F.xxhash64("i"), "i").collect() if ids else []
-    return [p for r in picked for p in r.t.split("\n")[:5]]
+    return [p for r in picked for p in r.t.split("\n")[:PARAGRAPHS]]
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, licences array<struct<family, start, end, probability, agreement>>.
 
     In text order, over the whole text, each with the lines that it lies on; lines with notices of several
-    families give one for each. Null and empty texts have none; repeated
+    families give one for each. A notice that a text denies ("not licensed under ...") is none. Null and empty texts have none; repeated
     rows give as many rows; an empty table none; of families with one probability the first by name is
     taken. Other columns are ignored.
     """

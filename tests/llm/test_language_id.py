@@ -88,3 +88,12 @@ def test_held_out(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long")
     for r in df.select("doc_id", L.held_out().alias("h")).collect():
         assert r.h == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_as_many_languages_as_there_are():
+    rng = np.random.default_rng(3)
+    langs, words = 7, 60
+    ll = np.full((langs * words, langs), -30.0) + rng.normal(0, 1, (langs * words, langs))
+    ll[np.arange(langs * words), np.repeat(np.arange(langs), words)] = -5.0
+    share = L.mixtures(ll, np.array([0, len(ll), len(ll)]))
+    assert np.allclose(share[0], 1 / langs, atol=0.01) and not share[1].any()

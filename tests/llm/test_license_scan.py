@@ -66,3 +66,13 @@ def test_scan(spark, model):
     got = S.scan(df, model).collect()
     assert sorted((str(r.doc_id), [(x.family, x.start, x.end) for x in r.licences]) for r in got) == [("1", [("MIT", 2, 33)])] * 2 + [("2", [])] * 2 + [("None", [("MIT", 0, 31)])]
     assert S.scan(df.limit(0)).collect() == []
+
+
+def test_denied_notices(model):
+    families = lambda t: [f["family"] for f in found(model, t)]
+    assert families("This work is licensed under the GNU General Public License, version 3.") == ["GPL"]
+    assert families("This work is not licensed under the GNU General Public License, version 3.") == []
+    assert families("This work is not\nlicensed under the GNU General Public License, version 3.") == []
+    assert families("This work is never distributed or licensed under the GNU General Public License, version 3.") == []
+    assert families("This file isn't licensed under the Apache License, Version 2.0.\n\nReleased under the MIT License.") == ["MIT"]
+    assert families("We do not like it. This work is licensed under the GNU General Public License, version 3.") == ["GPL"]
