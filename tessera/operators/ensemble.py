@@ -14,7 +14,7 @@ from tessera.session import written
 from .graph import balanced_regions, laplacian_features, spanning_components, undirected
 from .kmeans import kmeans
 from .knn import interleave, knn_graph
-from .optimizer import Options, optimize
+from .optimizer import CYCLE, Options, optimize
 from .preprocess import renumber
 from .sampling import landmarks
 from .spatial import grid_knn, jitter, jitter_width, landmark_strata, repair_singletons, separate_samples
@@ -112,7 +112,7 @@ def run_ensemble(
     resolution: float = 0.3,
     mode: int = 0,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows(id, vec) -> (labels(run, id, label), runs(run, cycle, accuracy, score), graph with agreement).
+    """rows(id, vec) -> (labels(run, id, label), runs(CYCLE), graph with agreement).
 
     The graph is built once; every run draws its landmarks (three quarters of fewer rows than `take`) by
     strata, labels them by cluster, optimises, and projects the labels to all rows; members of a constraint
@@ -156,7 +156,7 @@ def run_ensemble(
         labels = labels.join(groups, "id")
         labels = labels.select("run", "id", "grp").join(majority(labels, "run", "grp"), ["run", "grp"]).select("run", "id", "label")
     labels = written(labels.select("run", "id", "label"), "labels")
-    return labels, found.where("not best").select("run", "cycle", "accuracy", "score"), dissimilarity(graph, labels)
+    return labels, found.where("not best").select(*CYCLE), dissimilarity(graph, labels)
 
 
 def graph_only_ensemble(graph: DataFrame, nodes: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:

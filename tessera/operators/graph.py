@@ -25,29 +25,34 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def weigh(edges: DataFrame, kind: str = "distance", prune: float = 0.0, mutual: bool = False) -> DataFrame:
     """(a, b, w): distance 1 / (1 + d); adaptive exp(-d^2 / (s_i s_j)), s the last positive finite distance of a
-    row; binary 1; snn the Jaccard overlap of the rows' neighbour lists, for pairs that share one. Only w > prune stays.
+    row; binary 1; snn the Jaccard overlap of the rows' neighbour lists, for pairs that share one. Only w > prune stays;
+    self-loops don't count, and distance and adaptive leave out edges without a finite distance of 0 or more.
+    mutual: only edges whose reverse is in the graph; for snn, only such neighbours of the row with the smaller id are looked up in the
+    other's list, and lists keep their sizes.
     """
     if kind not in WEIGHTS:
         raise ValueError(f"weights must be one of {WEIGHTS}")
+    edges = edges.where("i <> j")
+    every = edges
     if mutual:
         edges = edges.join(edges.select(F.col("i").alias("j"), F.col("j").alias("i")), ["i", "j"], "left_semi")
-    finite = edges.where("dist is not null and not isnan(dist) and dist < double('infinity')")
+    finite = edges.where("dist is not null and not isnan(dist) and dist >= 0 and dist < double('infinity')")
     if kind == "distance":
         out = undirected(finite.select("i", "j", (1 / (1 + F.col("dist"))).alias("w")))
     elif kind == "binary":
         out = undirected(edges.select("i", "j", F.lit(1.0).alias("w")))
     elif kind == "adaptive":
-        last = finite.where("dist > 0").groupBy("i").agg(F.max_by("dist", "rank").alias("s"))
+        last = every.where("dist > 0 and dist < double('infinity') and not isnan(dist)").groupBy("i").agg(F.max_by("dist", "rank").alias("s"))
         s = lambda c: last.select(F.col("i").alias(c), F.col("s").alias(f"s_{c}"))
         both = finite.join(s("i"), "i", "left").join(s("j"), "j", "left").fillna(1.0, ["s_i", "s_j"])
         out = undirected(both.select("i", "j", F.exp(-F.col("dist") * F.col("dist") / (F.col("s_i") * F.col("s_j"))).alias("w")))
     else:
-        out = shared_neighbours(edges)
+        out = shared_neighbours(every, edges if mutual else None)
     return out.where(F.col("w") > prune)
 
 
-def shared_neighbours(edges: DataFrame) -> DataFrame:
-    """(a, b, w) for pairs of rows whose neighbour lists share a row: shared / (deg a + deg b - shared).
+def shared_neighbours(edges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(a, b, w) for pairs of rows whose neighbour lists share a row: shared / (deg a + deg b - shared). asked: the edges that a's list is cut to for the shared rows.
 
     Pairs of one neighbour's rows are the result itself, so they can't be avoided; a row that very many
     rows name (a hub) is dealt by salted groups: its list is split and the parts meet in pairs of parts.
@@ -55,9 +60,10 @@ def shared_neighbours(edges: DataFrame) -> DataFrame:
     e = edges.select("i", "j").distinct()
     degree = e.groupBy("i").agg(F.count("*").alias("d"))
     parts = e.groupBy("j").agg(F.ceil(F.count("*") / 256).alias("parts"))
-    dealt = e.join(parts, "j").withColumn("p", F.pmod(F.xxhash64("i"), F.col("parts")))
+    deal = lambda x: x.join(parts, "j").withColumn("p", F.pmod(F.xxhash64("i"), F.col("parts")))
+    dealt, ask = deal(e), deal(e if asked is None else asked.select("i", "j").distinct())
     one = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    left = dealt.withColumn("q", F.explode(one)).select("j", "p", "q", F.col("i").alias("a"))
+    left = ask.withColumn("q", F.explode(one)).select("j", "p", "q", F.col("i").alias("a"))
     right = dealt.withColumnRenamed("p", "q").withColumn("p", F.explode(one)).select("j", "p", "q", F.col("i").alias("b"))
     shared = left.join(right, ["j", "p", "q"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("s"))
     d = lambda c: degree.select(F.col("i").alias(c), F.col("d").alias(f"d_{c}"))
@@ -335,12 +341,14 @@ def bridged(edges: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def laplacian_weights(edges: DataFrame) -> DataFrame:
-    """(a, b, w): exp(-d^2 / (s_i s_j)) with s a row's upper-median neighbour distance, the larger of both
-    directions, over the root of both rows' degrees."""
-    mid = edges.groupBy("i").agg(F.sort_array(F.collect_list("dist")).alias("d"))  # k distances a row
-    mid = mid.select("i", F.get("d", F.floor(F.size("d") / 2).cast("int")).alias("s"))
-    s = lambda c: mid.select(F.col("i").alias(c), F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias(f"s_{c}"))
-    both = edges.join(s("i"), "i").join(s("j"), "j")
+    """(a, b, w): exp(-d^2 / (s_i s_j)) with s a row's upper-median neighbour distance (its mean where that is 0, at least 1e-6, 1 for rows without
+    one), the larger of both directions, over the root of both rows' degrees. Negative distances count as 0, edges without a finite one not at all."""
+    edges = edges.where("i <> j and dist is not null and not isnan(dist) and abs(dist) < double('infinity')").select("i", "j", F.greatest("dist", F.lit(0.0)).alias("dist"))
+    mid = edges.groupBy("i").agg(F.sort_array(F.collect_list("dist")).alias("d"), F.avg("dist").alias("mean"))  # k distances a row
+    mid = mid.select("i", F.get("d", F.floor(F.size("d") / 2).cast("int")).alias("s"), "mean")
+    scale = F.greatest(F.when(F.col("s") > 1e-6, F.col("s")).otherwise(F.col("mean")), F.lit(1e-6))
+    s = lambda c: mid.select(F.col("i").alias(c), scale.alias(f"s_{c}"))
+    both = edges.join(s("i"), "i", "left").join(s("j"), "j", "left").fillna(1.0, ["s_i", "s_j"])
     w = undirected(both.select("i", "j", F.exp(-F.col("dist") * F.col("dist") / (F.col("s_i") * F.col("s_j"))).alias("w")))
     degree = w.select("a", "w").union(w.select("b", "w")).groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("d"))
     d = lambda c: degree.select(F.col("id").alias(c), F.col("d").alias(f"d_{c}"))

@@ -79,6 +79,20 @@ def top_k(edges: DataFrame, k: int, *order: str | Column) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("i", "rank", "j", "dist")
 
 
+def block_pairs(q: DataFrame, b: DataFrame, kernel, schema: str) -> DataFrame:
+    """kernel(key, query rows, base rows) over every pair of a block of q and a block of b: each pair a task of bounded size. Both have an id."""
+    blocks = lambda df: max(1, -(-df.count() // BLOCK))
+    nb = blocks(b)
+    nq = nb if q is b else blocks(q)
+    nq = max(nq, -(-partitions(q.sparkSession) // nb))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = q.withColumn("qb", own(nq)).withColumn("bb", spread(nb))
+    right = b.withColumn("bb", own(nb)).withColumn("qb", spread(nq))
+    right = right.toDF(*right.columns)  # apart from left, which may stem from the same tables
+    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(kernel, schema)
+
+
 def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = False, apart: str | None = None) -> DataFrame:
     """Exact k nearest base rows (id, vec) of each query (id, vec): edges (i, rank, j, dist).
 
@@ -97,16 +111,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclide
         F.col("id").cast("long").alias("id"), vec.doubles(F.col("vec")).alias("vec"), part.alias("part")
     ).where("id is not null and vec is not null")
     q, b = shaped(queries), shaped(base)
-    blocks = lambda df: max(1, -(-df.count() // BLOCK))
-    nb = blocks(b)
-    nq = nb if queries is base else blocks(q)
-    nq = max(nq, -(-partitions(spark) // nb))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = q.withColumn("qb", own(nq)).withColumn("bb", spread(nb))
-    b = b.withColumn("bb", own(nb)).withColumn("qb", spread(nq))
-    b = b.toDF(*b.columns)  # apart from q, which may stem from the same tables
-    met = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(_nearest(k, metric, exclude_self, apart is not None), "i long, j long, dist double")
+    kernel = _nearest(k, metric, exclude_self, apart is not None)
+    met = block_pairs(q, q if queries is base else b, kernel, "i long, j long, dist double")
     return top_k(met, k)
 
 

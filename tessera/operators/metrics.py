@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vec as V
 from tessera.functions.table import beside
+from tessera.session import prepare, written
 
+from .knn import block_pairs, knn_graph
 from .stats import assignment
 
 
@@ -35,28 +38,49 @@ def rand_index(rows: DataFrame) -> DataFrame:
 
 
 def information(rows: DataFrame) -> DataFrame:
-    """(mutual, nmi, nmi_sqrt, homogeneity, completeness, v_measure, purity); 1 where an entropy is 0."""
+    """(mutual, nmi, nmi_sqrt, homogeneity, completeness, v_measure, purity); 1 where an entropy is 0; v_measure 0 where homogeneity and completeness are."""
     c = contingency(rows)
     p, pa, pb = F.col("n") / F.col("total"), F.col("a") / F.col("total"), F.col("b") / F.col("total")
     m = c.agg(F.sum(p * F.log(p / (pa * pb))).alias("mutual"))
     h = lambda key, col: c.select(key, (F.col(col) / F.col("total")).alias("p")).distinct().agg((-F.sum(F.col("p") * F.log("p"))).alias(f"h_{col}"))
     pure = c.groupBy("pred").agg(F.max("n").alias("m"), F.first("total").alias("t")).agg((F.sum("m") / F.max("t")).alias("purity"))
     ratio = lambda x, y: F.when(F.abs(y) < 1e-12, 1.0).otherwise(x / F.when(F.abs(y) < 1e-12, 1.0).otherwise(y))
+    both = lambda x, y: F.when(x + y <= 1e-12, 0.0).otherwise(2 * x * y / F.when(x + y <= 1e-12, 1.0).otherwise(x + y))
     s = m.transform(beside, h("truth", "a")).transform(beside, h("pred", "b")).transform(beside, pure)
     i, ha, hb = F.col("mutual"), F.col("h_a"), F.col("h_b")
     hom, com = ratio(i, ha), ratio(i, hb)
     return s.select(
         "mutual", ratio(i, (ha + hb) / 2).alias("nmi"), ratio(i, F.sqrt(F.greatest(ha * hb, F.lit(0.0)))).alias("nmi_sqrt"), hom.alias("homogeneity"), com.alias("completeness"),
-        ratio(2 * hom * com, hom + com).alias("v_measure"), "purity",
+        both(hom, com).alias("v_measure"), "purity",
     )
 
 
 def class_scores(rows: DataFrame) -> DataFrame:
-    """(truth, pred, recall, precision, dice): each class with the cluster of the largest dice, ties to the larger overlap, then the smaller cluster."""
-    dice = 2 * F.col("n") / (F.col("a") + F.col("b"))
-    w = Window.partitionBy("truth").orderBy(F.desc(F.round(dice, 9)), F.desc("n"), "pred")  # clusters a class
+    """(truth, pred, support, recall, precision, dice): each class with the cluster that most of its rows are in, ties to the smaller cluster."""
+    w = Window.partitionBy("truth").orderBy(F.desc("n"), "pred")  # clusters a class
     best = contingency(rows).withColumn("r", F.row_number().over(w)).where("r = 1")
-    return best.select("truth", "pred", (F.col("n") / F.col("a")).alias("recall"), (F.col("n") / F.col("b")).alias("precision"), dice.alias("dice"))
+    dice = 2 * F.col("n") / (F.col("a") + F.col("b"))
+    return best.select("truth", "pred", F.col("a").alias("support"), (F.col("n") / F.col("a")).alias("recall"), (F.col("n") / F.col("b")).alias("precision"), dice.alias("dice"))
+
+
+def by_sample(rows: DataFrame) -> DataFrame:
+    """rows(truth, pred, sample) -> (sample, n, ari, nmi, homogeneity, completeness, clusters) of each sample; nmi over the root of the entropies' product."""
+    n = rows.groupBy("sample", "truth", "pred").agg(F.count("*").alias("n"))
+    total = n.groupBy("sample").agg(F.sum("n").alias("total"), F.countDistinct("pred").alias("clusters"))
+    t, p = (n.groupBy("sample", k).agg(F.sum("n").alias(c)) for k, c in (("truth", "a"), ("pred", "b")))
+    pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    info = n.join(t, ["sample", "truth"]).join(p, ["sample", "pred"]).join(total, "sample")
+    info = info.groupBy("sample").agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("a") * F.col("b")))).alias("i"), F.sum(pairs("n")).alias("s"))
+    side = lambda df, c: df.join(total, "sample").groupBy("sample").agg((-F.sum(F.col(c) / F.col("total") * F.log(F.col(c) / F.col("total")))).alias(f"h{c}"), F.sum(pairs(c)).alias(f"p{c}"))
+    x = total.join(info, "sample").join(side(t, "a"), "sample").join(side(p, "b"), "sample")
+    every = pairs("total")
+    expected = F.when(every > 0, F.col("pa") * F.col("pb") / F.when(every > 0, every).otherwise(1.0)).otherwise(0.0)
+    low = (F.col("pa") + F.col("pb")) / 2 - expected
+    some = lambda c: F.col(c) > 1e-12
+    part = lambda c: F.when(some(c), F.col("i") / F.when(some(c), F.col(c)).otherwise(1.0)).otherwise(1.0)
+    nmi = F.when(some("ha") & some("hb"), F.col("i") / F.sqrt(F.when(some("ha") & some("hb"), F.col("ha") * F.col("hb")).otherwise(1.0))).otherwise(1.0)
+    ari = F.when(low == 0, 1.0).otherwise((F.col("s") - expected) / F.when(low == 0, 1.0).otherwise(low))
+    return x.select("sample", F.col("total").alias("n"), ari.alias("ari"), nmi.alias("nmi"), part("ha").alias("homogeneity"), part("hb").alias("completeness"), "clusters")
 
 
 def _long(rows: DataFrame) -> DataFrame:
@@ -69,43 +93,114 @@ def centroids(rows: DataFrame) -> DataFrame:
     return m.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda p: p["v"]).alias("vec"))
 
 
-def silhouette(rows: DataFrame) -> DataFrame:
-    """(label, n, silhouette), and the mean over all rows (label null): (b - a) / max(a, b) from mean squared distances.
+def finite(rows: DataFrame) -> DataFrame:
+    """(id, label, vec) of the rows that have a label and only finite numbers."""
+    ok = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.select("id", "label", V.doubles(F.col("vec")).alias("vec")).where(F.col("label").isNotNull() & F.col("vec").isNotNull() & F.coalesce(ok, F.lit(False)))
+
+
+def sampled(rows: DataFrame, most: int | None, seed: int = 4) -> DataFrame:
+    """All rows, or the `most` of them whose ids hash lowest."""
+    rows = written(rows, "rows")
+    if most is None or rows.count() <= most:
+        return rows
+    return written(rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(most), "sample")
+
+
+def _distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(np.square(q).sum(axis=1)[:, None] + np.square(b).sum(axis=1)[None, :] - 2 * q @ b.T, 0.0))
+
+
+def _class_sums(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """(id, label, k, s, n): the summed distances of each row of q to the rows of b of each label k, itself left out."""
+    if not len(q) or not len(b):
+        return pd.DataFrame({"id": [], "label": [], "k": [], "s": [], "n": []})
+    middle = np.array(b["vec"].tolist()).mean(axis=0)
+    x, y = (np.array(d["vec"].tolist()) - middle for d in (q, b))  # near zero, differences of squares lose less
+    classes, own = np.unique(b["label"].to_numpy(), return_inverse=True)
+    on = np.zeros((len(b), len(classes)))
+    on[np.arange(len(b)), own] = 1.0
+    out = []
+    for a in range(0, len(q), 512):
+        d = _distances(x[a : a + 512], y)
+        same = q["id"].to_numpy()[a : a + 512, None] == b["id"].to_numpy()[None, :]
+        d[same] = 0.0
+        out.append((d @ on, on.sum(axis=0)[None, :] - same @ on))
+    s, n = (np.concatenate(z) for z in zip(*out))
+    return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), len(classes)), "label": np.repeat(q["label"].to_numpy(), len(classes)), "k": np.tile(classes, len(q)), "s": s.ravel(), "n": n.ravel().astype(np.int64)})
+
 
-    A row's mean squared distance to a class needs the class's count, sum and sum of squares only, so rows
-    meet classes, not rows. The own class leaves the row out; a class of one row scores 0.
+def silhouette(rows: DataFrame, most: int | None = 5_000, seed: int = 4) -> DataFrame:
+    """rows(id, label, vec) -> (label, n, silhouette), and the mean over all rows (label null): (b - a) / max(a, b) from mean Euclidean distances.
+
+    a: to the other rows of the class, b: the least mean to another class. A class of one row scores 0; with
+    one class there is none (null). Rows without a label or a finite vector take no part. The distances of
+    all pairs are needed, so of more than `most` rows a sample of as many counts, by their ids' hashes; None: all rows,
+    in pairs of blocks.
     """
-    parts = _long(rows).groupBy("label", "c").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("v").alias("n"))
-    parts = parts.groupBy("label").agg(F.max("n").alias("n"), F.sum("q").alias("q"), F.transform(F.array_sort(F.collect_list(F.struct("c", "s"))), lambda p: p["s"]).alias("s"))
-    own = rows.select("id", "label", V.doubles(F.col("vec")).alias("vec")).withColumn("xx", V.dot(F.col("vec"), F.col("vec")))
-    met = own.transform(beside, (parts.select(F.col("label").alias("k"), "n", "q", "s")))  # one row a class
-    same = F.col("label") == F.col("k")
-    size = F.when(same, F.col("n") - 1).otherwise(F.col("n"))
-    d = (F.col("n") * F.col("xx") - 2 * V.dot(F.col("vec"), F.col("s")) + F.col("q")) / F.when(size > 0, size).otherwise(1)
-    r = met.groupBy("id", "label").agg(F.max(F.when(same & (size > 0), F.greatest(d, F.lit(0.0)))).alias("a"), F.min(F.when(~same, F.greatest(d, F.lit(0.0)))).alias("b"))
+    prepare(rows.sparkSession)
+    own = sampled(finite(rows), most, seed)
+    kind = dict(own.dtypes)
+    met = block_pairs(own, own, _class_sums, f"id {kind['id']}, label {kind['label']}, k {kind['label']}, s double, n long")
+    sums = met.groupBy("id", "label", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+    mean, same = F.col("s") / F.col("n"), F.col("label") == F.col("k")
+    r = sums.groupBy("id", "label").agg(F.max(F.when(same, mean)).alias("a"), F.min(F.when(~same, mean)).alias("b"))
     top = F.greatest("a", "b")
-    s = F.when(F.col("a").isNull() | F.col("b").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
+    s = F.when(F.col("b").isNull(), None).when(F.col("a").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
     return r.withColumn("s", s).rollup("label").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"))
 
 
-def scatter(rows: DataFrame) -> DataFrame:
-    """(within, between, calinski_harabasz, davies_bouldin, dunn): dunn from centroids, the least distance between two over twice the largest mean distance to one."""
-    c = centroids(rows)
-    x = rows.select("id", "label", V.doubles(F.col("vec")).alias("vec")).join(F.broadcast(c.select("label", F.col("vec").alias("m"), "n")), "label")  # one row a class
-    d2 = V.squared_distance(F.col("vec"), F.col("m"))
-    by = x.groupBy("label").agg(F.sum(d2).alias("w"), F.avg(F.sqrt(d2)).alias("s"), F.count("*").alias("n"))
-    mean = rows.select(F.posexplode(V.doubles(F.col("vec"))).alias("c", "v")).groupBy("c").agg(F.avg("v").alias("v"))
+def silhouette_summary(rows: DataFrame, most: int | None = 5_000, seed: int = 4) -> DataFrame:
+    """(silhouette, silhouette_class_min): the mean over all rows, and the least class's."""
+    by = silhouette(rows, most, seed)
+    return by.agg(F.max(F.when(F.col("label").isNull(), F.col("silhouette"))).alias("silhouette"), F.min(F.when(F.col("label").isNotNull(), F.col("silhouette"))).alias("silhouette_class_min"))
+
+
+def _extremes(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """(intra, inter): the largest distance of two rows of a class, the least of two rows of different classes."""
+    intra, inter = -np.inf, np.inf
+    if len(q) and len(b):
+        x, y = (np.array(d["vec"].tolist()) for d in (q, b))
+        for a in range(0, len(q), 512):
+            d = _distances(x[a : a + 512], y)
+            same = q["label"].to_numpy()[a : a + 512, None] == b["label"].to_numpy()[None, :]
+            other = q["id"].to_numpy()[a : a + 512, None] != b["id"].to_numpy()[None, :]
+            intra = max(intra, d[same & other].max(initial=-np.inf))
+            inter = min(inter, d[~same].min(initial=np.inf))
+    return pd.DataFrame({"intra": [intra], "inter": [inter]})
+
+
+def scatter(rows: DataFrame, most: int | None = 2_000, seed: int = 4) -> DataFrame:
+    """rows(id, label, vec) -> (within, between, calinski_harabasz, davies_bouldin, separation_ratio, dunn).
+
+    davies_bouldin from the root mean squared distances to the centroids; dunn: the least distance of two rows of different classes over
+    the largest of two of one, of all rows or of a sample of `most`. With fewer than two classes, or as many as
+    rows, all are null.
+    """
+    prepare(rows.sparkSession)
+    rows = written(finite(rows), "rows")
+    c = written(centroids(rows), "centroids")
+    x = rows.join(F.broadcast(c.select("label", F.col("vec").alias("m"))), "label")  # one row a class
+    by = x.groupBy("label").agg(F.sum(V.squared_distance(F.col("vec"), F.col("m"))).alias("w"), F.count("*").alias("n"))
+    by = written(by.withColumn("s", F.sqrt(F.col("w") / F.col("n"))), "classes")
+    mean = rows.select(F.posexplode("vec").alias("c", "v")).groupBy("c").agg(F.avg("v").alias("v"))
     mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda p: p["v"]).alias("g"))
     between = c.transform(beside, mean).agg(F.sum(F.col("n") * V.squared_distance(F.col("vec"), F.col("g"))).alias("between"), F.sum("n").alias("n"), F.count("*").alias("k"))
     t = c.select("label", "vec").join(by.select("label", "s"), "label")
     o = t.select(F.col("label").alias("o"), F.col("vec").alias("ov"), F.col("s").alias("os"))
     gap = t.transform(beside, o).where(F.col("label") != F.col("o")).withColumn("d", F.sqrt(V.squared_distance(F.col("vec"), F.col("ov"))))  # classes x classes
-    worst = gap.groupBy("label").agg(F.max((F.col("s") + F.col("os")) / F.col("d")).alias("r"), F.min("d").alias("near"))
-    bouldin = worst.agg(F.avg("r").alias("davies_bouldin"), F.min("near").alias("near"))
-    within = by.agg(F.sum("w").alias("within"), F.max("s").alias("far"))
-    s = within.transform(beside, between).transform(beside, bouldin)
-    ch = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
-    return s.select("within", "between", ch.alias("calinski_harabasz"), "davies_bouldin", (F.col("near") / (2 * F.col("far"))).alias("dunn"))
+    worst = gap.groupBy("label").agg(F.max((F.col("s") + F.col("os")) / F.greatest("d", F.lit(np.finfo(float).eps))).alias("r"))
+    bouldin = worst.agg(F.avg("r").alias("davies_bouldin"))
+    own = sampled(rows, most, seed)
+    ends = block_pairs(own, own, _extremes, "intra double, inter double").agg(F.max("intra").alias("intra"), F.min("inter").alias("inter"))
+    s = by.agg(F.sum("w").alias("within")).transform(beside, between).transform(beside, bouldin).transform(beside, ends)
+    ok = (F.col("k") >= 2) & (F.col("k") < F.col("n"))
+    over = lambda a, b: F.when(b > 0, a / F.when(b > 0, b).otherwise(1.0))
+    ch = over(F.col("between") / F.when(ok, F.col("k") - 1).otherwise(1), F.col("within") / F.when(ok, F.col("n") - F.col("k")).otherwise(1))
+    dunn = F.when((F.col("intra") >= 0) & (F.col("inter") < float("inf")), over(F.col("inter"), F.col("intra")))
+    separation = F.col("between") / F.greatest("within", F.lit(np.finfo(float).eps))
+    found = {"within": F.col("within"), "between": F.col("between"), "calinski_harabasz": ch, "davies_bouldin": F.col("davies_bouldin"), "separation_ratio": separation, "dunn": dunn}
+    return s.select(*(F.when(ok, v).alias(k) for k, v in found.items()))
 
 
 def edge_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,66 +215,127 @@ def graph_purity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return by.agg(F.sum("n").alias("edges"), (F.sum("s") / F.sum("n")).alias("purity"), F.avg(F.col("s") / F.col("n")).alias("mean_row_purity"))
 
 
+def neighbor_purity(rows: DataFrame, k: int = 15, most: int | None = 3_000, seed: int = 17) -> DataFrame:
+    """rows(id, label, vec) -> (n, purity): the mean share of a row's k nearest others that have its label, of all rows or of a sample of `most`; null for fewer than k + 2 rows."""
+    own = sampled(finite(rows), most, seed)
+    n = own.count()
+    if n < k + 2:
+        return own.sparkSession.createDataFrame([(n, None)], "n long, purity double")
+    near = graph_purity(knn_graph(own, k), own.select("id", "label"))
+    return near.select(F.lit(n).cast("long").alias("n"), F.col("mean_row_purity").alias("purity"))
+
+
 def compactness(rows: DataFrame) -> DataFrame:
-    """(label, n, compactness): mean distance of a class's rows to its centroid."""
+    """(label, n, rms, normalized_rms): the root mean squared distance of a class's rows to its centroid, and that over the same of all rows to theirs (null where that is 0)."""
+    rows = written(finite(rows), "rows")
     c = centroids(rows).select("label", F.col("vec").alias("m"))
-    x = rows.select("label", V.doubles(F.col("vec")).alias("vec")).join(F.broadcast(c), "label")  # one row a class
-    return x.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.sqrt(V.squared_distance(F.col("vec"), F.col("m")))).alias("compactness"))
+    mean = rows.select(F.posexplode("vec").alias("c", "v")).groupBy("c").agg(F.avg("v").alias("v"))
+    mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda p: p["v"]).alias("g"))
+    x = rows.join(F.broadcast(c), "label").transform(beside, mean)  # one row a class
+    rms = lambda to: F.sqrt(F.avg(V.squared_distance(F.col("vec"), F.col(to))))
+    overall = rows.transform(beside, mean).agg(rms("g").alias("overall"))
+    by = x.groupBy("label").agg(F.count("*").alias("n"), rms("m").alias("rms"))
+    return by.transform(beside, overall).select("label", "n", "rms", F.when(F.col("overall") > 0, F.col("rms") / F.when(F.col("overall") > 0, F.col("overall")).otherwise(1.0)).alias("normalized_rms"))
+
+
+def truth_compactness(rows: DataFrame) -> DataFrame:
+    """(compactness): the median of the classes' normalized_rms."""
+    return compactness(rows).agg(F.median("normalized_rms").alias("compactness"))
 
 
-def conductance(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """edges(i, j, w) -> (label, conductance): weight leaving a class over the smaller volume of both sides."""
-    e = edge_labels(edges.where("i < j").select("i", "j", "w").union(edges.where("i > j").select("j", "i", "w")).groupBy("i", "j").agg(F.max("w").alias("w")), labels)
-    side = lambda a, b: e.select(F.col(a).alias("label"), "w", F.when(F.col(a) != F.col(b), F.col("w")).otherwise(0.0).alias("out"))
-    v = side("l_i", "l_j").union(side("l_j", "l_i")).groupBy("label").agg(F.sum("w").alias("vol"), F.sum("out").alias("cut"))
+def conductance(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """graph(i, j, dist), labels(id, label) -> (label, conductance): the weight of a class's edges that leave it over the smaller of its
+    edges' weight and the others', 0 where that is 0. An edge weighs 1 / (1 + dist) on the side of i; self-loops and edges without a finite distance don't count."""
+    w = 1 / (1 + F.greatest("dist", F.lit(0.0)))
+    kept = graph.where("i <> j and dist is not null and not isnan(dist) and abs(dist) < double('infinity')").select("i", "j", w.alias("w"))
+    v = edge_labels(kept, labels).groupBy(F.col("l_i").alias("label")).agg(F.sum("w").alias("vol"), F.sum(F.when(F.col("l_i") != F.col("l_j"), F.col("w")).otherwise(0.0)).alias("cut"))
+    v = labels.select("label").where("label is not null").distinct().join(v, "label", "left").fillna(0.0, ["vol", "cut"])
     total = v.agg(F.sum("vol").alias("all"))
     low = F.least("vol", F.col("all") - F.col("vol"))
-    return v.transform(beside, total).select("label", F.when(low > 0, F.col("cut") / F.when(low > 0, low).otherwise(1.0)).otherwise(0.0).alias("conductance"))
+    return v.transform(beside, total).select("label", F.when(low > 1e-12, F.col("cut") / F.when(low > 1e-12, low).otherwise(1.0)).otherwise(0.0).alias("conductance"))
+
+
+def conductance_summary(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """(mean, maximum) over the classes."""
+    return conductance(graph, labels).agg(F.avg("conductance").alias("mean"), F.max("conductance").alias("maximum"))
 
 
 def boundary_f1(edges: DataFrame, truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """(precision, recall, f1) of rows with a neighbour of another class, predicted against true."""
-    at = lambda labels, name: edge_labels(edges, labels).groupBy("i").agg(F.max((F.col("l_i") != F.col("l_j")).cast("int")).alias(name))
-    both = at(truth, "t").join(at(pred, "p"), "i")
-    s = both.agg(F.sum(F.col("t") * F.col("p")).alias("hit"), F.sum("t").alias("t"), F.sum("p").alias("p"))
-    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    s = s.select(part("hit", "p").alias("precision"), part("hit", "t").alias("recall"))
+    """(precision, recall, f1) of the edges that join rows of different classes, predicted against true."""
+    of = lambda c: truth.select(F.col("id").alias(c), F.col("label").alias(f"t_{c}")).join(pred.select(F.col("id").alias(c), F.col("label").alias(f"p_{c}")), c)
+    both = edges.where("i <> j").join(of("i"), "i").join(of("j"), "j")
+    t, p = ((F.col(f"{x}_i") != F.col(f"{x}_j")).cast("int") for x in "tp")
+    s = both.agg(F.sum(t * p).alias("hit"), F.sum(t).alias("t"), F.sum(p).alias("p")).fillna(0)
+    part = lambda a: F.col("hit") / F.greatest(F.col(a), F.lit(1))
+    s = s.select(part("p").alias("precision"), part("t").alias("recall"))
     sum_ = F.col("precision") + F.col("recall")
-    return s.select("precision", "recall", F.when(sum_ > 0, 2 * F.col("precision") * F.col("recall") / sum_).otherwise(0.0).alias("f1"))
+    return s.select("precision", "recall", F.when(sum_ > 0, 2 * F.col("precision") * F.col("recall") / F.when(sum_ > 0, sum_).otherwise(1.0)).otherwise(0.0).alias("f1"))
 
 
-def agreement_quantiles(graph: DataFrame, labels: DataFrame, at: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """graph with (valid, same), labels -> (within, n, q0, ...): exact quantiles of edge agreement, within and between classes."""
-    e = edge_labels(graph, labels).where("valid > 0").select((F.col("l_i") == F.col("l_j")).alias("within"), (F.col("same") / F.col("valid")).alias("a"))
-    return e.groupBy("within").agg(F.count("*").alias("n"), *(F.percentile("a", F.lit(q)).alias(f"q{round(100 * q)}") for q in at))
+def _edge_agreement(graph: DataFrame, labels: DataFrame, prefixes: list[int], most: int | None, seed: int) -> DataFrame:
+    """(i, j, a0, a1, ...): the share of the first runs of each prefix in which both ends have one label; of all edges, or of a sample of `most` by a hash.
+
+    Labels are gathered once a node, by run, so an edge brings two arrays together.
+    """
+    e = graph.where("i <> j").select("i", "j")
+    if most is not None and e.count() > most:
+        e = written(e.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string"))), "i", "j").limit(most), "edges")
+    packed = labels.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "label"))), lambda x: x["label"]).alias("m"))  # one number a run
+    of = lambda c: packed.select(F.col("id").alias(c), F.col("m").alias(f"m_{c}"))
+    met = e.join(of("i"), "i").join(of("j"), "j").withColumn("same", F.zip_with("m_i", "m_j", lambda x, y: F.when(x == y, 1.0).otherwise(0.0)))
+    return met.select("i", "j", *((V.total(F.slice("same", 1, m)) / m).alias(f"a{n}") for n, m in enumerate(prefixes)))
+
+
+def agreement_quantiles(graph: DataFrame, labels: DataFrame, at: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), most: int | None = 100_000, seed: int = 812) -> DataFrame:
+    """graph(i, j), labels(run, id, label) -> (edges, q0, q10, ...): quantiles, interpolated, of the edges' share of runs in which both ends have one label."""
+    runs = labels.select("run").distinct().count()
+    e = _edge_agreement(graph, labels, [runs], most, seed)
+    return e.agg(F.count("*").alias("edges"), *(F.percentile("a0", F.lit(q)).alias(f"q{round(100 * q)}") for q in at))
+
+
+def prefix_agreement(graph: DataFrame, labels: DataFrame, prefixes: tuple[int, ...] = (10, 20, 50, 100), most: int | None = 1_000_000, seed: int = 9095) -> DataFrame:
+    """graph(i, j), labels(run, id, label) -> (prefix, edges, mean_agreement, sd_agreement): the edges' agreement over the first runs; prefixes beyond the runs are all runs."""
+    runs = labels.select("run").distinct().count()
+    use = sorted({min(p, runs) for p in prefixes})
+    e = written(_edge_agreement(graph, labels, use, most, seed), "agreement")
+    out = None
+    for n, m in enumerate(use):
+        one = e.agg(F.lit(m).alias("prefix"), F.count("*").alias("edges"), F.avg(f"a{n}").alias("mean_agreement"), F.stddev_samp(f"a{n}").alias("sd_agreement"))
+        out = one if out is None else out.union(one)
+    return out
 
 
-def run_summary(trace: DataFrame) -> DataFrame:
-    """trace(run, cycle, accuracy, score) -> (run, cycles, first, last, best, gained_at): gained_at the first cycle of the best accuracy."""
-    best = trace.groupBy("run").agg(F.count("*").alias("cycles"), F.min_by("accuracy", "cycle").alias("first"), F.max_by("accuracy", "cycle").alias("last"), F.max("accuracy").alias("best"))
-    at = trace.join(best.select("run", "best"), "run").where("accuracy = best").groupBy("run").agg(F.min("cycle").alias("gained_at"))
-    return best.join(at, "run")
+def fit_summary(labels: DataFrame, trace: DataFrame) -> DataFrame:
+    """labels(run, id, label), trace(CYCLE) -> one row: the runs' last accuracies (cv_), their numbers of classes, the shares of runs of one and of at most two classes,
+    how many solutions differ, the shares of accepted cycles, the mean size of a proposal, and the evaluations."""
+    last = trace.groupBy("run").agg(F.max_by("accuracy", "cycle").alias("a"))
+    q = lambda c, x: F.percentile(c, F.lit(x))
+    acc = last.agg(F.avg("a").alias("cv_mean"), q("a", 0.5).alias("cv_median"), F.stddev_samp("a").alias("cv_sd"), F.min("a").alias("cv_min"), F.max("a").alias("cv_max"), F.count("*").alias("runs"))
+    # a run's labels as two sums that don't depend on the order of rows
+    mark = [F.sum(F.xxhash64(F.lit(k), "id", "label").cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]
+    by = labels.groupBy("run").agg(F.countDistinct("label").alias("c"), *mark)
+    share = lambda cond: F.avg(cond.cast("double"))
+    cls = by.agg(
+        F.avg("c").alias("classes_mean"), q("c", 0.5).alias("classes_median"), (q("c", 0.75) - q("c", 0.25)).alias("classes_iqr"),
+        share(F.col("c") <= 1).alias("collapse_one_rate"), share(F.col("c") <= 2).alias("collapse_two_rate"), F.countDistinct("h0", "h1").alias("distinct_solutions"),
+    )
+    cyc = trace.agg(
+        share(F.col("accepted")).alias("acceptance_rate"), share(F.col("improving")).alias("improving_acceptance_rate"), share(F.col("temperature")).alias("temperature_acceptance_rate"),
+        F.avg("proposal_size").alias("proposal_size_mean"), F.count("*").alias("cycles"),
+    )
+    out = acc.transform(beside, cls).transform(beside, cyc).withColumn("cv_evaluations", F.col("runs") + F.col("cycles"))
+    return out.drop("runs", "cycles")
 
 
 def cycle_deciles(trace: DataFrame) -> DataFrame:
-    """(decile, runs, mean_accuracy): mean best accuracy at each tenth of the cycles."""
+    """trace(CYCLE) -> (decile, cycles, proposal_size, active_classes, acceptance_rate, improving_rate, temperature_rate): means of each tenth of the cycles."""
     last = trace.agg(F.max("cycle").alias("last"))
-    d = trace.transform(beside, last).withColumn("decile", F.ceil(10 * F.col("cycle") / F.col("last")).cast("int"))
-    end = d.groupBy("run", "decile").agg(F.max_by("accuracy", "cycle").alias("a"))
-    return end.groupBy("decile").agg(F.count("*").alias("runs"), F.avg("a").alias("mean_accuracy"))
-
-
-def prefix_convergence(graph: DataFrame, labels: DataFrame, prefixes: list[int]) -> DataFrame:
-    """(runs, correlation, mean_gap): edge agreement of the first runs against that of all."""
-    of = lambda c: labels.select(F.col("id").alias(c), "run", F.col("label").alias(f"l_{c}"))
-    e = graph.select("i", "j").join(of("i"), "i").join(of("j"), ["j", "run"]).where("l_i <> 0 and l_j <> 0")
-    same = F.when(F.col("l_i") == F.col("l_j"), 1.0).otherwise(0.0)
-    a = e.groupBy("i", "j").agg(F.avg(same).alias("all"), *(F.avg(F.when(F.col("run") <= m, same)).alias(f"m{m}") for m in prefixes))
-    out = None
-    for m in prefixes:
-        one = a.agg(F.lit(m).alias("runs"), F.corr("all", f"m{m}").alias("correlation"), F.avg(F.abs(F.col("all") - F.col(f"m{m}"))).alias("mean_gap"))
-        out = one if out is None else out.union(one)
-    return out
+    tenth = F.least(F.lit(10), F.greatest(F.lit(1), F.ceil(10 * F.col("cycle") / F.col("last")))).cast("int")
+    share = lambda c, name: F.avg(F.col(c).cast("double")).alias(name)
+    return trace.transform(beside, last).groupBy(tenth.alias("decile")).agg(
+        F.count("*").alias("cycles"), F.avg("proposal_size").alias("proposal_size"), F.avg("active_classes").alias("active_classes"),
+        share("accepted", "acceptance_rate"), share("improving", "improving_rate"), share("temperature", "temperature_rate"),
+    )
 
 
 def best_run(trace: DataFrame) -> DataFrame:

@@ -43,18 +43,25 @@ class Result:
     scores: list[float] = field(default_factory=list)
     evaluations: int = 1
     accepted: int = 0
+    cycles: list[tuple] = field(default_factory=list)  # of each: groups relabelled, classes, accepted, as it improves, by temperature
 
 
 def objective_score(labels: np.ndarray, acc: float, o: Options) -> float:
+    """The accuracy; times the root of the chance that two rows differ in class (diversity), minus infinity for
+    one class; less (1 - accuracy) times the cost of many or uneven classes (coarsening, but for KNN)."""
+    fragments = o.classifier != "knn" and o.coarsening
     n = np.unique(labels, return_counts=True)[1]
-    p = n / n.sum()
-    if o.classifier != "knn" and o.coarsening:
-        h = float(-(p * np.log(p)).sum())
-        f = float(np.log(len(p)) - h)
-        return -(1 - acc) * max(h / max(np.log(len(labels)), 1e-12), f / (1 + f))
-    if not o.diversity:
+    p = n / max(1, n.sum())
+    if not len(p) or not (o.diversity or fragments):
         return acc
-    return -np.inf if len(p) < 2 else acc * float(np.sqrt(max(0.0, 1 - np.square(p).sum())))
+    if o.diversity and len(p) < 2:
+        return -np.inf
+    score = acc * float(np.sqrt(max(0.0, 1 - np.square(p).sum()))) if o.diversity else acc
+    if fragments and len(p) > 1:
+        h = float(-(p * np.log(p)).sum())
+        f = max(0.0, float(np.log(len(p) / max(1.0, np.exp(h)))))
+        score -= (1 - acc) * max(min(1.0, max(0.0, h / np.log(len(labels)))), f / (1 + f))
+    return score
 
 
 def knn_predictor(near: np.ndarray, score: np.ndarray, fold: np.ndarray):
@@ -185,7 +192,8 @@ def maximize(predict, labels: np.ndarray, groups: np.ndarray, fixed: np.ndarray,
         cl = base.copy()
         t = (cycle + 1) / (o.cycles + 1)
         span = int((total - 1) * (1 - t * t * (3 - 2 * t))) if o.adaptive_size else total - 1
-        for g in rng.choice(total, int(rng.integers(1, span + 2)), replace=False):
+        size = int(rng.integers(1, span + 2))
+        for g in rng.choice(total, size, replace=False):
             own = order[cuts[g] : cuts[g + 1]]
             own = own[~fixed[own]]
             if len(own):
@@ -197,27 +205,34 @@ def maximize(predict, labels: np.ndarray, groups: np.ndarray, fixed: np.ndarray,
         out.evaluations += 1
         acc = float((pred == cl).mean())
         score = objective_score(cl, acc, o)
-        if score > out.score:
+        up, warm = score > out.score, False
+        if up:
             out.labels, out.predicted, out.accuracy, out.score = cl, pred, acc, score
         if o.evolutionary:
             heat = max(1e-9, 0.1 * max(0.0, 1 - current_acc) * (1 - (cycle + 1) / o.cycles))
             up = score >= current_score
-            if up or (o.stochastic and heat > 1e-9 and np.isfinite(score) and rng.random() < np.exp((score - current_score) / heat)):
+            warm = bool(not up and o.stochastic and heat > 1e-9 and np.isfinite(score) and rng.random() < np.exp((score - current_score) / heat))
+            if up or warm:
                 current, current_pred, current_score, current_acc = cl, pred, score, acc
                 out.accepted += 1
+        out.cycles.append((size, len(np.unique(current if o.evolutionary else out.labels)), bool(up or warm), bool(up), warm))
         out.trace.append(out.accuracy)
         out.scores.append(out.score)
     return out
 
 
-RUN = "run int, id long, label long, pred long, best boolean, cycle int, accuracy double, score double"
+RUN = "run int, id long, label long, pred long, best boolean, cycle int, accuracy double, score double, proposal_size int, active_classes int, accepted boolean, improving boolean, temperature boolean"
+#: What a run tells of each cycle.
+CYCLE = ("run", "cycle", "accuracy", "score", "proposal_size", "active_classes", "accepted", "improving", "temperature")
 
 
 def optimize(rows: DataFrame, neighbours: DataFrame, o: Options, run: str = "run", most: int = 50_000) -> DataFrame:
     """One optimisation for each run: rows(run, id, label, grp, fixed, fold), neighbours(run, i, rank, j, dist) of other folds.
 
     Returns two kinds of rows: best = true: (run, id, label, pred) of the best state, with its accuracy and
-    score; best = false: (run, cycle, accuracy, score), the best so far after each cycle. Run r is seeded with
+    score; best = false: CYCLE, with the best accuracy and score so far after each cycle, the groups that the
+    cycle proposed to relabel, the classes after it, and whether the proposal was accepted, as it improves or by
+    temperature. Run r is seeded with
     seed + r, so replays are equal. A run's rows meet in one task; their number is checked against `most`.
     """
     prepare(rows.sparkSession)
@@ -229,7 +244,7 @@ def optimize(rows: DataFrame, neighbours: DataFrame, o: Options, run: str = "run
         r = r.sort_values("id")
         ids = r["id"].to_numpy()
         if not len(ids):
-            return pd.DataFrame(columns=["run", "id", "label", "pred", "best", "cycle", "accuracy", "score"])
+            return pd.DataFrame(columns=[c.split()[0] for c in RUN.split(", ")])
         width = int(e["rank"].max()) if len(e) else 1
         near, score = np.full((len(ids), width), -1), np.zeros((len(ids), width))
         i, j = np.searchsorted(ids, e["i"].to_numpy()), np.searchsorted(ids, e["j"].to_numpy())
@@ -238,9 +253,10 @@ def optimize(rows: DataFrame, neighbours: DataFrame, o: Options, run: str = "run
         own = Options(**{**o.__dict__, "seed": o.seed + int(key[0])})
         predict = knn_predictor(near, score, r["fold"].to_numpy()) if o.classifier == "knn" else plslda_predictor(np.array(r["vec"].tolist(), float), r["fold"].to_numpy(), o.components)
         found = maximize(predict, r["label"].to_numpy(), r["grp"].to_numpy(), r["fixed"].to_numpy(bool), own)
-        last = pd.DataFrame({"run": int(key[0]), "id": ids, "label": found.labels, "pred": found.predicted, "best": True, "cycle": o.cycles, "accuracy": found.accuracy, "score": found.score})
-        trace = pd.DataFrame({"run": int(key[0]), "id": -1, "label": 0, "pred": 0, "best": False, "cycle": range(1, o.cycles + 1), "accuracy": found.trace, "score": found.scores})
-        return pd.concat([last, trace])
+        last = pd.DataFrame({"run": int(key[0]), "id": ids, "label": found.labels, "pred": found.predicted, "best": True, "cycle": o.cycles, "accuracy": found.accuracy, "score": found.score} | dict.fromkeys(CYCLE[4:]))
+        trace = pd.DataFrame({"run": int(key[0]), "id": -1, "label": 0, "pred": 0, "best": False, "cycle": range(1, o.cycles + 1), "accuracy": found.trace, "score": found.scores} | dict(zip(CYCLE[4:], zip(*found.cycles))) if o.cycles else {})
+        last, trace = ((d.reindex(columns=[c.split()[0] for c in RUN.split(", ")])).astype(object) for d in (last, trace))
+        return pd.concat([last, trace]) if len(trace) else last
 
     neighbours = neighbours.toDF(*neighbours.columns)  # apart from rows, which may stem from the same tables
     return rows.groupBy(run).cogroup(neighbours.groupBy(run)).applyInPandas(one, RUN)

@@ -70,19 +70,24 @@ def absorption_candidates(rows: DataFrame) -> DataFrame:
 
 
 def objective(rows: DataFrame) -> DataFrame:
-    """rows(truth, pred) -> (classes, accuracy, diversity, guarded, fragmented).
+    """rows(truth, pred) -> (classes, accuracy, diversity, cost, guarded, fragmented, both).
 
-    guarded = accuracy * sqrt(1 - sum p^2), minus infinity (null) for one class; fragmented =
-    -(1 - accuracy) * max(H / ln n, f / (1 + f)) with f = ln(K / exp(H)).
+    guarded = accuracy * sqrt(1 - sum p^2), minus infinity (null) for one class. cost is what a split into
+    many classes costs: max(H / ln n, f / (1 + f)) with f = ln(K / exp(H)), 0 for one class. fragmented =
+    accuracy - (1 - accuracy) * cost, and both = guarded - (1 - accuracy) * cost, null for one class.
     """
     by = rows.groupBy("truth").agg(F.count("*").alias("n"), F.count(F.when(F.col("truth") == F.col("pred"), 1)).alias("right"))
     s = by.agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("right").alias("right"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum(F.col("n") * F.log("n")).alias("nlog"))
     acc = F.col("right") / F.col("n")
     div = 1 - F.col("sq") / (F.col("n") * F.col("n"))
-    h = F.log("n") - F.col("nlog") / F.col("n")
-    f = F.log("classes") - h
-    frag = -(1 - acc) * F.greatest(h / F.log("n"), f / (1 + f))
-    return s.select("classes", acc.alias("accuracy"), div.alias("diversity"), F.when(F.col("classes") > 1, acc * F.sqrt(F.greatest(div, F.lit(0.0)))).alias("guarded"), frag.alias("fragmented"))
+    h = F.greatest(F.log("n") - F.col("nlog") / F.col("n"), F.lit(0.0))
+    f = F.greatest(F.log("classes") - h, F.lit(0.0))
+    code = F.when(F.col("n") > 1, F.least(h / F.when(F.col("n") > 1, F.log("n")).otherwise(1.0), F.lit(1.0))).otherwise(0.0)
+    cost = F.when(F.col("classes") > 1, F.greatest(code, f / (1 + f))).otherwise(0.0)
+    s = s.select("classes", acc.alias("accuracy"), div.alias("diversity"), cost.alias("cost"))
+    many, minus = F.col("classes") > 1, (1 - F.col("accuracy")) * F.col("cost")
+    s = s.withColumn("guarded", F.when(many, F.col("accuracy") * F.sqrt(F.greatest("diversity", F.lit(0.0)))))
+    return s.withColumn("fragmented", F.col("accuracy") - minus).withColumn("both", F.col("guarded") - minus)
 
 
 def cv_neighbours(graph: DataFrame, folds: DataFrame, k: int) -> DataFrame:

@@ -46,11 +46,15 @@ def run_labels(spark: SparkSession, sf_dir: str, runs: int = 8) -> DataFrame:
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, cycle, accuracy, score): running maxima by customer, as an optimiser's trace."""
+    """(run, cycle, accuracy, score, ...): running maxima by customer and what follows from their keys, as an optimiser's trace."""
     from pyspark.sql.window import Window
 
     c = read(spark, sf_dir, "customer").where("c_custkey is not null").select((F.col("c_nationkey") + 1).alias("run"), F.col("c_custkey").alias("key"), "c_acctbal")
     w = Window.partitionBy("run").orderBy("key")
     acc = F.round((F.col("c_acctbal") + 1000) / 12000, 9)
     t = c.withColumn("cycle", F.row_number().over(w)).withColumn("accuracy", F.max(acc).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.select("run", "cycle", "accuracy", F.col("accuracy").alias("score"))
+    up, warm = F.col("key") % 3 == 0, (F.col("key") % 7 == 0) & (F.col("key") % 3 > 0)
+    return t.select(
+        "run", "cycle", "accuracy", F.col("accuracy").alias("score"), (F.col("key") * 7 % 23 + 1).cast("int").alias("proposal_size"), (F.col("key") % 5 + 2).cast("int").alias("active_classes"),
+        (up | warm).alias("accepted"), up.alias("improving"), warm.alias("temperature"),
+    )

@@ -9,7 +9,7 @@ P = "p AS (SELECT id, CAST(id % 2 AS INTEGER) AS sample, v[1:2] AS v FROM f)"
 S = "s AS (SELECT l_suppkey AS id, [round(CAST(sum(l_quantity) AS DOUBLE), 3), round(CAST(avg(l_extendedprice) AS DOUBLE), 3), round(CAST(avg(l_discount) AS DOUBLE), 3), round(CAST(avg(l_tax) AS DOUBLE), 3), CAST(count(*) AS DOUBLE)] AS v FROM lineitem GROUP BY 1)"
 PRED = "q AS (SELECT id, label AS truth, CASE WHEN CAST('0x' || substr(md5('p:' || id), 1, 4) AS INTEGER) % 4 = 0 THEN (label + 1) % 10 ELSE label END AS pred FROM f)"
 RUNS = "r AS (SELECT run, id, CASE WHEN CAST('0x' || substr(md5(run || ':' || id), 1, 4) AS INTEGER) % 5 = 0 THEN (label + run) % 10 ELSE label END AS label FROM f, (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS run))"
-TRACE = "t AS (SELECT run, CAST(row_number() OVER w AS INTEGER) AS cycle, max(round((c_acctbal + 1000) / 12000, 9)) OVER (PARTITION BY run ORDER BY key ROWS UNBOUNDED PRECEDING) AS accuracy FROM (SELECT c_nationkey + 1 AS run, c_custkey AS key, c_acctbal FROM customer) WINDOW w AS (PARTITION BY run ORDER BY key))"
+TRACE = "t AS (SELECT run, CAST(row_number() OVER w AS INTEGER) AS cycle, max(round((c_acctbal + 1000) / 12000, 9)) OVER (PARTITION BY run ORDER BY key ROWS UNBOUNDED PRECEDING) AS accuracy, key * 7 % 23 + 1 AS size, key % 5 + 2 AS active, CAST(key % 3 = 0 AS DOUBLE) AS up, CAST(key % 7 = 0 AND key % 3 > 0 AS DOUBLE) AS warm FROM (SELECT c_nationkey + 1 AS run, c_custkey AS key, c_acctbal FROM customer) WINDOW w AS (PARTITION BY run ORDER BY key))"
 
 
 def r6(x: str, name: str) -> str:
@@ -91,6 +91,15 @@ for _name, _scale in (("centering", "1.0"), ("autoscaling", "stddev_samp(x)"), (
     ORACLES[f"p6_scale_{_name}"] = f"""WITH {S}, l AS (SELECT id, CASE WHEN id % 3 > 0 THEN 'train' ELSE 'test' END AS part, unnest(v) AS x, unnest(range(5)) AS c FROM s),
       m AS (SELECT c, avg(x) AS m, {_scale} AS w FROM l WHERE part = 'train' GROUP BY c) SELECT id, part, CAST(c AS INTEGER) AS c, {r6('(x - m) / w', 'v')} FROM l JOIN m USING (c)"""
 
+def _objective(rows: str) -> str:
+    """The score by its definition: chance that two rows differ, entropies of the classes, accuracy."""
+    keep = lambda x, name: f"CASE WHEN k > 1 THEN round({x}, 6) + 0.0 END AS {name}"
+    return f"""c AS (SELECT truth, count(*) AS n, count(*) FILTER (truth = pred) AS r FROM {rows} GROUP BY 1), t AS (SELECT sum(n) AS t, count(*) AS k, sum(r) AS hits FROM c),
+      s AS (SELECT max(k) AS k, max(t) AS n, max(hits / t) AS acc, 1 - sum((n / t) * (n / t)) AS d, -sum((n / t) * ln(n / t)) AS h FROM c, t),
+      z AS (SELECT *, CASE WHEN k = 1 THEN 0.0 ELSE greatest(least(1.0, greatest(0.0, h / ln(n))), greatest(0.0, ln(k / exp(h))) / (1 + greatest(0.0, ln(k / exp(h))))) END AS cost FROM s)
+      SELECT k AS classes, {r6('acc', 'accuracy')}, {r6('d', 'diversity')}, {r6('cost', 'cost')}, {keep('acc * sqrt(greatest(d, 0.0))', 'guarded')}, {r6('acc - (1 - acc) * cost', 'fragmented')}, {keep('acc * sqrt(greatest(d, 0.0)) - (1 - acc) * cost', 'both')} FROM z"""
+
+
 oracle(
     p7_median=f"WITH {F} SELECT id, {r6('list_median(v)', 'median')} FROM f",
     p8_renumber_groups=f"WITH {F}, g AS (SELECT id, min(id) OVER (PARTITION BY id % 3, label) AS first FROM f) SELECT id, dense_rank() OVER (ORDER BY first) AS grp FROM g",
@@ -127,9 +136,9 @@ oracle(
     a4_accuracy=f"WITH {F}, {PRED} SELECT CAST(id % 5 AS INTEGER) AS fold, count(*) AS n, {r6('avg(CAST(truth = pred AS DOUBLE))', 'accuracy')} FROM q GROUP BY GROUPING SETS ((1), ())".replace("GROUPING SETS ((1), ())", "ROLLUP (CAST(id % 5 AS INTEGER))"),
     a5_confusion=f"WITH {F}, {PRED} SELECT truth, pred, count(*) AS n FROM q WHERE truth < 8 AND pred IN (SELECT truth FROM q WHERE truth < 8) GROUP BY 1, 2",
     a6_transitions=f"WITH {F}, {PRED} SELECT truth AS label, pred, count(*) AS n, count(*) FILTER (id % 3 <> 0) AS movable FROM q GROUP BY 1, 2",
-    a7_objective=f"""WITH {F}, {PRED}, c AS (SELECT truth, count(*) AS n, count(*) FILTER (truth = pred) AS r FROM q GROUP BY 1),
-      s AS (SELECT count(*) AS k, sum(n) AS n, sum(r) / sum(n) AS acc, 1 - sum(n * n) / (sum(n) * sum(n)) AS d, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM c)
-      SELECT k AS classes, {r6('acc', 'accuracy')}, {r6('d', 'diversity')}, {r6('acc * sqrt(d)', 'guarded')}, {r6('-(1 - acc) * greatest(h / ln(n), (ln(k) - h) / (1 + ln(k) - h))', 'fragmented')} FROM s""",
+    a7_objective=f"""WITH {F}, {PRED}, {_objective('q')}""",
+    c10_objective_of_runs=f"""WITH {F}, {PRED}, one AS (SELECT 1 AS truth, 1 AS pred FROM q), every AS (SELECT id AS truth, id - id % 4 AS pred FROM q)
+      {" UNION ALL ".join(f"SELECT '{n}' AS labels, * FROM (WITH {_objective(t)})" for n, t in (("as_is", "q"), ("one_class", "one"), ("a_class_a_row", "every")))}""",
     a8_lloyd_step=f"""WITH {F}, s AS (SELECT id, v, row_number() OVER (ORDER BY id) AS cluster FROM f ORDER BY id LIMIT 8),
       d AS (SELECT a.id, a.v, b.cluster, row_number() OVER (PARTITION BY a.id ORDER BY list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.cluster) AS r FROM f a, s b),
       l AS (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS c FROM d WHERE r = 1) SELECT CAST(cluster AS INTEGER) AS cluster, CAST(c AS INTEGER) AS c, count(*) AS n, {r6('avg(x)', 'mean')} FROM l GROUP BY cluster, c""",
@@ -212,11 +221,25 @@ oracle(
     g1_weigh_adaptive=f"""WITH {graph()}, m AS (SELECT i, arg_max(dist, rank) AS s FROM e WHERE dist > 0 GROUP BY i), x AS (SELECT e.i, e.j, exp(-dist * dist / (coalesce(a.s, 1.0) * coalesce(b.s, 1.0))) AS g FROM e LEFT JOIN m a ON a.i = e.i LEFT JOIN m b ON b.i = e.j),
       w AS (SELECT least(i, j) AS a, greatest(i, j) AS b, max(g) AS w FROM x GROUP BY 1, 2) {WEIGHTS} WHERE w > 0.05""",
     g1_weigh_snn=f"""WITH {graph()}, s AS (SELECT a.i AS a, b.i AS b, count(*) AS s FROM e a JOIN e b ON a.j = b.j AND a.i < b.i GROUP BY 1, 2), w AS (SELECT a, b, s / (30 - s) AS w FROM s) {WEIGHTS} WHERE w > 0.05""",
+    g1_weigh_snn_mutual=f"""WITH {graph()}, m AS (SELECT x.i, x.j FROM e x JOIN e y ON x.i = y.j AND x.j = y.i), s AS (SELECT a.i AS a, b.i AS b, count(*) AS s FROM m a JOIN e b ON a.j = b.j AND a.i < b.i GROUP BY 1, 2),
+      w AS (SELECT a, b, s / (30 - s) AS w FROM s) {WEIGHTS} WHERE w > 0""",
+    g1_weigh_odd_distances=f"""WITH {graph()}, o AS (SELECT i, j, CASE WHEN j % 5 = 0 THEN -dist WHEN j % 7 = 0 THEN 0.0 WHEN j % 11 = 0 THEN NULL ELSE dist END AS d FROM e),
+      w AS (SELECT least(i, j) AS a, greatest(i, j) AS b, max(1 / (1 + d)) AS w FROM o WHERE d >= 0 GROUP BY 1, 2) {WEIGHTS}""",
+    c14_laplacian_weights_zero_scales=f"""WITH {graph()}, o AS (SELECT i, j, CASE WHEN i % 3 = 0 AND rank < 10 THEN 0.0 ELSE dist END AS dist FROM e),
+      m AS (SELECT i, list_sort(list(dist))[len(list(dist)) // 2 + 1] AS mid, avg(dist) AS mean FROM o GROUP BY i), c AS (SELECT i, greatest(CASE WHEN mid > 1e-6 THEN mid ELSE mean END, 1e-6) AS s FROM m),
+      x AS (SELECT o.i, o.j, exp(-dist * dist / (a.s * b.s)) AS g FROM o JOIN c a ON a.i = o.i JOIN c b ON b.i = o.j),
+      w AS (SELECT least(i, j) AS a, greatest(i, j) AS b, max(g) AS w FROM x GROUP BY 1, 2), d AS (SELECT id, sum(w) AS d FROM (SELECT a AS id, w FROM w UNION ALL SELECT b, w FROM w) GROUP BY id)
+      SELECT a, b, {r6('w / sqrt(p.d * q.d)', 'w')} FROM w JOIN d p ON p.id = a JOIN d q ON q.id = b""",
     g1_weigh_mutual=f"WITH {graph()}, w AS (SELECT x.i AS a, x.j AS b, greatest(1 / (1 + x.dist), 1 / (1 + y.dist)) AS w FROM e x JOIN e y ON x.i = y.j AND x.j = y.i WHERE x.i < x.j) {WEIGHTS}",
 )
 
 _CONTINGENCY = f"{F}, {PRED}, n AS (SELECT truth, pred, count(*) AS n FROM q GROUP BY 1, 2), x AS (SELECT *, sum(n) OVER (PARTITION BY truth) AS a, sum(n) OVER (PARTITION BY pred) AS b, sum(n) OVER () AS t FROM n)"
 _CENTROIDS = "l AS (SELECT id, label, unnest(v) AS x, unnest(range(len(v))) AS c FROM f), m AS (SELECT label, c, avg(x) AS m, count(*) AS n FROM l GROUP BY 1, 2), r AS (SELECT id, l.label, sum((x - m) * (x - m)) AS d2 FROM l JOIN m ON m.label = l.label AND m.c = l.c GROUP BY 1, 2)"
+_OVERALL = "g AS (SELECT c, avg(x) AS g FROM l GROUP BY 1), o AS (SELECT sqrt(sum((x - g) * (x - g)) / (SELECT count(*) FROM f)) AS s FROM l JOIN g USING (c))"
+_GAP = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+_SILHOUETTE = f"""d AS (SELECT a.id, a.label, b.label AS k, avg({_GAP}) AS m FROM f a JOIN f b ON a.id <> b.id GROUP BY 1, 2, 3),
+  y AS (SELECT id, label, max(m) FILTER (label = k) AS a, min(m) FILTER (label <> k) AS b FROM d GROUP BY 1, 2), t AS (SELECT label, CASE WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM y)"""
+_CONDUCTANCE = "u AS (SELECT li AS label, sum(1 / (1 + dist)) AS vol, sum(CASE WHEN li <> lj THEN 1 / (1 + dist) ELSE 0.0 END) AS cut FROM x GROUP BY li), v AS (SELECT label, cut / least(vol, (SELECT sum(vol) FROM u) - vol) AS q FROM u)"
 _LABELED = "x AS (SELECT e.*, p.label AS li, q.label AS lj FROM e JOIN f p ON p.id = e.i JOIN f q ON q.id = e.j)"
 
 oracle(
@@ -224,30 +247,41 @@ oracle(
       SELECT {r6('(s - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2))', 'ari')} FROM s, a, b""",
     v2_information=f"""WITH {_CONTINGENCY}, i AS (SELECT sum(n / t * ln(n * t / (a * b))) AS i FROM x), ha AS (SELECT -sum(a / t * ln(a / t)) AS ha FROM (SELECT DISTINCT truth, a, t FROM x)), hb AS (SELECT -sum(b / t * ln(b / t)) AS hb FROM (SELECT DISTINCT pred, b, t FROM x)),
       p AS (SELECT sum(m) / max(t) AS p FROM (SELECT pred, max(n) AS m, max(t) AS t FROM x GROUP BY pred)) SELECT {r6('i', 'mutual')}, {r6('i / ((ha + hb) / 2)', 'nmi')}, {r6('i / sqrt(ha * hb)', 'nmi_sqrt')}, {r6('i / ha', 'homogeneity')}, {r6('i / hb', 'completeness')},
-      {r6('2 * (i / ha) * (i / hb) / (i / ha + i / hb)', 'v_measure')}, {r6('p', 'purity')} FROM i, ha, hb, p""",
-    v3_class_scores=f"""WITH {_CONTINGENCY}, r AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY round(2 * n / (a + b), 9) DESC, n DESC, pred) AS r FROM x) SELECT truth, pred, {r6('n / a', 'recall')}, {r6('n / b', 'precision')}, {r6('2 * n / (a + b)', 'dice')} FROM r WHERE r = 1""",
-    v4_silhouette=f"""WITH {F}, d AS (SELECT a.id, a.label, b.label AS k, sum(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS s, count(*) AS n FROM f a, f b GROUP BY 1, 2, 3),
-      r AS (SELECT id, label, max(CASE WHEN label = k AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN label <> k THEN s / n END) AS b FROM d GROUP BY 1, 2), t AS (SELECT label, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) <= 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM r)
-      SELECT label, count(*) AS n, {r6('avg(s)', 'silhouette')} FROM t GROUP BY ROLLUP (label)""",
-    v5_scatter=f"""WITH {F}, {_CENTROIDS}, w AS (SELECT label, sum(d2) AS w, avg(sqrt(d2)) AS s, count(*) AS n FROM r GROUP BY 1), g AS (SELECT c, avg(x) AS g FROM l GROUP BY 1),
+      {r6('CASE WHEN i < 1e-12 THEN 0.0 ELSE 2 * (i / ha) * (i / hb) / (i / ha + i / hb) END', 'v_measure')}, {r6('p', 'purity')} FROM i, ha, hb, p""",
+    v3_class_scores=f"""WITH {_CONTINGENCY}, r AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY n DESC, pred) AS r FROM x)
+      SELECT truth, pred, CAST(a AS BIGINT) AS support, {r6('n / a', 'recall')}, {r6('n / b', 'precision')}, {r6('2 * (n / a) * (n / b) / (n / a + n / b)', 'dice')} FROM r WHERE r = 1""",
+    v3_by_sample=f"""WITH {F}, {PRED}, g AS (SELECT CAST(id % 3 AS INTEGER) AS sample, truth, pred FROM q), n AS (SELECT sample, truth, pred, count(*) AS n FROM g GROUP BY ALL),
+      x AS (SELECT *, sum(n) OVER (PARTITION BY sample, truth) AS a, sum(n) OVER (PARTITION BY sample, pred) AS b, sum(n) OVER (PARTITION BY sample) AS t FROM n),
+      i AS (SELECT sample, max(t) AS t, sum(n / t * ln(n * t / (a * b))) AS i, sum(n * (n - 1) / 2) AS s, count(DISTINCT pred) AS clusters FROM x GROUP BY 1),
+      ha AS (SELECT sample, -sum(a / t * ln(a / t)) AS ha, sum(a * (a - 1) / 2) AS pa FROM (SELECT DISTINCT sample, truth, a, t FROM x) GROUP BY 1), hb AS (SELECT sample, -sum(b / t * ln(b / t)) AS hb, sum(b * (b - 1) / 2) AS pb FROM (SELECT DISTINCT sample, pred, b, t FROM x) GROUP BY 1)
+      SELECT sample, CAST(t AS BIGINT) AS n, {r6('(s - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2))', 'ari')}, {r6('i / sqrt(ha * hb)', 'nmi')}, {r6('i / ha', 'homogeneity')}, {r6('i / hb', 'completeness')}, clusters FROM i JOIN ha USING (sample) JOIN hb USING (sample)""",
+    v4_silhouette=f"""WITH {F}, {_SILHOUETTE} SELECT label, count(*) AS n, {r6('avg(s)', 'silhouette')} FROM t GROUP BY ROLLUP (label)""",
+    v4_silhouette_summary=f"""WITH f AS (SELECT vec_id AS id, label % 4 AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), {_SILHOUETTE}, c AS (SELECT label, avg(s) AS s FROM t GROUP BY label)
+      SELECT {r6('(SELECT avg(s) FROM t)', 'silhouette')}, {r6('(SELECT min(s) FROM c)', 'silhouette_class_min')}""",
+    v5_scatter=f"""WITH {F}, {_CENTROIDS}, w AS (SELECT label, sum(d2) AS w, sqrt(avg(d2)) AS s, count(*) AS n FROM r GROUP BY 1), g AS (SELECT c, avg(x) AS g FROM l GROUP BY 1),
       b AS (SELECT sum(n * (m - g) * (m - g)) AS b FROM m JOIN g USING (c)), p AS (SELECT x.label, y.label AS o, sqrt(sum((x.m - y.m) * (x.m - y.m))) AS d FROM m x JOIN m y ON x.c = y.c AND x.label <> y.label GROUP BY 1, 2),
-      z AS (SELECT p.label, max((u.s + v.s) / d) AS r, min(d) AS near FROM p JOIN w u ON u.label = p.label JOIN w v ON v.label = p.o GROUP BY 1), a AS (SELECT sum(w) AS w, sum(n) AS n, count(*) AS k, max(s) AS far FROM w), y AS (SELECT avg(r) AS r, min(near) AS near FROM z)
-      SELECT {r6('w', 'within')}, {r6('b', 'between')}, {r6('(b / (k - 1)) / (w / (n - k))', 'calinski_harabasz')}, {r6('r', 'davies_bouldin')}, {r6('near / (2 * far)', 'dunn')} FROM a, b, y""",
+      z AS (SELECT p.label, max((u.s + v.s) / d) AS r FROM p JOIN w u ON u.label = p.label JOIN w v ON v.label = p.o GROUP BY 1), a AS (SELECT sum(w) AS w, sum(n) AS n, count(*) AS k FROM w), y AS (SELECT avg(r) AS r FROM z),
+      u AS (SELECT max(d) FILTER (label = o) AS intra, min(d) FILTER (label <> o) AS inter FROM (SELECT a.label, b.label AS o, {_GAP} AS d FROM f a JOIN f b ON a.id < b.id))
+      SELECT {r6('w', 'within')}, {r6('b', 'between')}, {r6('(b / (k - 1)) / (w / (n - k))', 'calinski_harabasz')}, {r6('r', 'davies_bouldin')}, {r6('b / w', 'separation_ratio')}, {r6('inter / intra', 'dunn')} FROM a, b, y, u""",
+    v6_neighbor_purity=f"""WITH {graph()}, {_LABELED}, y AS (SELECT i, avg(CAST(li = lj AS DOUBLE)) AS s FROM x GROUP BY i) SELECT count(*) AS n, {r6('avg(s)', 'purity')} FROM y""",
     v6_graph_purity=f"WITH {graph()}, {_LABELED}, y AS (SELECT i, count(*) AS n, sum(CAST(li = lj AS DOUBLE)) AS s FROM x GROUP BY i) SELECT CAST(sum(n) AS BIGINT) AS edges, {r6('sum(s) / sum(n)', 'purity')}, {r6('avg(s / n)', 'mean_row_purity')} FROM y",
-    v6_compactness=f"WITH {F}, {_CENTROIDS} SELECT label, count(*) AS n, {r6('avg(sqrt(d2))', 'compactness')} FROM r GROUP BY 1",
-    v7_conductance=f"""WITH {graph()}, {DISTANCE}, x AS (SELECT w, p.label AS la, q.label AS lb FROM w JOIN f p ON p.id = a JOIN f q ON q.id = b), v AS (SELECT l, sum(w) AS vol, sum(CASE WHEN l <> o THEN w ELSE 0 END) AS cut FROM (SELECT la AS l, lb AS o, w FROM x UNION ALL SELECT lb, la, w FROM x) GROUP BY l)
-      SELECT l AS label, {r6('cut / least(vol, (SELECT sum(vol) FROM v) - vol)', 'conductance')} FROM v""",
-    v7_boundary_f1=f"""WITH {graph(3)}, {PRED}, x AS (SELECT i, max(CAST(a.truth <> b.truth AS INTEGER)) AS t, max(CAST(a.pred <> b.pred AS INTEGER)) AS p FROM e JOIN q a ON a.id = i JOIN q b ON b.id = j GROUP BY i),
-      s AS (SELECT sum(t * p) / sum(p) AS p, sum(t * p) / sum(t) AS r FROM x) SELECT {r6('p', 'precision')}, {r6('r', 'recall')}, {r6('2 * p * r / (p + r)', 'f1')} FROM s""",
-    v7_agreement_quantiles=f"""WITH {graph()}, {DISSIMILAR}, k AS (SELECT p.label = q.label AS within, same / valid AS a FROM z JOIN f p ON p.id = i JOIN f q ON q.id = j WHERE valid > 0)
-      SELECT within, count(*) AS n, {", ".join(r6(f"quantile_cont(a, {x / 100})", f"q{x}") for x in (0, 25, 50, 75, 100))} FROM k GROUP BY within""",
-    v8_run_summary=f"""WITH {TRACE}, s AS (SELECT run, count(*) AS cycles, arg_min(accuracy, cycle) AS first, arg_max(accuracy, cycle) AS last, max(accuracy) AS best FROM t GROUP BY run)
-      SELECT s.run, any_value(cycles) AS cycles, {r6('any_value(first)', 'first')}, {r6('any_value(last)', 'last')}, {r6('any_value(best)', 'best')}, min(cycle) AS gained_at FROM s JOIN t ON t.run = s.run AND t.accuracy = s.best GROUP BY s.run""",
-    v8_cycle_deciles=f"""WITH {TRACE}, d AS (SELECT run, CAST(ceil(10 * cycle / (SELECT max(cycle) FROM t)) AS INTEGER) AS decile, cycle, accuracy FROM t), e AS (SELECT run, decile, arg_max(accuracy, cycle) AS a FROM d GROUP BY 1, 2)
-      SELECT decile, count(*) AS runs, {r6('avg(a)', 'mean_accuracy')} FROM e GROUP BY decile""",
-    v8_prefix_convergence=f"""WITH {graph()}, {RUNS}, x AS (SELECT e.i, e.j, a.run, CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END AS s FROM e JOIN r a ON a.id = e.i JOIN r b ON b.id = e.j AND a.run = b.run WHERE a.label <> 0 AND b.label <> 0),
-      y AS (SELECT i, j, avg(s) AS al, avg(s) FILTER (run <= 2) AS m2, avg(s) FILTER (run <= 4) AS m4, avg(s) AS m8 FROM x GROUP BY 1, 2)
-      {" UNION ALL ".join(f"SELECT {m} AS runs, {r6(f'corr(al, m{m})', 'correlation')}, {r6(f'avg(abs(al - m{m}))', 'mean_gap')} FROM y" for m in (2, 4, 8))}""",
+    v6_compactness=f"WITH {F}, {_CENTROIDS}, {_OVERALL} SELECT label, count(*) AS n, {r6('sqrt(avg(d2))', 'rms')}, {r6('sqrt(avg(d2)) / (SELECT s FROM o)', 'normalized_rms')} FROM r GROUP BY 1",
+    v6_truth_compactness=f"WITH {F}, {_CENTROIDS}, {_OVERALL}, z AS (SELECT label, sqrt(avg(d2)) / (SELECT s FROM o) AS q FROM r GROUP BY 1) SELECT {r6('median(q)', 'compactness')} FROM z",
+    v7_conductance=f"WITH {graph()}, {_LABELED}, {_CONDUCTANCE} SELECT label, {r6('q', 'conductance')} FROM v",
+    v7_conductance_summary=f"WITH {graph()}, {_LABELED}, {_CONDUCTANCE} SELECT {r6('avg(q)', 'mean')}, {r6('max(q)', 'maximum')} FROM v",
+    v7_boundary_f1=f"""WITH {graph(3)}, {PRED}, x AS (SELECT a.truth <> b.truth AS t, a.pred <> b.pred AS p FROM e JOIN q a ON a.id = i JOIN q b ON b.id = j),
+      s AS (SELECT count(*) FILTER (t AND p) / greatest(1, count(*) FILTER (p)) AS p, count(*) FILTER (t AND p) / greatest(1, count(*) FILTER (t)) AS r FROM x) SELECT {r6('p', 'precision')}, {r6('r', 'recall')}, {r6('2 * p * r / (p + r)', 'f1')} FROM s""",
+    v7_agreement_quantiles=f"""WITH {graph()}, {RUNS}, k AS (SELECT i, j, avg(CAST(a.label = b.label AS DOUBLE)) AS a FROM e JOIN r a ON a.id = i JOIN r b ON b.id = j AND b.run = a.run GROUP BY 1, 2)
+      SELECT count(*) AS edges, {", ".join(r6(f"quantile_cont(a, {x / 100})", f"q{x}") for x in (0, 10, 25, 50, 75, 90, 100))} FROM k""",
+    v8_fit_summary=f"""WITH {F}, {RUNS}, {TRACE}, l AS (SELECT run, arg_max(accuracy, cycle) AS a FROM t GROUP BY run), c AS (SELECT run, count(DISTINCT label) AS c, list(label ORDER BY id) AS s FROM r GROUP BY run),
+      x AS (SELECT avg(a) AS m, median(a) AS md, stddev_samp(a) AS sd, min(a) AS lo, max(a) AS hi, count(*) AS runs FROM l), y AS (SELECT avg(c) AS m, median(c) AS md, quantile_cont(c, 0.75) - quantile_cont(c, 0.25) AS iqr, avg(CAST(c <= 1 AS DOUBLE)) AS one, avg(CAST(c <= 2 AS DOUBLE)) AS two, count(DISTINCT s) AS s FROM c),
+      z AS (SELECT avg(greatest(up, warm)) AS acc, avg(up) AS up, avg(warm) AS warm, avg(size) AS size, count(*) AS n FROM t)
+      SELECT {r6('x.m', 'cv_mean')}, {r6('x.md', 'cv_median')}, {r6('x.sd', 'cv_sd')}, {r6('x.lo', 'cv_min')}, {r6('x.hi', 'cv_max')}, {r6('y.m', 'classes_mean')}, {r6('y.md', 'classes_median')}, {r6('y.iqr', 'classes_iqr')}, {r6('y.one', 'collapse_one_rate')}, {r6('y.two', 'collapse_two_rate')},
+      y.s AS distinct_solutions, {r6('z.acc', 'acceptance_rate')}, {r6('z.up', 'improving_acceptance_rate')}, {r6('z.warm', 'temperature_acceptance_rate')}, {r6('z.size', 'proposal_size_mean')}, x.runs + z.n AS cv_evaluations FROM x, y, z""",
+    v8_cycle_deciles=f"""WITH {TRACE}, d AS (SELECT *, CAST(least(10, greatest(1, ceil(10 * cycle / (SELECT max(cycle) FROM t)))) AS INTEGER) AS decile FROM t)
+      SELECT decile, count(*) AS cycles, {r6('avg(size)', 'proposal_size')}, {r6('avg(active)', 'active_classes')}, {r6('avg(greatest(up, warm))', 'acceptance_rate')}, {r6('avg(up)', 'improving_rate')}, {r6('avg(warm)', 'temperature_rate')} FROM d GROUP BY decile""",
+    v8_prefix_agreement=f"""WITH {graph()}, {RUNS}, x AS (SELECT i, j, a.run, CAST(a.label = b.label AS DOUBLE) AS s FROM e JOIN r a ON a.id = i JOIN r b ON b.id = j AND b.run = a.run), m AS (SELECT unnest([2, 4, 8]) AS m), y AS (SELECT m, i, j, avg(s) AS a FROM x JOIN m ON run <= m GROUP BY ALL)
+      SELECT m AS prefix, count(*) AS edges, {r6('avg(a)', 'mean_agreement')}, {r6('stddev_samp(a)', 'sd_agreement')} FROM y GROUP BY m""",
     v8_best_run=f"WITH {TRACE}, l AS (SELECT run, arg_max(accuracy, cycle) AS a FROM t GROUP BY run) SELECT run, {r6('a', 'accuracy')} FROM l ORDER BY a DESC, run LIMIT 1",
     v8_classes_by_run=f"WITH {F}, {RUNS} SELECT run, count(DISTINCT label) AS classes FROM r GROUP BY run",
 )

@@ -303,7 +303,19 @@ def a6_transitions(spark, sf_dir):
 
 @query
 def a7_objective(spark, sf_dir):
-    return rounded(votes.objective(predictions(spark, sf_dir)), "accuracy", "diversity", "guarded", "fragmented")
+    m = votes.objective(predictions(spark, sf_dir))
+    return rounded(m, *m.columns[1:])
+
+
+@query
+def c10_objective_of_runs(spark, sf_dir):
+    """Three labelings: the predictions', one class only, and a class a row."""
+    p = predictions(spark, sf_dir)
+    out = None
+    for name, rows in (("as_is", p), ("one_class", p.select("id", F.lit(1).alias("truth"), F.lit(1).alias("pred"))), ("a_class_a_row", p.select("id", F.col("id").alias("truth"), (F.col("id") - F.col("id") % 4).alias("pred")))):
+        one = votes.objective(rows).select(F.lit(name).alias("labels"), "*")
+        out = one if out is None else out.union(one)
+    return rounded(out, *out.columns[2:])
 
 
 @query
@@ -600,6 +612,25 @@ def g1_weigh_mutual(spark, sf_dir):
     return rounded(graph.weigh(self_graph(spark, sf_dir), "distance", 0.0, mutual=True), "w")
 
 
+@query
+def g1_weigh_snn_mutual(spark, sf_dir):
+    return rounded(graph.weigh(self_graph(spark, sf_dir), "snn", mutual=True), "w")
+
+
+@query
+def g1_weigh_odd_distances(spark, sf_dir):
+    """Distances of which some are negative, zero or missing."""
+    d = F.when(F.col("j") % 5 == 0, -F.col("dist")).when(F.col("j") % 7 == 0, F.lit(0.0)).when(F.col("j") % 11 == 0, F.lit(None)).otherwise(F.col("dist"))
+    return rounded(graph.weigh(self_graph(spark, sf_dir).withColumn("dist", d), "distance"), "w")
+
+
+@query
+def c14_laplacian_weights_zero_scales(spark, sf_dir):
+    """Distances of which most of some rows are 0, so that their scale is the row's mean."""
+    d = F.when((F.col("i") % 3 == 0) & (F.col("rank") < 10), F.lit(0.0)).otherwise(F.col("dist"))
+    return rounded(graph.laplacian_weights(self_graph(spark, sf_dir).withColumn("dist", d)), "w")
+
+
 @query
 def g2_bridged(spark, sf_dir):
     e = written(graph.weigh(self_graph(spark, sf_dir, 3), "distance"), "weights")
@@ -675,11 +706,24 @@ def v3_class_scores(spark, sf_dir):
     return rounded(metrics.class_scores(predictions(spark, sf_dir)), "recall", "precision", "dice")
 
 
+@query
+def v3_by_sample(spark, sf_dir):
+    p = predictions(spark, sf_dir).withColumn("sample", (F.col("id") % 3).cast("int"))
+    m = metrics.by_sample(p)
+    return rounded(m, "ari", "nmi", "homogeneity", "completeness")
+
+
 @query
 def v4_silhouette(spark, sf_dir):
     return rounded(metrics.silhouette(features(spark, sf_dir)), "silhouette")
 
 
+@query
+def v4_silhouette_summary(spark, sf_dir):
+    m = metrics.silhouette_summary(features(spark, sf_dir).select("id", (F.col("label") % 4).alias("label"), "vec"))
+    return rounded(m, *m.columns)
+
+
 @query
 def v5_scatter(spark, sf_dir):
     m = metrics.scatter(features(spark, sf_dir))
@@ -691,15 +735,29 @@ def v6_graph_purity(spark, sf_dir):
     return rounded(metrics.graph_purity(self_graph(spark, sf_dir), features(spark, sf_dir).select("id", "label")), "purity", "mean_row_purity")
 
 
+@query
+def v6_neighbor_purity(spark, sf_dir):
+    return rounded(metrics.neighbor_purity(features(spark, sf_dir)), "purity")
+
+
 @query
 def v6_compactness(spark, sf_dir):
-    return rounded(metrics.compactness(features(spark, sf_dir)), "compactness")
+    return rounded(metrics.compactness(features(spark, sf_dir)), "rms", "normalized_rms")
+
+
+@query
+def v6_truth_compactness(spark, sf_dir):
+    return rounded(metrics.truth_compactness(features(spark, sf_dir)), "compactness")
 
 
 @query
 def v7_conductance(spark, sf_dir):
-    e = self_graph(spark, sf_dir).select("i", "j", (1 / (1 + F.col("dist"))).alias("w"))
-    return rounded(metrics.conductance(e, features(spark, sf_dir).select("id", "label")), "conductance")
+    return rounded(metrics.conductance(self_graph(spark, sf_dir), features(spark, sf_dir).select("id", "label")), "conductance")
+
+
+@query
+def v7_conductance_summary(spark, sf_dir):
+    return rounded(metrics.conductance_summary(self_graph(spark, sf_dir), features(spark, sf_dir).select("id", "label")), "mean", "maximum")
 
 
 @query
@@ -711,24 +769,25 @@ def v7_boundary_f1(spark, sf_dir):
 
 @query
 def v7_agreement_quantiles(spark, sf_dir):
-    d = ensemble.dissimilarity(self_graph(spark, sf_dir), run_labels(spark, sf_dir))
-    m = metrics.agreement_quantiles(d, features(spark, sf_dir).select("id", "label"))
-    return rounded(m, *m.columns[2:])
+    m = metrics.agreement_quantiles(self_graph(spark, sf_dir), run_labels(spark, sf_dir))
+    return rounded(m, *m.columns[1:])
 
 
 @query
-def v8_run_summary(spark, sf_dir):
-    return rounded(metrics.run_summary(traces(spark, sf_dir)), "first", "last", "best")
+def v8_fit_summary(spark, sf_dir):
+    m = metrics.fit_summary(run_labels(spark, sf_dir), traces(spark, sf_dir))
+    return rounded(m, *(c for c in m.columns if c not in ("distinct_solutions", "cv_evaluations")))
 
 
 @query
 def v8_cycle_deciles(spark, sf_dir):
-    return rounded(metrics.cycle_deciles(traces(spark, sf_dir)), "mean_accuracy")
+    m = metrics.cycle_deciles(traces(spark, sf_dir))
+    return rounded(m, *m.columns[2:])
 
 
 @query
-def v8_prefix_convergence(spark, sf_dir):
-    return rounded(metrics.prefix_convergence(self_graph(spark, sf_dir), run_labels(spark, sf_dir), [2, 4, 8]), "correlation", "mean_gap")
+def v8_prefix_agreement(spark, sf_dir):
+    return rounded(metrics.prefix_agreement(self_graph(spark, sf_dir), run_labels(spark, sf_dir), (2, 4, 20)), "mean_agreement", "sd_agreement")
 
 
 @query

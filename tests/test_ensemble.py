@@ -53,6 +53,26 @@ def test_one_class_scores_worst_when_diversity_counts():
     o = optimizer.Options(diversity=True)
     assert optimizer.objective_score(np.ones(5), 1.0, o) == -np.inf
     assert abs(optimizer.objective_score(np.array([1, 1, 2, 2]), 0.5, o) - 0.5 * 0.5**0.5) < 1e-12
+    both = optimizer.Options(diversity=True, coarsening=True, classifier="pls-lda")
+    assert optimizer.objective_score(np.ones(50), 1.0, both) == -np.inf
+    two, many = np.repeat([1, 2], 25), np.arange(50)
+    assert abs(optimizer.objective_score(two, 0.9, both) - (0.9 * 0.5**0.5 - 0.1 * np.log(2) / np.log(50))) < 1e-12
+    assert optimizer.objective_score(two, 0.9, both) > optimizer.objective_score(many, 0.2, both) > -np.inf
+    plain = optimizer.Options(coarsening=True, classifier="pls-lda")
+    assert abs(optimizer.objective_score(two, 0.9, plain) - (0.9 - 0.1 * np.log(2) / np.log(50))) < 1e-12
+    assert optimizer.objective_score(np.ones(50), 0.7, plain) == 0.7  # nothing is split
+    assert optimizer.objective_score(np.empty(0), 0.3, both) == 0.3
+
+
+def test_one_class_never_wins():
+    x, y = signal(90)
+    fold = np.arange(90) % 5
+    predict = optimizer.plslda_predictor(x, fold, 3)
+    o = optimizer.Options(cycles=25, evolutionary=True, diversity=True, absorption=True, coarsening=True, classifier="pls-lda", folds=5)
+    found = optimizer.maximize(predict, np.arange(90) % 12, np.arange(90), np.zeros(90, bool), o)
+    assert len(np.unique(found.labels)) > 1 and np.isfinite(found.score) and len(found.cycles) == 25
+    assert all(classes > 1 and size >= 1 and accepted == (up or warm) and not (up and warm) for size, classes, accepted, up, warm in found.cycles)
+    assert sum(c[2] for c in found.cycles) == found.accepted
 
 
 def test_merges_leave_fixed_rows_and_two_classes():
@@ -74,7 +94,9 @@ def test_ensemble(spark):
     labels, trace, graph = ensemble.run_ensemble(f, runs=2, cycles=6, splitting=9, neighbours=15, k=8, constrain=groups)
     lab = labels.join(groups, "id").collect()
     assert len(lab) == 180 and len({(r.run, r.grp) for r in lab}) == len({(r.run, r.grp, r.label) for r in lab})
-    assert metrics.run_summary(trace).count() == 2 and all(r.best >= r.first for r in metrics.run_summary(trace).collect())
+    summary = metrics.fit_summary(labels, trace).first()
+    assert summary.cv_evaluations == 2 * 7 and 0 <= summary.cv_min <= summary.cv_mean <= summary.cv_max <= 1 and summary.classes_mean > 1
+    assert metrics.cycle_deciles(trace).agg({"cycles": "sum"}).first()[0] == 12 and trace.where("accepted <> (improving or temperature)").isEmpty()
     d = graph.where("same > 0").collect()
     assert all(r.dist >= 1 for r in d) and np.mean([y[r.i] == y[r.j] for r in d]) > 0.95
     again = ensemble.run_ensemble(f.repartition(5), runs=2, cycles=6, splitting=9, neighbours=15, k=8, constrain=groups)[0]

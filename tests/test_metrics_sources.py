@@ -1,6 +1,9 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from tessera.operators import knn
 from tessera.operators import metrics as M
 from tessera.sources import matrices
 
@@ -24,11 +27,27 @@ def test_alignment(spark):
     assert got == {9: 1, 8: 2, 7: 3}
 
 
-def test_silhouette_against_pairs(spark):
-    rng = np.random.default_rng(0)
-    x, y = rng.normal(size=(40, 3)), np.array([0] * 20 + [1] * 19 + [2])
+def test_independent_labels_share_nothing(spark):
+    r = M.information(labels(spark, [1, 1, 2, 2], [1, 2, 1, 2])).first()
+    assert r.v_measure == r.homogeneity == r.completeness == 0
+    one = M.information(labels(spark, [1, 1, 1], [4, 4, 4])).first()
+    assert one.nmi == one.v_measure == 1
+
+
+def test_classes_meet_their_largest_overlap(spark):
+    r = M.class_scores(labels(spark, [1] * 11 + [2] * 20, [7] * 6 + [8] * 5 + [7] * 20)).where("truth = 1").first()
+    assert (r.pred, r.support) == (7, 11) and abs(r.recall - 6 / 11) < 1e-12 and abs(r.precision - 6 / 26) < 1e-12
+
+
+def clouds(spark, n=40, seed=0):
+    rng = np.random.default_rng(seed)
+    x, y = rng.normal(size=(n, 3)), np.array([0] * (n // 2) + [1] * (n - n // 2 - 1) + [2])
     f = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, vec array<double>, label int")
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    return x, y, f, np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+
+
+def test_silhouette_against_pairs(spark, monkeypatch):
+    x, y, f, d = clouds(spark)
     s = []
     for i in range(40):
         own = (y == y[i]) & (np.arange(40) != i)
@@ -37,8 +56,47 @@ def test_silhouette_against_pairs(spark):
             continue
         a, b = d[i, own].mean(), min(d[i, y == c].mean() for c in set(y) - {y[i]})
         s.append((b - a) / max(a, b))
-    got = {r.label: r.silhouette for r in M.silhouette(f).collect()}
-    assert abs(got[None] - np.mean(s)) < 1e-9 and got[2] == 0
+    for block in (4096, 7):
+        monkeypatch.setattr(knn, "BLOCK", block)
+        got = {r.label: r.silhouette for r in M.silhouette(f).collect()}
+        assert abs(got[None] - np.mean(s)) < 1e-9 and got[2] == 0
+        least = M.silhouette_summary(f, None).first()
+        assert abs(least.silhouette_class_min - min(np.mean(np.array(s)[y == c]) for c in (0, 1, 2))) < 1e-9
+    few = {r.label: r.n for r in M.silhouette(f, 10).collect()}
+    assert few[None] == 10
+    one = M.silhouette(f.withColumn("label", F.lit(1))).collect()
+    assert all(r.silhouette is None for r in one)
+    odd = f.union(spark.createDataFrame([(90, [float("nan")] * 3, 0), (91, None, 1), (92, [1.0, 2.0, 3.0], None), (93, [None, 1.0, 2.0], 1)], f.schema))
+    assert {r.label: r.n for r in M.silhouette(odd).collect()} == {0: 20, 1: 19, 2: 1, None: 40}
+
+
+def test_four_points(spark):
+    """Two classes of two points each on a line: 0, 2 and 5, 9."""
+    f = spark.createDataFrame([(1, [0.0], 0), (2, [2.0], 0), (3, [5.0], 1), (4, [9.0], 1)], "id long, vec array<double>, label int")
+    r = M.scatter(f).first()
+    assert np.allclose((r.within, r.between), (2 + 8, 2 * 9 + 2 * 9)) and np.isclose(r.dunn, 3 / 4) and np.isclose(r.separation_ratio, 3.6)
+    assert np.isclose(r.davies_bouldin, (1 + 2) / 6) and np.isclose(r.calinski_harabasz, 36 / (10 / 2))
+    c = {x.label: (x.rms, x.normalized_rms) for x in M.compactness(f).collect()}
+    overall = np.sqrt(np.mean(np.square(np.array([0, 2, 5, 9]) - 4)))
+    assert np.allclose(c[0], (1, 1 / overall)) and np.allclose(c[1], (2, 2 / overall)) and np.isclose(M.truth_compactness(f).first().compactness, 1.5 / overall)
+    assert all(v is None for v in M.scatter(f.withColumn("label", F.col("id").cast("int"))).first())
+    assert M.neighbor_purity(f, 1).first().purity == 0.75 and M.neighbor_purity(f, 3).first().purity is None  # 5 is nearer to 2 than to 9
+
+
+def test_graph_metrics_by_hand(spark):
+    e = spark.createDataFrame([(1, 1, 2, 0.0), (1, 2, 3, 1.0), (2, 1, 1, 0.0), (3, 1, 4, -1.0), (4, 1, 1, 3.0), (4, 2, 4, 0.0)], "i long, rank int, j long, dist double")
+    l = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1), (5, 2)], "id long, label int")
+    got = {r.label: r.conductance for r in M.conductance(e, l).collect()}  # volumes 2.5 and 1.25, cuts 0.5 and 0.25
+    assert np.isclose(got[0], 0.5 / 1.25) and np.isclose(got[1], 0.25 / 1.25) and got[2] == 0
+    assert np.isclose(M.conductance_summary(e, l).first().mean, (0.4 + 0.2) / 3)
+    p = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 1), (5, 2)], "id long, label int")
+    r = M.boundary_f1(e, l, p).first()  # true: 1-3, 4-1; predicted: 1-2, 1-3, 2-1, 4-1
+    assert np.isclose(r.precision, 0.5) and r.recall == 1 and np.isclose(r.f1, 2 / 3)
+    runs = spark.createDataFrame([(m, i, v) for m, row in enumerate([[1, 1, 2, 2], [1, 2, 2, 2]], 1) for i, v in enumerate(row, 1)], "run int, id long, label long")
+    q = M.agreement_quantiles(e, runs).first()  # 1-2 .5, 1-3 0, 2-1 .5, 3-4 1, 4-1 0
+    assert (q.edges, q.q0, q.q50, q.q100) == (5, 0, 0.5, 1) and np.isclose(q.q25, 0)
+    a = {r.prefix: r for r in M.prefix_agreement(e, runs).collect()}
+    assert set(a) == {2} and np.isclose(a[2].mean_agreement, 0.4) and np.isclose(a[2].sd_agreement, np.std([0.5, 0, 0.5, 1, 0], ddof=1))
 
 
 def test_binary_sources(spark, tmp_path):
