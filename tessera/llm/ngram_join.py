@@ -10,12 +10,13 @@ n - ceil(3n/4) + 1 first ones are its short lists, since two sets that are simil
 them. Lists are dealt by shingle. Lists of up to LONG_LIST sets are merged at once into counts of
 shared shingles for each pair, and a pair goes on only if count plus what the unmerged lists and
 the rest of the sets could add reaches T. Longer lists (passages that many texts share, large
-groups of near copies) are never merged into pairs: all their sets are compared with one hub,
-linked sets become one component, and only sets left outside their hub's component are searched,
-against blocks of the hub's sets.
+groups of near copies) are never merged into pairs: their sets are searched for those similar to one
+hub, linked sets become one component, and only sets left outside their hub's component are queries,
+against blocks of the hub's sets of about their size.
 
-Within a block: real inverted lists over whole sets, short ones merged by counting, long ones
-probed, and the exact test 7 * shared >= 3 * (m + n).
+Candidates meet in groups: a query (a set, a hub, a block's sets) and the sets that may be similar to
+it. DivideSkip searches each group: inverted lists over the whole sets, the query's short ones merged by
+counting, long ones probed for what is left, and the exact test 7 * shared >= 3 * (m + n).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bitfilter import id_bits, with_bit
 from .components import components
-from .runtime import partitions, prepare, sliced, written
+from .runtime import discard, partitions, prepare, sliced, written
 from .text_kernel import mix, text_sets
 
 #: Words in a shingle.
@@ -41,8 +42,10 @@ FREQUENT = 1 << 20
 COUNTED, REPORTED = 2_000_000, 2
 #: Sets in an inverted list up to which it is merged into pairs.
 LONG_LIST = 64
-#: Sets of a block that queries are searched against, and queries in a task's group.
-BLOCK, QUERIES = 256, 2_048
+#: Queries of a group, other sets of a group, and shingles that are indexed at a time.
+BLOCK, QUERIES, INDEXED = 256, 2_048, 1 << 20
+#: Groups in which the members of a component are told its name.
+SALTS = 64
 
 
 def needed(m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -248,45 +251,50 @@ def divide_skip(index: list[np.ndarray], queries: list[np.ndarray]) -> Iterator[
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between each group's queries (role 1) and index rows (role 0), which come first."""
-    group, index, nodes, seen = None, [], [], set()
+    """Links (a, b) between each group's queries (role 0), which come first, and its other sets (role 1), which are indexed a stretch at a time."""
+    group, asked, who, seen = None, [], [], set()
     for batch in batches:
         node, role = batch.column("node").to_numpy(), batch.column("role").to_numpy()
         keys = list(zip(batch.column("g1").to_pylist(), batch.column("g2").to_pylist(), batch.column("g3").to_pylist(), strict=True))
         a, b = [], []
-        asked: list[np.ndarray] = []
-        who: list[int] = []
+        index: list[np.ndarray] = []
+        nodes: list[int] = []
+        size = 0
 
         def answer() -> None:
-            for q, near in zip(who, divide_skip(index, asked), strict=True):
+            for q, near in zip(who, divide_skip(index, asked) if index else (), strict=False):
                 for i in near:
                     if nodes[i] != q:
                         a.append(q)
                         b.append(nodes[i])
-            asked.clear()
-            who.clear()
+            index.clear()
+            nodes.clear()
 
         for i, s in enumerate(text_sets(batch.column("text"), WORDS)):
             if keys[i] != group:
                 answer()
-                group, index, nodes, seen = keys[i], [], [], set()
+                group, asked, who, seen, size = keys[i], [], [], set(), 0
             # where ids repeat, a node's id can bring other texts along, and equal rows bring a text twice
             me = (int(node[i]), int(role[i]))
             if me in seen or not len(s) or fingerprint(s).view(np.int64) != node[i]:
                 continue
             seen.add(me)
             if role[i]:
-                asked.append(s)
-                who.append(me[0])
-            else:
                 index.append(s)
                 nodes.append(me[0])
+                size += len(s)
+                if size >= INDEXED:
+                    answer()
+                    size = 0
+            else:
+                asked.append(s)
+                who.append(me[0])
         answer()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _searched(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """groups(g1, g2, g3, role, node): links between queries (role 1) and index rows (role 0) of a group."""
+    """groups(g1, g2, g3, role, node): links between queries (role 0) and the other sets (role 1) of a group."""
     parts = partitions(groups.sparkSession)
     rows = groups.join(texts, "node").repartition(parts, "g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "role")
     return rows.mapInArrow(_search, "a long, b long")
@@ -297,10 +305,32 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return with_bit(docs, id_bits(wanted), True).join(wanted, "doc_id").select("node", "text")
 
 
+def _group(df: DataFrame, g2, g3, role: int, node: str) -> DataFrame:
+    return df.select(F.col("a").alias("g1"), g2.cast("long").alias("g2"), g3.cast("long").alias("g3"), F.lit(role).alias("role"), F.col(node).alias("node"))
+
+
 def _tested(pairs: DataFrame) -> DataFrame:
-    """pairs(a, b) as groups: b's in salted groups of their a."""
-    salted = pairs.select(F.col("a").alias("g1"), F.pmod(F.xxhash64("b"), F.lit(16)).alias("g2"), F.lit(0).cast("long").alias("g3"), "b")
-    return salted.select("g1", "g2", "g3", F.lit(0).alias("role"), F.col("g1").alias("node")).distinct().union(salted.select("g1", "g2", "g3", F.lit(1), "b"))
+    """Distinct pairs(a, b) as groups: a asks its b's, of which QUERIES or so are a group."""
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / QUERIES).alias("groups"))
+    salted = pairs.join(size, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")))
+    asks = _group(salted.select("a", "salt").distinct(), F.col("salt"), F.lit(0), 0, "a")
+    return asks.union(_group(salted, F.col("salt"), F.lit(0), 1, "b"))
+
+
+def _outside(spokes: DataFrame, out: DataFrame) -> DataFrame:
+    """spokes(a, b, n), and those of them (out) that aren't linked with their hub, as groups: each of these meets all sets of its
+    hub's list whose size lets them be similar. Lists are cut by size and into blocks of a bounded number of shingles."""
+    kind = F.floor(F.log(F.col("n")) / math.log(1.34)).cast("long")  # similar sets are of one kind, or of neighbouring ones
+    held = spokes.join(out.select("a").distinct(), "a", "left_semi").withColumn("kind", kind)
+    asks = out.withColumn("kind", F.explode(F.array(kind - 1, kind, kind + 1)))
+    blocks = held.groupBy("a", "kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / INDEXED)).alias("blocks"))
+    parts = asks.groupBy("a", "kind").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
+    sizes = written(blocks.join(parts, ["a", "kind"]), "sizes")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda c: F.col("kind") * 1_000_000_000 + F.col(c)
+    held = held.join(sizes, ["a", "kind"]).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))).withColumn("part", every("parts"))
+    asks = asks.join(sizes, ["a", "kind"]).withColumn("part", F.pmod(F.xxhash64("b", F.lit(1)), F.col("parts"))).withColumn("block", every("blocks"))
+    return _group(held, place("block"), F.col("part"), 0, "b").union(_group(asks, place("block"), F.col("part"), 1, "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,7 +360,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what the shingles beyond the short lists can add: the set whose last short list comes first has ceil(3n/4) - 1 of them
     rest = F.ceil(3 * F.greatest("m", "n") / 4) - 1
     lack = F.ceil(3 * (F.col("m") + F.col("n")) / 7) - F.col("shared") - rest
-    pairs = written(pairs.select("a", "b", lack.alias("lack")), "pairs")
+    pairs = measured_pairs = written(pairs.select("a", "b", lack.alias("lack")), "pairs")
     enough = pairs.where("lack <= 0").select("a", "b")
     if any_long:  # lists that weren't merged may add what lacks, where both sets have some
         for side in ("a", "b"):
@@ -346,26 +376,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(_texts(docs, wanted), "texts")
     if any_long:
         hubs = long.groupBy("tok").agg(F.min("node").alias("hub"))
-        spokes = written(long.join(hubs, "tok").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "spokes")
-        links = written(_searched(_tested(pairs.union(spokes.where("a <> b").select("a", "b")).distinct()), texts), "links")
+        spokes = long.join(hubs, "tok").select(F.col("hub").alias("a"), F.col("node").alias("b"), "n")
+        spokes = written(spokes.distinct(), "spokes")
+        asked = written(pairs.union(spokes.where("a <> b").select("a", "b")).distinct(), "asked")
+        links = written(_searched(_tested(asked), texts), "links")
         roots = components(links)
         root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         placed = spokes.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        out = placed.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-        blocks = spokes.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(out.select("a").distinct(), "a", "left_semi")
-        ask = out.join(blocks, "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        ask = ask.withColumn("part", F.pmod(F.xxhash64("b", F.lit(1)), F.ceil(F.col("blocks") * BLOCK / QUERIES)))
-        held = spokes.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
-        held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("blocks") * BLOCK / QUERIES) - 1)))
-        group = lambda df, role: df.select(F.col("a").alias("g1"), F.col("block").alias("g2"), F.col("part").alias("g3"), F.lit(role).alias("role"), F.col("b").alias("node"))
-        more_links = written(_searched(group(held, 0).union(group(ask, 1)), texts), "links")
-        links = links.union(more_links)
-        roots = components(links)
+        out = written(placed.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "n"), "outside")
+        if not out.isEmpty():
+            more = written(_searched(_outside(spokes, out), texts), "links")
+            discard(roots)
+            roots = components(links.union(more))
+            discard(more)
+        discard(links, spokes, asked, out)
     else:
-        roots = components(_searched(_tested(pairs), texts))
-    classes = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = classes.join(least, "root").select("fp", "component_id")
-    return members.join(named, "fp", "left").select(
+        asked = written(pairs.distinct(), "asked")
+        roots = components(_searched(_tested(asked), texts))
+        discard(asked)
+    discard(merged, measured_pairs, texts)
+    return members.join(_named(reps, roots), "fp", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def _named(reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """reps(fp, doc_id), roots(node, root) -> (fp, component_id). A component's members meet in SALTS groups, then these."""
+    linked = reps.join(roots, reps["fp"] == roots["node"]).select("fp", "root", "doc_id", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
+    some = linked.groupBy("root", "salt").agg(F.min("doc_id").alias("least"))
+    least = some.groupBy("root").agg(F.min("least").alias("component_id"))
+    spread = some.select("root", "salt").join(least, "root")
+    found = linked.join(spread, ["root", "salt"]).select("fp", "component_id")
+    return reps.join(found, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))

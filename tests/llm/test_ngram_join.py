@@ -55,6 +55,21 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_small_groups_and_blocks(spark, monkeypatch):
+    """Lists whose sets are partly unlike their hub and of many sizes, in many blocks and groups."""
+    from tessera.llm import ngram_join as N
+
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    passage = rng.choices(vocab, k=120)
+    rows = [(i, " ".join(passage[: rng.randrange(40, 120)] + rng.choices(vocab, k=rng.randrange(0, 12)))) for i in range(160)]
+    rows += [(500 + i, near(rng, passage * 3, rng.choice([0, 0.02, 0.05]))) for i in range(90)]
+    want = brute(rows)
+    for name, value in (("BLOCK", 8), ("QUERIES", 16), ("SALTS", 3)):
+        monkeypatch.setattr(N, name, value)
+    assert run(spark, rows) == want
+
+
 def test_edges(spark):
     assert run(spark, []) == []
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "q r s t u v w"), (2, "q r s t u v w")]
