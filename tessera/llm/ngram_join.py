@@ -40,8 +40,10 @@ WORDS = 5
 FREQUENT = 1 << 20
 #: Shingles among which a task counts at a time, and the count from which it reports one.
 COUNTED, REPORTED = 2_000_000, 2
-#: Sets in an inverted list up to which it is merged into pairs.
-LONG_LIST = 64
+#: Postings that a task packs at a time, and fingerprints by which it knows copies.
+PACKED, KNOWN = 1_000_000, 200_000
+#: Sets in an inverted list up to which it is merged into pairs, and texts from which a list isn't gathered in one task at all.
+LONG_LIST, HOT = 64, 4_096
 #: Queries of a group, other sets of a group, and shingles that are indexed at a time.
 BLOCK, QUERIES, INDEXED = 256, 2_048, 1 << 20
 #: Groups in which the members of a component are told its name.
@@ -114,7 +116,7 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lists(table, buckets: int):
-    """Deals the short lists' postings: one row for each bucket and stretch of texts, packed."""
+    """Deals the short lists' postings by shingle, one row for each bucket and stretch of texts, packed; those of shingles of HOT texts by set, to as many buckets more."""
 
     def rank(s: np.ndarray) -> np.ndarray:
         known, counts = table.value
@@ -124,15 +126,16 @@ def _lists(table, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toks: list[np.ndarray] = []
+        hot: list[np.ndarray] = []
         sets: list[tuple[int, int, int]] = []
         seen: set[int] = set()
         size = 0
 
         def packed() -> pa.RecordBatch:
-            tok = np.concatenate(toks)
+            tok, far = np.concatenate(toks), np.concatenate(hot)
             node = np.repeat(np.array([s[0] for s in sets], np.uint64), [s[2] for s in sets])
             n = np.repeat(np.array([s[1] for s in sets], np.uint32), [s[2] for s in sets])
-            bucket = (mix(tok) % np.uint64(buckets)).astype(np.int64)
+            bucket = np.where(far, mix(node) % np.uint64(buckets) + np.uint64(buckets), mix(tok) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             tok, node, n, bucket = tok[order], node[order], n[order], bucket[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
@@ -147,33 +150,60 @@ def _lists(table, buckets: int):
                 fp = int(fingerprint(s))
                 if fp in seen:  # an exact copy's lists are the same
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < KNOWN:
                     seen.add(fp)
                 own = n - -(-3 * n // 4) + 1
                 often = rank(s)
-                s = s[np.argsort(often, kind="stable")[:own]] if often.any() else s[:own]
-                toks.append(s)
+                first = np.argsort(often, kind="stable")[:own] if often.any() else slice(own)
+                toks.append(s[first])
+                hot.append(often[first] > HOT)
                 sets.append((fp, n, own))
                 size += own
-                if size >= COUNTED:
+                if size >= PACKED:
                     yield from sliced(packed(), 16)
-                    toks, sets, size = [], [], 0
+                    toks, hot, sets, size = [], [], [], 0
         if toks:
             yield from sliced(packed(), 16)
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Short lists into (kind 0: a < b, shared, sizes); long lists as they are (kind 1: shingle, set, -, size)."""
-    raw = [x for batch in batches for x in batch.column(1).to_pylist()]
-    if not raw:
-        return
+def _unpacked(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, set, size of the set) of packed postings."""
     size = [len(x) // 20 for x in raw]
     tok = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(raw, size, strict=True)])
     node = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(raw, size, strict=True)])
     n = np.concatenate([np.frombuffer(x, np.uint32, n, 16 * n) for x, n in zip(raw, size, strict=True)]).astype(np.int64)
-    del raw
+    return tok, node, n
+
+
+def _long(tok: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(tok), 1 << 16):
+        at = slice(a, a + (1 << 16))
+        yield _rows(1, signed(tok[at]), node[at], np.ones(len(tok[at]), np.int64), n[at], n[at])
+
+
+def _merged_lists(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = []
+        for batch in batches:
+            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket < buckets:
+                    raw.append(x)
+                else:  # never gathered
+                    tok, node, n = _unpacked([x])
+                    yield from _long(tok, signed(node), n)
+        yield from _merge(raw)
+
+    return run
+
+
+def _merge(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Short lists into (kind 0: a < b, shared, sizes); long lists as they are (kind 1: shingle, set, -, size)."""
+    if not raw:
+        return
+    tok, node, n = _unpacked(raw)
+    raw.clear()
     order = np.lexsort((signed(node), tok))
     tok, node, n = tok[order], signed(node[order]), n[order]
     fresh = np.concatenate([[True], (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])])  # copies met in other tasks
@@ -181,10 +211,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cuts = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1, [len(tok)]])
     length = np.diff(cuts)
     long = np.repeat(length > LONG_LIST, length)
-    where = np.flatnonzero(long)
-    for a in range(0, len(where), 1 << 16):
-        at = where[a : a + (1 << 16)]
-        yield _rows(1, signed(tok[at]), node[at], np.ones(len(at), np.int64), n[at], n[at])
+    yield from _long(tok[long], node[long], n[long])
     #: Pairs at a distance d in their list, for every d: all of them once, without a loop over lists.
     short = np.repeat(length <= LONG_LIST, length) & np.repeat(length > 1, length)
     tok, node, n = tok[short], node[short], n[short]
@@ -352,7 +379,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     parts = partitions(spark)
     dealt = docs.select("text").mapInArrow(_lists(spark.sparkContext.broadcast((known, counts)), 4 * parts), "bucket long, packed binary")
-    merged = written(dealt.repartition(parts, "bucket").mapInArrow(_merge, "kind byte, a long, b long, shared long, m long, n long"), "lists")
+    merged = written(dealt.repartition(parts, "bucket").mapInArrow(_merged_lists(4 * parts), "kind byte, a long, b long, shared long, m long, n long"), "lists")
     long = merged.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("node"), "n")
     any_long = not long.isEmpty()
 

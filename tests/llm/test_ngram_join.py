@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.llm.ngram_join import LONG_LIST, divide_skip, near_duplicates
+from tessera.llm.ngram_join import HOT, LONG_LIST, divide_skip, near_duplicates
 
 
 def sets(text):
@@ -55,6 +55,18 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_lists_that_are_never_gathered(spark):
+    """More copies and near copies of a text than HOT: their lists are dealt by set."""
+    rng = random.Random(3)
+    hub = rng.choices([f"w{i}" for i in range(200)], k=30)
+    rows = [(i, " ".join(hub)) for i in range(HOT + 300)]
+    rows += [(10_000 + i, near(rng, hub, rng.choice([0.03, 0.08, 0.3]))) for i in range(150)]
+    got = {d: c for d, _, c in run(spark, rows)}
+    few = [(0, " ".join(hub)), *rows[HOT + 300 :]]
+    want = {d: c for d, _, c in brute(few)}
+    assert all(got[i] == 0 for i in range(HOT + 300)) and all(got[d] == c for d, c in want.items())
+
+
 def test_small_groups_and_blocks(spark, monkeypatch):
     """Lists whose sets are partly unlike their hub and of many sizes, in many blocks and groups."""
     from tessera.llm import ngram_join as N
