@@ -4,7 +4,8 @@ from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
-F = "f AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings)"
+VECTORS = "SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings"
+F = f"f AS ({VECTORS})"
 P = "p AS (SELECT id, CAST(id % 2 AS INTEGER) AS sample, v[1:2] AS v FROM f)"
 S = "s AS (SELECT l_suppkey AS id, [round(CAST(sum(l_quantity) AS DOUBLE), 3), round(CAST(avg(l_extendedprice) AS DOUBLE), 3), round(CAST(avg(l_discount) AS DOUBLE), 3), round(CAST(avg(l_tax) AS DOUBLE), 3), CAST(count(*) AS DOUBLE)] AS v FROM lineitem GROUP BY 1)"
 PRED = "q AS (SELECT id, label AS truth, CASE WHEN CAST('0x' || substr(md5('p:' || id), 1, 4) AS INTEGER) % 4 = 0 THEN (label + 1) % 10 ELSE label END AS pred FROM f)"

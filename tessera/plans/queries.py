@@ -214,6 +214,22 @@ def j3_ivf(spark, sf_dir):
     return rounded(knn.ivf_join(f, f, K, c, probes, exclude_self=True), "dist")
 
 
+@query
+def j3_ivf_every_list(spark, sf_dir):
+    """All lists are looked into, so the result is exact."""
+    f = features(spark, sf_dir)
+    c = knn.ivf_centroids(f)
+    return rounded(knn.ivf_join(f, f, K, c, len(c), exclude_self=True), "dist")
+
+
+@query
+def j3_ivf_recall(spark, sf_dir):
+    """How many true neighbours there are, and whether the tuned index finds 95 of 100."""
+    true = self_graph(spark, sf_dir).select("i", "j")
+    found = j3_ivf(spark, sf_dir).select("i", "j", F.lit(1).alias("hit"))
+    return true.join(found, ["i", "j"], "left").agg(F.count("*").alias("neighbours"), (F.count("hit") >= 0.95 * F.count("*")).alias("reached"))
+
+
 @query
 def j4_filtered_knn(spark, sf_dir):
     f = features(spark, sf_dir)
@@ -558,6 +574,20 @@ QUERIES["l1_plsda_cv"] = _cv("pls")
 QUERIES["l1_plslda_cv"] = _cv("lda")
 
 
+def _all_components(method):
+    """With as many components as columns, scores span the columns: linear discriminants, and least squares."""
+
+    def run(spark, sf_dir):
+        f = features(spark, sf_dir)
+        return linalg.pls_predict(f.where("id % 4 > 0"), f.where("id % 4 = 0"), 64, method)
+
+    return run
+
+
+QUERIES["l3_lda_all_components"] = _all_components("lda")
+QUERIES["l4_plsda_all_components"] = _all_components("pls")
+
+
 @query
 def l5_plslda_predict(spark, sf_dir):
     f = features(spark, sf_dir)
