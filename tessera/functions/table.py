@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.session import partitions, written
+from tessera.session import bounded, partitions, written
+
+
+#: Rows of a table that is broadcast beside others, if it isn't one row by its plan.
+FEW = 65_536
 
 
 def beside(rows: DataFrame, few: DataFrame) -> DataFrame:
-    """Each row beside each row of a table that has one row, or one a class or column: a broadcast join on a constant key."""
+    """Each row beside each row of a table that has one row, or one a class or column: a broadcast join on a constant key.
+
+    A table that isn't one row by its plan is written, and its rows are counted first: more than FEW raise TooLarge.
+    """
+    most = few._jdf.queryExecution().optimizedPlan().maxRows()
+    if not most.isDefined() or most.get() > 1:
+        few = written(few, "few")
+        bounded(few, FEW, "rows of a table to broadcast")
     return rows.withColumn("_one", F.lit(1)).join(F.broadcast(few.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 

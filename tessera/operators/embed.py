@@ -32,34 +32,51 @@ def _rows(graph: DataFrame) -> DataFrame:
     return graph.groupBy("i").agg(F.transform(e, lambda x: x["j"]).alias("js"), F.transform(e, lambda x: x["dist"]).alias("ds"))
 
 
+def _padded(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x neighbours of distances, and which are there."""
+    size = pdf["ds"].map(len).to_numpy()
+    there = np.arange(size.max(initial=0))[None, :] < size[:, None]
+    d = np.zeros(there.shape)
+    d[there] = np.concatenate([np.asarray(x, float) for x in pdf["ds"]])
+    return d, there
+
+
+def _edges(pdf: pd.DataFrame, w: np.ndarray, there: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"i": np.repeat(pdf["i"].to_numpy(), there.sum(axis=1)), "j": np.concatenate([np.asarray(x) for x in pdf["js"]]), "w": w[there]})
+
+
 def fuzzy_graph(graph: DataFrame) -> DataFrame:
     """(a, b, w), a < b: smooth neighbour weights exp(-(d - rho) / sigma), united by a + b - ab; w <= 1e-6 goes.
 
-    rho is the least positive distance; sigma by bisection (64 steps) so that the weights add up to log2(k),
-    at least a thousandth of the row's mean distance.
+    rho is the least positive distance; sigma by bisection (64 steps, all rows of a batch together) so that the
+    weights add up to log2(k), at least a thousandth of the row's mean distance.
     """
     prepare(graph.sparkSession)
 
+    def weights(over: np.ndarray, s: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.where(there, np.where(over > 0, np.exp(-np.maximum(over, 0) / s[:, None]), 1.0), 0.0)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for i, js, ds in zip(pdf["i"], pdf["js"], pdf["ds"], strict=True):
-                d = np.asarray(ds, float)
-                rho = d[d > 0].min() if (d > 0).any() else 0.0
-                want, lo, hi, s = np.log2(max(2, len(d))), 0.0, np.inf, 1.0
-                for _ in range(64):
-                    got = np.where(d - rho > 0, np.exp(-np.maximum(d - rho, 0) / s), 1.0).sum()
-                    if abs(got - want) < 1e-5:
-                        break
-                    if got > want:
-                        hi = s
-                        s = (lo + hi) / 2
-                    else:
-                        lo = s
-                        s = s * 2 if hi == np.inf else (lo + hi) / 2
-                s = max(s, 1e-3 * d.mean(), 1e-12)
-                out.append(pd.DataFrame({"i": i, "j": np.asarray(js), "w": np.where(d - rho > 0, np.exp(-np.maximum(d - rho, 0) / s), 1.0)}))
-            yield pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "w": []})
+            if not len(pdf):
+                continue
+            d, there = _padded(pdf)
+            size = there.sum(axis=1)
+            rho = np.where(there & (d > 0), d, np.inf).min(axis=1)
+            over = d - np.where(np.isfinite(rho), rho, 0.0)[:, None]
+            want = np.log2(np.maximum(2, size))
+            lo, hi, s, on = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d)), np.arange(len(d))
+            for _ in range(64):
+                got = weights(over[on], s[on], there[on]).sum(axis=1)
+                left = np.abs(got - want[on]) >= 1e-5
+                on, got = on[left], got[left]
+                if not len(on):
+                    break
+                much = got > want[on]
+                hi[on[much]], lo[on[~much]] = s[on[much]], s[on[~much]]
+                s[on] = np.where(np.isinf(hi[on]), s[on] * 2, (lo[on] + np.where(np.isinf(hi[on]), 0, hi[on])) / 2)
+            s = np.maximum(np.maximum(s, 1e-3 * d.sum(axis=1) / np.maximum(1, size)), 1e-12)
+            yield _edges(pdf, weights(over, s, there), there)
 
     w = _rows(prepared(graph)).mapInPandas(run, "i long, j long, w double").where("i <> j")
     return fuzzy_union(w)
@@ -78,25 +95,26 @@ def affinities(graph: DataFrame, perplexity: float = 30.0) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for i, js, ds in zip(pdf["i"], pdf["js"], pdf["ds"], strict=True):
-                d = np.square(np.asarray(ds, float))
-                d = d - d.min()
-                lo, hi, beta, want = 0.0, np.inf, 1.0, np.log(min(perplexity, len(d)))
-                for _ in range(200):
-                    p = np.exp(-beta * d)
-                    s = p.sum()
-                    h = np.log(s) + beta * (p @ d) / s
-                    if abs(h - want) < 1e-5:
-                        break
-                    if h > want:
-                        lo = beta
-                        beta = beta * 2 if hi == np.inf else (lo + hi) / 2
-                    else:
-                        hi = beta
-                        beta = (lo + hi) / 2
-                out.append(pd.DataFrame({"i": i, "j": np.asarray(js), "w": p / s}))
-            yield pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "w": []})
+            if not len(pdf):
+                continue
+            d, there = _padded(pdf)
+            d = np.where(there, np.square(d), np.inf)
+            d = np.where(there, d - d.min(axis=1, keepdims=True), 0.0)
+            want = np.log(np.minimum(perplexity, there.sum(axis=1)))
+            lo, hi, beta, on = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d)), np.arange(len(d))
+            for _ in range(200):
+                p = np.where(there[on], np.exp(-beta[on, None] * d[on]), 0.0)
+                total = p.sum(axis=1)
+                h = np.log(total) + beta[on] * (p * d[on]).sum(axis=1) / total
+                left = np.abs(h - want[on]) >= 1e-5
+                on, h = on[left], h[left]
+                if not len(on):
+                    break
+                flat = h > want[on]
+                lo[on[flat]], hi[on[~flat]] = beta[on[flat]], beta[on[~flat]]
+                beta[on] = np.where(np.isinf(hi[on]), beta[on] * 2, (lo[on] + np.where(np.isinf(hi[on]), 0, hi[on])) / 2)
+            p = np.where(there, np.exp(-beta[:, None] * d), 0.0)
+            yield _edges(pdf, p / p.sum(axis=1, keepdims=True), there)
 
     w = _rows(graph).mapInPandas(run, "i long, j long, w double").where("i <> j")
     both = w.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.sum("w").alias("w"))

@@ -79,8 +79,8 @@ def top_k(edges: DataFrame, k: int, *order: str | Column) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("i", "rank", "j", "dist")
 
 
-def block_pairs(q: DataFrame, b: DataFrame, kernel, schema: str) -> DataFrame:
-    """kernel(key, query rows, base rows) over every pair of a block of q and a block of b: each pair a task of bounded size. Both have an id."""
+def block_pairs(q: DataFrame, b: DataFrame, kernel, schema: str, by: str | None = None) -> DataFrame:
+    """kernel(key, query rows, base rows) over every pair of a block of q and a block of b, within each value of `by`: each pair a task of bounded size. Both have an id."""
     blocks = lambda df: max(1, -(-df.count() // BLOCK))
     nb = blocks(b)
     nq = nb if q is b else blocks(q)
@@ -90,7 +90,8 @@ def block_pairs(q: DataFrame, b: DataFrame, kernel, schema: str) -> DataFrame:
     left = q.withColumn("qb", own(nq)).withColumn("bb", spread(nb))
     right = b.withColumn("bb", own(nb)).withColumn("qb", spread(nq))
     right = right.toDF(*right.columns)  # apart from left, which may stem from the same tables
-    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(kernel, schema)
+    key = [*([by] if by else []), "qb", "bb"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(kernel, schema)
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = False, apart: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from tessera.functions import vec as V
 from tessera.functions.table import beside
 from tessera.session import bounded, prepare, written
 
-from .knn import BLOCK, _nearest, knn_join, top_k
+from .knn import BLOCK, _nearest, block_pairs, top_k
 from .preprocess import column_stats
 from .stats import beta_tail
 
@@ -55,49 +55,59 @@ def landmark_strata(rows: DataFrame, target: int, dims: int = 2) -> DataFrame:
 
 
 def grid_knn(rows: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """Exact Euclidean k nearest rows in two or three dimensions (within the sample, if rows have one).
+    """Exact Euclidean k nearest rows in one to three dimensions (within the sample, if rows have one).
 
-    Cells of about k rows; each row looks into its cell and the adjoining ones, and is done if its k-th
-    distance is no more than the way to what it hasn't seen. The rest try cells twice as wide, and so on.
-    Crowded cells are split in blocks.
+    Cells of levels, each twice as wide as those before, are counted once. A row whose cell at some level holds
+    enough rows has its k nearest within that cell's diagonal, which is less than a cell of the next level: it
+    looks into its cell and the adjoining ones there, and into nothing else. So each row asks once, at a level
+    of its own, and cells hold few rows; crowded ones (equal points) are split in blocks.
     """
     spark = rows.sparkSession
     prepare(spark)
     sample = F.col("sample").cast("string") if "sample" in rows.columns else F.lit("")
-    base = written(rows.select(F.col("id").cast("long").alias("id"), V.doubles(F.col("vec")).alias("vec"), sample.alias("sample"), F.lit(0).cast("long").alias("part")), "points")
-    dims = base.select(F.max(F.size("vec"))).first()[0] or 2
-    stats = column_stats(base).collect()  # one row a dimension
-    n = max(1, base.count())
-    spans = [r.high - r.low for r in sorted(stats, key=lambda r: r.c)]
-    low = [r.low for r in sorted(stats, key=lambda r: r.c)]
+    points = rows.select(F.col("id").cast("long").alias("id"), V.doubles(F.col("vec")).alias("vec"), sample.alias("sample"), F.lit(0).cast("long").alias("part"))
+    stats = sorted(column_stats(points).collect(), key=lambda r: r.c)  # one row a dimension
+    if not stats:
+        return spark.createDataFrame([], "i long, rank int, j long, dist double")
+    dims, n = len(stats), max(r.n for r in stats)
+    if dims > 3:
+        raise ValueError("at most three dimensions")
+    spans = [r.high - r.low for r in stats]
     volume = math.prod(s if s > 0 else 1.0 for s in spans)
-    cell = max(1e-300, (volume * max(1, k) / n) ** (1 / dims))
-    widest = max(spans, default=0.0)
-    rest, done = base, None
-    while True:
-        whole = cell > widest
-        own = F.transform("vec", lambda x, i: F.floor((x - F.get(F.array(*map(F.lit, low)), i)) / F.lit(cell)))
-        steps = F.array(*(F.array(*map(F.lit, s)) for s in np.ndindex(*(3,) * dims)))
-        near = F.explode(F.transform(steps, lambda s: F.zip_with(own, s, lambda a, b: a + b - 1)))
-        held = base.withColumn("cell", own)
-        sizes = held.groupBy("sample", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        held = held.join(sizes, ["sample", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        ask = rest.withColumn("cell", near).join(sizes, ["sample", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        key = ("sample", "cell", "block")
-        ask = ask.toDF(*ask.columns)  # apart from held, which stems from the same tables
-        met = ask.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(lambda key, a, b: _nearest(k, "euclidean", exclude_self, False)(key, a, b), "i long, j long, dist double")
-        found = written(top_k(met, k), "near")
-        if whole:
-            return found if done is None else done.union(found)
-        inside = F.array_min(F.transform(own, lambda c, i: F.least(F.get("vec", i) - F.get(F.array(*map(F.lit, low)), i) - (c - 1) * cell, (c + 2) * cell + F.get(F.array(*map(F.lit, low)), i) - F.get("vec", i))))
-        reach = found.groupBy("i").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
-        ok = rest.join(reach, rest["id"] == reach["i"]).where((F.col("n") >= k) & (F.col("far") < inside)).select("id")
-        good = found.join(ok.withColumnRenamed("id", "i"), "i", "left_semi")
-        done = good if done is None else done.union(good)
-        rest = written(rest.join(ok, "id", "left_anti"), "rest")
-        if rest.isEmpty():
-            return done
-        cell *= 2
+    cell = max(1e-300, max(spans) / 2**40, (volume * max(1, k) / n) ** (1 / dims) / 2)
+    low = F.array(*(F.lit(r.low) for r in stats))
+    top = max(1, math.ceil(math.log2(max(spans) / cell + 2)))
+    base = written(points.withColumn("fine", F.transform("vec", lambda x, i: F.floor((x - F.get(low, i)) / F.lit(cell)))), "points")
+    at = lambda level: F.expr(f"transform(fine, c -> shiftright(c, {level}))")  # noqa: E731  the cell of a level
+
+    counted = base.groupBy("sample", "fine").agg(F.count("*").alias("n"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    each = counted.withColumn("level", levels).withColumn("cell", at("level"))
+    sizes = each.groupBy("sample", "level", "cell").agg(F.sum("n").alias("held"))
+    enough = each.join(sizes, ["sample", "level", "cell"]).where(F.col("held") >= k + int(exclude_self))
+    level = enough.groupBy("sample", "fine").agg(F.min("level").alias("least"))
+    level = counted.join(level, ["sample", "fine"], "left").select("sample", "fine", F.least(F.coalesce("least", F.lit(top)) + 1, F.lit(top)).alias("level"))
+
+    # cells meet in tiles of 4 a side: a row asks in its own tile, and is held by each tile with a cell next to its own
+    level = written(level, "levels")
+    steps = F.array(*(F.array(*map(F.lit, s)) for s in np.ndindex(*(3,) * dims)))
+    tile = F.expr("transform(fine, c -> shiftright(c, level + 2))")
+    tiles = F.transform(steps, lambda s: F.transform(F.zip_with(at("level"), s, lambda a, b: a + b - 1), lambda c: F.shiftright(c, 2)))
+    asked = level.select("sample", "level", tile.alias("tile")).distinct()
+    used = level.select("level").distinct().agg(F.array_sort(F.collect_list("level")).alias("used"))  # at most top + 1 levels
+    held_by = lambda x: x.transform(beside, used).withColumn("level", F.explode("used")).withColumn("tile", F.explode(F.array_distinct(tiles)))
+    key = ["sample", "level", "tile"]
+    blocks = held_by(counted).join(asked, key).groupBy(*key).agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    parts = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    ask = base.join(level, ["sample", "fine"]).withColumn("tile", tile).join(blocks, key)
+    ask = ask.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).withColumn("block", F.explode(parts))
+    held = held_by(base).join(blocks, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("salt", F.explode(parts))
+    group = [*key, "block", "salt"]
+    ask, held = (x.select(*group, "id", "vec", "part") for x in (ask, held))
+    ask = ask.toDF(*ask.columns)  # apart from held, which stems from the same tables
+    kernel = _nearest(k, "euclidean", exclude_self, False)
+    met = ask.groupBy(*group).cogroup(held.groupBy(*group)).applyInPandas(lambda key, a, b: kernel(key, a, b), "i long, j long, dist double")
+    return top_k(met, k)
 
 
 def jitter_width(rows: DataFrame, graph: DataFrame, k: int) -> DataFrame:
@@ -144,18 +154,11 @@ def pass_messages(rows: DataFrame, features: DataFrame, k: int = 15) -> DataFram
 
 def repair_singletons(rows: DataFrame) -> DataFrame:
     """rows(id, sample, vec, cluster) -> (id, cluster): a cluster of one row joins the nearest row's of a larger cluster in its sample."""
+    prepare(rows.sparkSession)
     size = rows.groupBy("cluster").agg(F.count("*").alias("size"))
-    s = rows.join(size, "cluster")
-    lone, rest = s.where("size = 1"), s.where("size > 1")
-    pairs = []
-    for r in lone.select("sample").distinct().toLocalIterator():  # few samples
-        near = knn_join(lone.where(F.col("sample") == r.sample), rest.where(F.col("sample") == r.sample), 1)
-        pairs.append(near.select("i", "j"))
-    if not pairs:
-        return rows.select("id", "cluster")
-    near = pairs[0]
-    for p in pairs[1:]:
-        near = near.union(p)
+    s = rows.join(size, "cluster").select(F.col("id").cast("long").alias("id"), V.doubles(F.col("vec")).alias("vec"), "sample", "size")
+    s = written(s, "sized")
+    near = top_k(block_pairs(s.where("size = 1"), s.where("size > 1"), _nearest(1, "euclidean", False, False), "i long, j long, dist double", "sample"), 1)
     to = near.join(rows.select(F.col("id").alias("j"), F.col("cluster").alias("to")), "j").select(F.col("i").alias("id"), "to")
     return rows.join(to, "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster"))
 

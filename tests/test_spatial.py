@@ -110,3 +110,27 @@ def test_assignment():
         cost = rng.integers(0, 20, (n, m)).astype(float)
         got = assignment(cost)
         assert len(set(got)) == n and cost[range(n), got].sum() == min(cost[range(n), p].sum() for p in itertools.permutations(range(m), int(n)))
+
+
+@pytest.mark.parametrize("dims, n, k", [(1, 60, 4), (2, 300, 7), (3, 200, 5), (2, 3, 10)])
+def test_grid_knn_equals_all_pairs(spark, dims, n, k):
+    """Clouds, far rows, equal points and a line, in samples of very different sizes."""
+    rng = np.random.default_rng(dims * 10 + n)
+    x = rng.normal(size=(n, dims))
+    x[: n // 4] *= 1e-3
+    x[n // 4 : n // 3] += 50.0
+    x[n // 3 : n // 2] = x[n // 3]
+    x[-1] = 1e4
+    sample = np.where(np.arange(n) % 10 == 0, 1, 0)
+    rows = spark.createDataFrame([(i, int(s), v.tolist()) for i, (s, v) in enumerate(zip(sample, x))], "id long, sample int, vec array<double>")
+    got = {}
+    for r in S.grid_knn(rows, k).collect():
+        got.setdefault(r.i, []).append((r["rank"], r.j, r.dist))
+    for i in range(n):
+        d = sorted((float(np.sqrt(np.square(x[i] - x[j]).sum())), j) for j in range(n) if j != i and sample[j] == sample[i])[:k]
+        own = sorted(got.get(i, []))
+        assert [j for _, j, _ in own] == [j for _, j in d] and np.allclose([e for *_, e in own], [e for e, _ in d])
+
+
+def test_grid_knn_of_no_rows(spark):
+    assert S.grid_knn(spark.createDataFrame([], "id long, vec array<double>"), 3).collect() == []
