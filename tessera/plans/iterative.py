@@ -226,3 +226,22 @@ oracle(
     e5_affinities=_affinities(45, 30.0),
     v9_align_labels=f"""WITH {F}, {PRED}, n AS (SELECT (pred + 3) % 10 AS pred, truth, count(*) AS n FROM q GROUP BY 1, 2) SELECT CAST(pred AS BIGINT) AS pred, CAST(arg_max(truth, n) AS BIGINT) AS truth, max(n) AS n FROM n GROUP BY pred""",
 )
+
+_CORE = ("a trace of all cycles", "accepted as it improves or by temperature", "at least two classes", "fixed rows keep their labels", "groups stay whole",
+    "the accuracy is that of the predictions", "the best score never falls", "the predictions are those of the best labels", "the score is the objective")
+
+#: Of results that depend on random streams: what must hold of each, told by the query from its whole result.
+oracle(
+    c2_core_knn_invariants=_invariants(*_CORE),
+    c2_core_pls_lda_invariants=_invariants(*_CORE),
+    c12_ensemble_invariants=_invariants("a label for each row and run", "agreement is that of the labels", "constraint groups have one label a run", "no row is its own neighbour", "runs have classes", "runs have traces"),
+    c11_spatial_groups_invariants=_invariants(*(f"{n}: {x}" for n in ("kmeans", "forest", "balanced") for x in ("a group for each row", "more than one group", "none across samples"))),
+    o10_balanced_regions_invariants=_invariants("a region for each row", "regions are connected", "regions are large enough"),
+    g3_walktrap_invariants=_invariants("a cluster for each row", "as many as asked for", "modularity above one class", "modularity above single rows", "modularity at least the labels''", "none beyond components"),
+    e4_layout_invariants=_invariants(*(f"{n}: {x}" for n in ("umap", "tsne") for x in ("a finite place for each row", "neighbours are near"))),
+    s5_npz=f"WITH {F}, n AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM f ORDER BY f.id LIMIT 100) {cells('n')}",
+    s6_spatial_container=f"WITH {F} SELECT id, CAST(id % 2 AS INTEGER) AS sample, label, {r6('v[3]', 'third')}, {r6('v[1]', 'x')}, {r6('v[2]', 'y')} FROM f",
+    s8_single_cell_reduction=f"WITH {F} SELECT row_number() OVER (ORDER BY id) - 1 AS id, printf('c%05d', id) AS name, 'slide' || id % 2 AS sample, 8 AS dims, {r6('v[8]', 'last')}, {r6('v[1]', 'x')}, {r6('v[2]', 'y')} FROM f",
+    s8_single_cell_counts=f"""WITH c AS (SELECT l_suppkey AS id, 'g' || l_partkey % 6 AS g, sum(CAST(l_quantity AS DOUBLE)) AS n FROM lineitem GROUP BY 1, 2), k AS (SELECT * FROM c WHERE id % 7 > 0 OR g <> 'g3'),
+      every AS (SELECT x.id, y.g FROM (SELECT DISTINCT id FROM k) x, (SELECT DISTINCT g FROM k) y), d AS (SELECT id, list(coalesce(n, 0.0) ORDER BY g) AS v FROM every LEFT JOIN k USING (id, g) GROUP BY id) {cells('d')}""",
+)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql.window import Window
 
 from tessera.operators import embed, ensemble, graph, kmeans, knn, linalg, metrics, optimizer, preprocess, sampling, spatial, votes
 from tessera.session import shared_dir, written
@@ -77,6 +77,49 @@ def s8_transpose(spark, sf_dir):
     return t.select("id", F.size("vec").cast("long").alias("rows"), r6(F.get("vec", 0), "first"))
 
 
+@query
+def s5_npz(spark, sf_dir):
+    """The first rows written as NPZ by NumPy into the shared folder, and read by Spark."""
+    import io
+
+    import numpy as np
+
+    rows = features(spark, sf_dir).orderBy("id").limit(100).collect()
+    blob = io.BytesIO()
+    np.savez(blob, data=np.array([r.vec for r in rows]))
+    path = f"{shared_dir(spark)}/npz"
+    spark.createDataFrame([(bytearray(blob.getvalue()),)], "content binary").write.mode("overwrite").parquet(path)
+    return spread(matrices.npz_rows(spark.read.parquet(path)))
+
+
+@query
+def s6_spatial_container(spark, sf_dir):
+    """A table of observations with coordinates and slides in columns of their own names, as features, points and labels."""
+    f = features(spark, sf_dir)
+    table = f.select(F.col("id").alias("obs"), "vec", F.get("vec", 0).alias("x_um"), F.get("vec", 1).alias("y_um"), (F.col("id") % 2).cast("int").alias("slide"), F.col("label").alias("cell_type"))
+    got = matrices.container(table, id="obs", vec="vec", coordinates=("x_um", "y_um"), sample="slide", label="cell_type")
+    both = got.features.join(got.points.withColumnRenamed("vec", "xy"), "id").join(got.labels, "id")
+    return rounded(both.select("id", "sample", "label", F.get("vec", 2).alias("third"), F.get("xy", 0).alias("x"), F.get("xy", 1).alias("y")), "third", "x", "y")
+
+
+@query
+def s8_single_cell_reduction(spark, sf_dir):
+    """Two reductions of named cells, of which one is taken, in 8 dimensions, with coordinates from two images."""
+    f = features(spark, sf_dir).withColumn("cell", F.format_string("c%05d", F.col("id")))
+    both = f.select(F.lit("pca").alias("reduction"), "cell", "vec").union(f.select(F.lit("other"), "cell", F.slice("vec", 1, 3)))
+    images = f.select(F.concat(F.lit("slide"), (F.col("id") % 2).cast("string")).alias("image"), "cell", F.get("vec", 0).alias("x"), F.get("vec", 1).alias("y"))
+    got = matrices.single_cell(both, "pca", 8, images)
+    rows = got.names.join(got.features, "id").join(got.points.withColumnRenamed("vec", "xy"), "id")
+    return rounded(rows.select("id", "name", "sample", F.size("vec").alias("dims"), F.get("vec", 7).alias("last"), F.get("xy", 0).alias("x"), F.get("xy", 1).alias("y")), "last", "x", "y")
+
+
+@query
+def s8_single_cell_counts(spark, sf_dir):
+    """Counts of genes x cells in long form (supplier, quarter, quantity), as cells with a dense vector of the genes in order, absent ones 0."""
+    li = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.concat(F.lit("g"), (F.col("l_partkey") % 6).cast("string")).alias("gene")).agg(F.sum("l_quantity").cast("double").alias("n"))
+    return spread(matrices.cells_of_counts(li.where("pmod(cell, 7) > 0 or gene <> 'g3'"), "cell", "gene", "n"))
+
+
 @query
 def s9_first_dims(spark, sf_dir):
     return spread(preprocess.first_dims(features(spark, sf_dir), 8))
@@ -504,6 +547,136 @@ def c2_core_pls_lda(spark, sf_dir):
     return rounded(optimizer.optimize(rows, none, o), "accuracy", "score")
 
 
+def _holds(spark, facts: dict[str, bool]) -> DataFrame:
+    return spark.createDataFrame([(k, bool(v)) for k, v in facts.items()], "invariant string, holds boolean")
+
+
+def _core_facts(found: DataFrame, rows: DataFrame, again: DataFrame, cycles: int, both: bool) -> dict[str, bool]:
+    """What holds of an optimisation of rows(id, label, grp, fixed); again(id, pred): its best labels predicted anew by the engine's distributed operators."""
+    found = written(found, "found")
+    best = found.where("best").join(rows.select("id", F.col("label").alias("start"), "grp", "fixed"), "id")
+    trace = found.where("not best")
+    w = Window.orderBy("cycle")
+    falls = trace.withColumn("before", F.lag("score").over(w)).where("score < before")
+    o = votes.objective(best.select(F.col("label").alias("truth"), "pred")).first()
+    one = best.first()
+    return {
+        "a trace of all cycles": trace.count() == cycles and trace.select("cycle").distinct().count() == cycles,
+        "accepted as it improves or by temperature": trace.where("accepted <> (improving or temperature) or (improving and temperature)").isEmpty(),
+        "at least two classes": trace.where("active_classes < 2").isEmpty() and best.select("label").distinct().count() > 1,
+        "fixed rows keep their labels": best.where("fixed and label <> start").isEmpty(),
+        "groups stay whole": best.groupBy("grp").agg(F.countDistinct("label").alias("n")).where("n > 1").isEmpty(),
+        "the accuracy is that of the predictions": abs(o.accuracy - one.accuracy) < 1e-9,
+        "the best score never falls": falls.isEmpty(),
+        "the predictions are those of the best labels": best.select("id", "pred").exceptAll(again.select("id", "pred")).isEmpty(),
+        "the score is the objective": abs((o.both if both else o.guarded) - one.score) < 1e-9,
+    }
+
+
+@query
+def c2_core_knn_invariants(spark, sf_dir):
+    f = features(spark, sf_dir)
+    fold = written(sampling.folds(f, 10, stratified=False), "folds")
+    grp = F.expr("id div 2")
+    rows = written(f.join(fold, "id").select(F.lit(1).alias("run"), "id", (grp % 20).alias("label"), grp.alias("grp"), (grp % 9 == 0).alias("fixed"), "fold"), "rows")
+    near = written(votes.cv_neighbours(self_graph(spark, sf_dir, 40), fold, 30), "near")
+    found = written(optimizer.optimize(rows, near.withColumn("run", F.lit(1)), optimizer.Options(cycles=25, evolutionary=True, diversity=True, absorption=True)), "found")
+    again = votes.predict(near, found.where("best").select("id", "label"), fold)
+    return _holds(spark, _core_facts(found, rows, again, 25, False))
+
+
+@query
+def c2_core_pls_lda_invariants(spark, sf_dir):
+    f = features(spark, sf_dir)
+    fold = written(sampling.folds(f, 5, stratified=False), "folds")
+    rows = written(f.join(fold, "id").select(F.lit(1).alias("run"), "id", (F.col("id") % 8).alias("label"), F.col("id").alias("grp"), (F.col("id") % 9 == 0).alias("fixed"), "fold", "vec"), "rows")
+    none = spark.createDataFrame([], "i long, rank int, j long, dist double, run int")
+    o = optimizer.Options(cycles=6, evolutionary=True, diversity=True, absorption=True, coarsening=True, classifier="pls-lda", components=5)
+    found = written(optimizer.optimize(rows, none, o), "found")
+    again = linalg.pls_cv(f.select("id", "vec").join(found.where("best").select("id", "label"), "id"), fold, 5)
+    return _holds(spark, _core_facts(found, rows, again, 6, True))
+
+
+@query
+def c12_ensemble_invariants(spark, sf_dir):
+    f = features(spark, sf_dir)
+    groups = f.select("id", F.expr("id div 3").alias("grp"))
+    labels, trace, d = ensemble.run_ensemble(f, runs=3, cycles=5, splitting=15, neighbours=20, constrain=groups)
+    labels, trace, d = written(labels, "labels"), written(trace, "trace"), written(d, "graph")
+    n = f.count()
+    again = ensemble.dissimilarity(d.withColumn("dist", F.col("dist") * 0), labels)
+    both = again.select("i", "j", F.col("valid").alias("v"), F.col("same").alias("s")).join(d, ["i", "j"])
+    per = metrics.classes_by_run(labels).agg(F.min("classes")).first()[0]
+    return _holds(spark, {
+        "a label for each row and run": labels.count() == 3 * n and labels.select("run", "id").distinct().count() == 3 * n and labels.where("label is null").isEmpty(),
+        "agreement is that of the labels": both.count() == d.count() and both.where("v <> valid or s <> same").isEmpty(),
+        "constraint groups have one label a run": labels.join(groups, "id").groupBy("run", "grp").agg(F.countDistinct("label").alias("n")).where("n > 1").isEmpty(),
+        "no row is its own neighbour": d.where("i = j").isEmpty(),
+        "runs have classes": per > 1,
+        "runs have traces": trace.groupBy("run").count().where("count <> 5").isEmpty() and trace.select("run").distinct().count() == 3,
+    })
+
+
+@query
+def c11_spatial_groups_invariants(spark, sf_dir):
+    """Of all three ways: every row has one group, and no group reaches into two samples."""
+    p = points(spark, sf_dir)
+    n, facts = p.count(), {}
+    for mode, name in ((0, "kmeans"), (1, "forest"), (-1, "balanced")):
+        g = written(ensemble.spatial_groups(p, 40, 0.2, mode), "groups").join(p.select("id", "sample"), "id")
+        facts[f"{name}: a group for each row"] = g.count() == n and g.select("id").distinct().count() == n
+        facts[f"{name}: more than one group"] = g.select("grp").distinct().count() > 1
+        facts[f"{name}: none across samples"] = g.groupBy("grp").agg(F.countDistinct("sample").alias("s")).where("s > 1").isEmpty()
+    return _holds(spark, facts)
+
+
+@query
+def o10_balanced_regions_invariants(spark, sf_dir):
+    """Regions are whole parts of the graph: rows of each are joined by edges within it, and it has at least 10 rows unless its component has fewer."""
+    f, e = features(spark, sf_dir), _weights(spark, sf_dir)
+    found = written(graph.balanced_regions(e, f, 0.1), "regions")
+    of = lambda c: found.select(F.col("id").alias(c), F.col("region").alias(f"r_{c}"))
+    inside = e.join(of("a"), "a").join(of("b"), "b").where("r_a = r_b").select("a", "b")
+    parts = graph.components(inside, f).join(found, "id").groupBy("region").agg(F.countDistinct("component").alias("n"))
+    whole = graph.components(e, f).withColumn("all", F.count("*").over(Window.partitionBy("component")))
+    small = found.join(whole, "id").groupBy("region").agg(F.count("*").alias("n"), F.max("all").alias("all")).where("n < 10 and all >= 10")
+    return _holds(spark, {"a region for each row": found.count() == f.count(), "regions are connected": parts.where("n > 1").isEmpty(), "regions are large enough": small.isEmpty()})
+
+
+@query
+def g3_walktrap_invariants(spark, sf_dir):
+    """Clusters don't reach beyond components; without a target they have a higher modularity than single rows, one class and the embeddings' labels; with one they are as many."""
+    f, g = features(spark, sf_dir), self_graph(spark, sf_dir)
+    e = written(graph.weigh(g, "distance"), "weights")
+    found = written(graph.walktrap(e, f), "clusters")
+    score = lambda labels: graph.modularity(e, labels).first().modularity
+    q = score(found.select("id", F.col("cluster").alias("label")))
+    ids = f.select("id")
+    apart = found.join(graph.components(e, f), "id").groupBy("cluster").agg(F.countDistinct("component").alias("n"))
+    return _holds(spark, {
+        "a cluster for each row": found.count() == f.count(),
+        "as many as asked for": graph.walktrap(e, f, target=7).select("cluster").distinct().count() == 7,
+        "modularity above one class": q > score(ids.withColumn("label", F.lit(1))),
+        "modularity above single rows": q > score(ids.withColumn("label", F.col("id"))),
+        "modularity at least the labels'": q >= score(f.select("id", "label")),
+        "none beyond components": apart.where("n > 1").isEmpty(),
+    })
+
+
+@query
+def e4_layout_invariants(spark, sf_dir):
+    """Layouts of all rows, finite; neighbours lie nearer together than rows do."""
+    f, facts = features(spark, sf_dir), {}
+    for name, layout in (("umap", e4_umap(spark, sf_dir)), ("tsne", e6_tsne(spark, sf_dir))):
+        y = written(layout.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda p: p["v"]).alias("vec")), "layout")
+        of = lambda c: y.select(F.col("id").alias(c), F.col("vec").alias(f"v_{c}"))  # noqa: B023, E731
+        gap = lambda e: e.join(of("i"), "i").join(of("j"), "j").agg(F.avg(F.sqrt(F.aggregate(F.zip_with("v_i", "v_j", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))).first()[0]  # noqa: B023, E731
+        far = f.select(F.col("id").alias("i"), F.pmod(F.col("id") + 137, F.lit(f.count())).alias("j"))
+        facts[f"{name}: a finite place for each row"] = layout.where("v is not null and not isnan(v) and abs(v) < 1e6").count() == 2 * f.count()
+        facts[f"{name}: neighbours are near"] = gap(self_graph(spark, sf_dir, 5).select("i", "j")) < gap(far)
+    return _holds(spark, facts)
+
+
 @query
 def c3_cv_neighbours(spark, sf_dir):
     f = features(spark, sf_dir)

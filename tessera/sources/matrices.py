@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -63,7 +64,12 @@ def read_raw(spark: SparkSession, path: str, cols: int, dtype: str = "float64")
 
 def read_npz(spark: SparkSession, path: str, key: str = "data") -> DataFrame:
     """(id, vec) of the array `key` of NPZ files; ids number the rows within a file."""
-    prepare(spark)
+    return npz_rows(spark.read.format("binaryFile").load(path), key)
+
+
+def npz_rows(files: DataFrame, key: str = "data") -> DataFrame:
+    """files(content) -> (id, vec) of the array `key` of each."""
+    prepare(files.sparkSession)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -71,7 +77,61 @@ def read_npz(spark: SparkSession, path: str, key: str = "data") -> DataFrame:
                 x = np.load(io.BytesIO(r.content), allow_pickle=False)[key].astype(float)
                 yield pd.DataFrame({"id": np.arange(len(x)), "vec": list(x)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id long, vec array<double>")
+    return files.select("content").mapInPandas(run, "id long, vec array<double>")
+
+
+@dataclass
+class Container:
+    """What operators take from an annotated table: features(id, vec), points(id, sample, vec) and labels(id, label), if there are any, names(id, name)."""
+
+    features: DataFrame
+    points: DataFrame | None
+    labels: DataFrame | None
+    names: DataFrame | None = None
+
+
+def container(table: DataFrame, id: str, vec: str, coordinates: tuple[str, ...] = (), sample: str | None = None, label: str | None = None, dims: int | None = None) -> Container:
+    """The relations of a table of observations whose columns have names of their own. dims: the first dimensions of vec; ValueError if a row has fewer, or lacks a coordinate."""
+    cut = F.slice(V.doubles(F.col(vec)), 1, dims) if dims else V.doubles(F.col(vec))
+    if dims and not table.where(F.col(vec).isNull() | (F.size(vec) < dims)).isEmpty():
+        raise ValueError(f"fewer than {dims} dimensions")
+    points = None
+    if coordinates:
+        if not table.where(" or ".join(f"`{c}` is null" for c in coordinates)).isEmpty():
+            raise ValueError("rows without coordinates")
+        points = table.select(F.col(id).alias("id"), (F.col(sample) if sample else F.lit(0)).alias("sample"), F.array(*(F.col(c).cast("double") for c in coordinates)).alias("vec"))
+    labels = table.select(F.col(id).alias("id"), F.col(label).alias("label")) if label else None
+    return Container(table.select(F.col(id).alias("id"), cut.alias("vec")), points, labels)
+
+
+def single_cell(reductions: DataFrame, reduction: str, dims: int | None = None, images: DataFrame | None = None) -> Container:
+    """reductions(reduction, cell, vec), images(image, cell, x, y): the named reduction's cells, numbered in order of their names from 0, with their coordinates, an image a sample.
+
+    ValueError if there is no such reduction, it has fewer dimensions, or a cell is in no image. A cell in several images counts in the one that sorts last.
+    """
+    from tessera.functions.table import numbered
+
+    own = reductions.where(F.col("reduction") == reduction)
+    if own.isEmpty():
+        known = sorted(r.reduction for r in reductions.select("reduction").distinct().limit(100).collect())
+        raise ValueError(f"no reduction {reduction}; there are {', '.join(known)}")
+    rows = numbered(own.select("cell", "vec"), "cell").withColumn("id", (F.col("number") - 1).cast("long"))
+    if images is not None:
+        place = images.groupBy("cell").agg(F.max_by(F.struct("image", "x", "y"), "image").alias("at"))
+        rows = rows.join(place, "cell", "left").select("id", "cell", "vec", F.col("at.image").alias("sample"), F.col("at.x").alias("x"), F.col("at.y").alias("y"))
+    out = container(rows, "id", "vec", ("x", "y") if images is not None else (), "sample" if images is not None else None, dims=dims)
+    out.names = rows.select("id", F.col("cell").alias("name"))
+    return out
+
+
+def cells_of_counts(counts: DataFrame, cell: str, gene: str, n: str) -> DataFrame:
+    """Long counts -> (id = cell, vec): a dense vector of all genes in order of their names, 0 where a cell has none. One array of genes is broadcast."""
+    from tessera.functions.table import beside
+
+    genes = counts.select(F.col(gene).alias("g")).where("g is not null").distinct().agg(F.array_sort(F.collect_list("g")).alias("genes"))
+    own = counts.where(F.col(gene).isNotNull()).groupBy(F.col(cell).alias("id"), F.col(gene).alias("g")).agg(F.sum(F.col(n).cast("double")).alias("n"))
+    own = own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("m"))
+    return own.transform(beside, genes).select("id", F.transform("genes", lambda g: F.coalesce(F.col("m")[g], F.lit(0.0))).alias("vec"))
 
 
 def transpose(rows: DataFrame) -> DataFrame:
