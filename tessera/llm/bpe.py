@@ -243,18 +243,38 @@ def _encoder(ranks: bytes, pattern: str):
 
 
 _encoders: dict[tuple[int, int, str], object] = {}
+#: Texts that are Python objects at a time.
+ENCODED = 512
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, (columns to keep, as kept_<name>), ids array<int>.
+class _Decoder:
+    """Bytes of token ids, from the vocabulary laid out one token after another."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        token = {r: b for b, r in ranks.items()}
+        size = max(token, default=-1) + 1
+        self.lengths = np.array([len(token.get(r, b"")) for r in range(size)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.every = np.frombuffer(b"".join(token.get(r, b"") for r in range(size)), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        n = self.lengths[ids]
+        return self.every[np.repeat(self.starts[ids], n) + run_positions(n)].tobytes()
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """One row per document: id, (columns to keep, as kept_<name>), ids array<int>(, decoded binary).
 
     Each match of the pattern is encoded by itself, without special tokens. Null and empty texts have
     no ids. Rows that repeat, or have no id, give as many rows; an empty table none. The rank file is
-    read by the driver and sent to the workers.
+    read by the driver and sent to the workers. decoded: adds the ids' bytes, one after another, as decode
+    does, in the same pass.
     """
     prepare(docs.sparkSession)
-    ranks = b"\n".join(base64.b64encode(b) + b" %d" % r for b, r in load_ranks(rank_file).items())
+    held = load_ranks(rank_file)
+    ranks = b"\n".join(base64.b64encode(b) + b" %d" % r for b, r in held.items())
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: a fixed size
+    tables = docs.sparkSession.sparkContext.broadcast(_Decoder(held)) if decoded else None
     key = (len(ranks), hash(ranks), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,36 +283,29 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             _encoders[key] = _encoder(shared.value, pattern)
         one = _encoders[key]
         for batch in batches:
-            parts = one(batch.column(0).to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], [*batch.schema.names[1:], "ids"])
+            for a in range(0, batch.num_rows, ENCODED):
+                part = batch.slice(a, ENCODED)
+                found = one(part.column(0).to_pylist())
+                offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in found])]).astype(np.int32)
+                out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))]
+                if tables is not None:
+                    out.append(pa.array([tables.value(np.frombuffer(p, np.int32).astype(np.int64)) for p in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *out], [*part.schema.names[1:], "ids", "decoded"][: part.num_columns + len(out) - 1])
 
     kept = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(run, f"{schema}, ids array<int>")
+    return kept.mapInArrow(run, f"{schema}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids") -> DataFrame:
     """The rows with a binary column decoded: the ids' bytes, one after another. Null ids give no bytes."""
     prepare(encoded.sparkSession)
-    ranks = load_ranks(rank_file)
-    token = {r: b for b, r in ranks.items()}
-    size = max(token, default=-1) + 1
-    lengths = np.array([len(token.get(r, b"")) for r in range(size)], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    every = np.frombuffer(b"".join(token.get(r, b"") for r in range(size)), np.uint8)
-    shared = encoded.sparkSession.sparkContext.broadcast((lengths, starts, every))  # the vocabulary: a fixed size
-
-    def text_bytes(ids: np.ndarray) -> bytes:
-        lengths, starts, every = shared.value
-        n = lengths[ids]
-        return every[np.repeat(starts[ids], n) + run_positions(n)].tobytes()
+    shared = encoded.sparkSession.sparkContext.broadcast(_Decoder(load_ranks(rank_file)))  # the vocabulary: a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
-            out = [text_bytes(x.values.to_numpy(zero_copy_only=False).astype(np.int64)) if x.is_valid else b"" for x in batch.column(at)]
+            out = [shared.value(x.values.to_numpy(zero_copy_only=False).astype(np.int64)) if x.is_valid else b"" for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality, sql
-from .bpe import decode, encode
+from .bpe import encode
 from .decontaminate import contamination
 from .html_extract import main_text
 from .language_id import fit, held_out, identify
@@ -102,8 +102,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str = "byte_bpe_50
     import public_tokenizers
 
     path = public_tokenizers.path(rank_file)
-    encoded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return decode(encoded, path).select(
+    return encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

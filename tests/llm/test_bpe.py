@@ -36,6 +36,8 @@ def test_encode_and_decode(spark, library):
     got = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH).collect()
     want = sorted((str(i), library.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in rows)
     assert sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in got) == want
+    once = bpe.encode(df, PATH, public_tokenizers.PATTERN, decoded=True).collect()
+    assert sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in once) == want
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
