@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bitfilter import without
-from tessera.llm.bpe import decode, encode
+from tessera.llm.bpe import encode
 from tessera.llm.decontaminate import contamination
 from tessera.llm.language_id import UNDETERMINED, fit, held_out, identify
 from tessera.llm.ngram_join import near_duplicates
@@ -61,7 +61,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = decode(encode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source")), path)
+    tokens = encode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source"), decoded=True)
     kept = (F.col(f"kept_{c}").alias(c) for c in ("lang", "source"))
     return tokens.select("doc_id", *kept, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
