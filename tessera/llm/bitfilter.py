@@ -22,14 +22,24 @@ def _bit():
     return F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
 
 
-def id_bits(ids: DataFrame):
-    """Broadcast bits of ids(doc_id long): BITS / 8 bytes, whatever their number."""
-    bucket, at = F.bitmap_bucket_number(_bit() + 1), F.bitmap_bit_position(_bit() + 1)
-    held = ids.where("doc_id is not null").groupBy(bucket.alias("k")).agg(F.bitmap_construct_agg(at).alias("bits"))
+def bits_of(rows: DataFrame, bit):
+    """Broadcast bits, of which those are on that the rows name (from 0): BITS / 8 bytes, whatever their number."""
+    held = rows.groupBy(F.bitmap_bucket_number(bit + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit + 1)).alias("bits"))
     on = bytearray(BITS // 8)
     for r in held.toLocalIterator():
         on[(r.k - 1) * 4096 : r.k * 4096] = r.bits
-    return ids.sparkSession.sparkContext.broadcast(bytes(on))
+    return rows.sparkSession.sparkContext.broadcast(bytes(on))
+
+
+def id_bits(ids: DataFrame):
+    """Broadcast bits of ids(doc_id long)."""
+    return bits_of(ids.where("doc_id is not null"), _bit())
+
+
+def is_on(held: bytes, at: np.ndarray) -> np.ndarray:
+    """Whether bits (from 0) are on."""
+    bits = np.frombuffer(held, np.uint8)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def with_bit(docs: DataFrame, bits, on: bool) -> DataFrame:
@@ -37,12 +47,11 @@ def with_bit(docs: DataFrame, bits, on: bool) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             p = batch.column(batch.num_columns - 1)
             known = ~p.is_null().to_numpy(zero_copy_only=False)
             p = p.fill_null(0).to_numpy()
-            keep = (((held[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1) & known) == on
+            keep = (is_on(bits.value, p) & known) == on
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
 
     bit = F.when(F.col("doc_id").isNotNull(), _bit())

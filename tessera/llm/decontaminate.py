@@ -5,7 +5,8 @@ set of its SHINGLE-word shingles with their places; a document that holds the wi
 them. So shingles are ordered by rarity (how often each occurs in all documents) and the join runs on
 the one prefix token that containment needs: the window's rarest shingle. A match at word p of a
 document, of a shingle at place o of a window of n words, is kept if the window fits (0 <= p - o and
-p - o + n <= words of the document: positional and length bounds) and verified by comparing all n words.
+p - o + n <= words of the document: positional and length bounds) and verified by comparing all n words
+(their 64-bit hashes). Windows of a small benchmark are held in every task; those of a larger one are a table.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitfilter import BITS, bits_of, is_on
 from .runtime import prepare, written
 from .text_kernel import ALNUM, LOWER, chunks, joined, run_positions, word_hashes, words
 
 WINDOW, SHINGLE = 13, 4
-#: Bytes of item texts that are joined at a time; a larger benchmark is joined block by block, so what is broadcast is bounded.
+#: Bytes of item texts up to which a benchmark is held in every task; a larger one is joined by token.
 BLOCK_BYTES = 8 << 20
 
 
@@ -171,18 +173,6 @@ def _scan(w: Windows, values: np.ndarray, sizes: np.ndarray, bitmaps: dict[int,
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded size, fetched a partition at a time."""
-    block, size = [], 0
-    for r in benchmark.toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    yield block
-
-
 def _against(docs: DataFrame, items: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
     w = windows_of(items)
     window, place, value = window_shingles(w)
@@ -208,13 +198,102 @@ def _against(docs: DataFrame, items: list[tuple[str, str]], keep: tuple[str, ...
     return rows.mapInArrow(_scan(w, values, sizes, bitmaps, cuts, window, place, len(keep)), schema)
 
 
-def _united(hits: DataFrame) -> DataFrame:
-    """Blocks' hits of a document as one: overlapping and adjoining spans merged."""
-    merged = """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<first:int,end:int>>), (done, s) ->
+# A benchmark of any size: windows, tokens and candidates are tables, joined by token.
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, text) -> (item, the word hashes of each of its windows)."""
+    for batch in batches:
+        for a, b, h, first in parsed(batch.column(1)):
+            item, window = [], []
+            ids = batch.column(0).slice(a, b - a).to_pylist()
+            for i in range(b - a):
+                own = h[first[i] : first[i + 1]]
+                found = {own[k : k + WINDOW].tobytes() for k in range(max(1, len(own) - WINDOW + 1))} if len(own) else ()
+                item += [ids[i]] * len(found)
+                window += found
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(window, pa.binary())], ["item", "window"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window's shingles: (window, token, place, words of the token)."""
+    for batch in batches:
+        own = batch.column(0).to_pylist()
+        length = np.array([len(x) // 8 for x in own], np.int64)
+        w = Windows(length, np.cumsum(length) - length, np.frombuffer(b"".join(own), np.uint64), [], np.empty((0, 2), np.int64), np.zeros(len(own) + 1, np.int64))
+        at, place, value = window_shingles(w) if len(own) else (np.empty(0, np.int64),) * 3
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(value.view(np.int64)), pa.array(place), pa.array(shingle_size(length)[at])], ["window", "token", "place", "size"])
+
+
+def _found(h: np.ndarray, first: np.ndarray, sizes: list[int], bits: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word place, document, token) of the shingles within a document whose bits are on."""
+    out = []
+    for k in sizes:
+        run = joined(h, k)
+        at = np.flatnonzero(is_on(bits, (run & np.uint64(BITS - 1)).astype(np.int64))) if len(run) else np.empty(0, np.int64)
+        doc = np.searchsorted(first, at, side="right") - 1
+        ok = at + k <= first[doc + 1]
+        out.append((at[ok], doc[ok], run[at[ok]].view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+
+
+def _frequencies(sizes: list[int], bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, h, first in parsed(batch.column(0)):
+                token, n = np.unique(_found(h, first, sizes, bits.value)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], ["token", "n"])
+
+    return run
+
+
+def _candidates(sizes: list[int], bits):
+    """(uid, text) -> (uid, number of words, null ...) for each document; (uid, word place, token, words before and after that a window may reach, those words) where a window may occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["uid", "n", "token", "before", "after", "around"]
+        for batch in batches:
+            uid = batch.column(0).to_numpy()
+            for a, b, h, first in parsed(batch.column(1)):
+                none = [pa.nulls(b - a, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(uid[a:b]), pa.array(np.diff(first)), *none], names)
+                at, doc, token = _found(h, first, sizes, bits.value)
+                before, after = np.minimum(at - first[doc], WINDOW - 1), np.minimum(first[doc + 1] - at, WINDOW)
+                for c in range(0, len(at), 16_384):
+                    part = slice(c, c + 16_384)
+                    around = [h[x - y : x + z].tobytes() for x, y, z in zip(at[part].tolist(), before[part].tolist(), after[part].tolist(), strict=True)]
+                    columns = (uid[a:b][doc[part]], at[part] - first[doc[part]], token[part], before[part], after[part])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(around, pa.binary())], names)
+
+    return run
+
+
+def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """(uid, n_words, spans, items) of docs(uid, text): two passes over the documents, whatever the benchmark's size."""
+    held = written(bench.mapInArrow(_item_windows, "item string, window binary").distinct(), "windows")
+    tokens = written(held.select("window").distinct().mapInArrow(_tokens, "window binary, token long, place long, size long"), "tokens")
+    sizes = sorted(r["size"] for r in tokens.select("size").distinct().collect())  # at most SHINGLE
+    bit = F.col("token").bitwiseAND(F.lit(BITS - 1))
+    often = docs.select("text").mapInArrow(_frequencies(sizes, bits_of(tokens, bit)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rarest = F.min(F.struct("n", "token", "place")).alias("r")
+    prefix = tokens.join(often, "token", "left").fillna(0, ["n"]).groupBy("window").agg(rarest).where("r.n > 0").select("window", "r.token", "r.place")
+    prefix = written(prefix, "prefixes")
+    rows = docs.select("uid", "text").mapInArrow(_candidates(sizes, bits_of(prefix, bit)), "uid long, n long, token long, before long, after long, around binary")
+    rows = written(rows, "candidates")
+    start, words = F.col("n") - F.col("place"), F.length("window") / 8
+    fits = (F.col("place") <= F.col("before")) & (words - F.col("place") <= F.col("after"))
+    same = F.expr("substring(around, cast((before - place) * 8 + 1 as int), length(window))") == F.col("window")
+    hits = rows.where("token is not null").join(prefix, "token").where(fits & same).select("uid", start.alias("first"), (start + words.cast("long")).alias("end"), "window")
+    hits = written(hits, "hits")
+    spans = hits.select("uid", F.struct(F.col("first").cast("int").alias("first"), F.col("end").cast("int").alias("end")).alias("s")).distinct().groupBy("uid").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    items = hits.select("uid", "window").distinct().join(held, "window").select("uid", "item").distinct().groupBy("uid").agg(F.collect_list("item").alias("items"))
+    merged = """aggregate(spans, cast(array() as array<struct<first:int,end:int>>), (done, s) ->
       if(size(done) > 0 and element_at(done, -1).end >= s.first,
          concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'end', greatest(element_at(done, -1).end, s.end)))),
          concat(done, array(s))))"""
-    return hits.groupBy("uid").agg(F.first("n_words").alias("n_words"), F.expr(merged).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    out = rows.where("token is null").select("uid", F.col("n").alias("n_words")).join(spans, "uid", "left").join(items, "uid", "left")
+    some = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return out.select("uid", "n_words", some(F.expr(merged), "array<struct<first:int,end:int>>").alias("spans"), some(F.col("items"), "array<string>").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -231,19 +310,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     prepare(docs.sparkSession)
     kept = tuple(f"`kept_{c}`" for c in keep)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
-    bench = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")).dropna()
-    blocks = _blocks(bench)
-    block = next(blocks)
-    if sum(len(t) for _, t in block) < BLOCK_BYTES:
-        hits = _against(docs.withColumnRenamed("doc_id", "uid"), block, kept).withColumnRenamed("uid", "doc_id")
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).dropna()
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= BLOCK_BYTES:
+        hits = _against(docs.withColumnRenamed("doc_id", "uid"), [tuple(r) for r in bench.collect()], kept).withColumnRenamed("uid", "doc_id")
     else:
         docs = written(docs.withColumn("uid", F.monotonically_increasing_id()), "documents")
-        hits = None
-        while block:
-            one = written(_against(docs, block), "hits")  # then this block's broadcast can go
-            hits = one if hits is None else hits.union(one)
-            block = next(blocks, None)
-        hits = _united(hits).join(docs.select("uid", "doc_id", *kept), "uid")
+        hits = _joined(docs, bench).join(docs.select("uid", "doc_id", *kept), "uid")
     spans, n_hit = F.col("spans"), F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.first)")
     return hits.select(
         "doc_id", *kept, "n_words", spans.alias("hit_spans"), n_hit.alias("n_hit"), F.array_sort("items").alias("items")

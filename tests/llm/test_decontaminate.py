@@ -69,10 +69,12 @@ def test_against_brute_force(spark):
     assert run(spark, docs, items) == brute(docs, items)
 
 
-def test_blocks_of_a_large_benchmark(spark, monkeypatch):
+def test_a_large_benchmark_is_joined_by_token(spark, monkeypatch):
     docs, items = case()
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
-    assert run(spark, docs[:80] + docs[-7:-1], items) == brute(docs[:80] + docs[-7:-1], items)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 0)
+    assert run(spark, docs, items) == brute(docs, items)
+    assert run(spark, [], items) == []
+    assert run(spark, docs[:3], [(1, "...")]) == brute(docs[:3], [(1, "...")])
 
 
 def test_empty(spark):
