@@ -79,7 +79,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
-    "Proprietary": ("All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."),
+    "Proprietary": ("All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."),
 }
 OTHER = "other"
 #: Longest n-gram, variants of each template, background paragraphs (the bound of the sample), steps of training.

@@ -76,3 +76,10 @@ def test_denied_notices(model):
     assert families("This work is never distributed or licensed under the GNU General Public License, version 3.") == []
     assert families("This file isn't licensed under the Apache License, Version 2.0.\n\nReleased under the MIT License.") == ["MIT"]
     assert families("We do not like it. This work is licensed under the GNU General Public License, version 3.") == ["GPL"]
+
+
+def test_short_notices(model):
+    families = lambda t: [f["family"] for f in found(model, t)]
+    assert families("All rights reserved.") == ["Proprietary"] and families("Copyright 2020 by the authors. All rights reserved.") == ["Proprietary"]
+    assert families("some words\nAll rights reserved.\nother words") == ["Proprietary"]
+    assert families("all of the rights that we reserved") == [] and families("rights reserved seats all") == []
