@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -115,3 +117,30 @@ def test_affinities_and_layouts(spark):
     assert np.linalg.norm(c[0] - c[1]) > 2 * np.mean([np.linalg.norm(u[i] - c[i // 40]) for i in range(80)])
     with pytest.raises(ValueError):
         embed.tsne_layout(p, start, 30.0)
+
+
+def test_laplacian_features_against_numpy(spark):
+    """Power iterations of the dense normalised matrix from the same hashed normal numbers span the same features."""
+    rng = np.random.default_rng(4)
+    n, dims, steps = 40, 3, 5
+    x = rng.normal(size=(n, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    order = np.argsort(d, axis=1)[:, 1:7]
+    edges = spark.createDataFrame([(i, r + 1, int(j), float(d[i, j])) for i in range(n) for r, j in enumerate(order[i])], "i long, rank int, j long, dist double")
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    got = np.array([r.vec for r in graph.laplacian_features(edges, nodes, dims, steps).orderBy("id").collect()])
+    s = np.array([np.sort(d[i, order[i]])[3] for i in range(n)])
+    w = np.zeros((n, n))
+    for i in range(n):
+        for j in order[i]:
+            w[i, j] = w[j, i] = np.exp(-(d[i, j] ** 2) / (s[i] * s[j]))
+    w /= np.sqrt(np.outer(w.sum(axis=1), w.sum(axis=1)))
+    unit = lambda *parts: int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+    y = np.array([[np.sqrt(-2 * np.log(1 - unit(1234, i, f"r{c}"))) * np.cos(2 * np.pi * unit(1234, i, f"a{c}")) for c in range(dims)] for i in range(n)])
+    for _ in range(steps):
+        y = w @ np.linalg.qr(y)[0]
+    basis = np.linalg.qr(y)[0]
+    assert np.allclose(got.mean(axis=0), 0, atol=1e-9) and np.allclose(got.std(axis=0, ddof=1), 1)
+    both = np.concatenate([basis, np.ones((n, 1))], axis=1)  # features are centred combinations of the basis
+    fit = both @ np.linalg.lstsq(both, got, rcond=None)[0]
+    assert np.allclose(fit, got, atol=1e-6)
