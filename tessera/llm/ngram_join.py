@@ -46,7 +46,7 @@ PACKED, KNOWN = 1_000_000, 200_000
 LONG_LIST, HOT = 64, 4_096
 #: Queries of a group, other sets of a group, and shingles that are indexed at a time.
 BLOCK, QUERIES, INDEXED = 256, 2_048, 1 << 20
-#: Groups in which the members of a component are told its name.
+#: Groups in which the members of a component, or of a long list, are told what holds for all.
 SALTS = 64
 
 
@@ -344,6 +344,15 @@ def _tested(pairs: DataFrame) -> DataFrame:
     return asks.union(_group(salted, F.col("salt"), F.lit(0), 1, "b"))
 
 
+def _hubs(long: DataFrame) -> DataFrame:
+    """long(tok, node, n) -> (a, b, n): each set of a list beside the list's hub, its least set. A list meets in SALTS groups, then these."""
+    salted = long.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    some = salted.groupBy("tok", "salt").agg(F.min("node").alias("least"))
+    hubs = some.groupBy("tok").agg(F.min("least").alias("a"))
+    spread = some.select("tok", "salt").join(hubs, "tok")
+    return salted.join(spread, ["tok", "salt"]).select("a", F.col("node").alias("b"), "n").distinct()
+
+
 def _outside(spokes: DataFrame, out: DataFrame) -> DataFrame:
     """spokes(a, b, n), and those of them (out) that aren't linked with their hub, as groups: each of these meets all sets of its
     hub's list whose size lets them be similar. Lists are cut by size and into blocks of a bounded number of shingles."""
@@ -402,9 +411,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = reps.join(wanted.distinct(), "fp", "left_semi").select(F.col("fp").alias("node"), "doc_id")
     texts = written(_texts(docs, wanted), "texts")
     if any_long:
-        hubs = long.groupBy("tok").agg(F.min("node").alias("hub"))
-        spokes = long.join(hubs, "tok").select(F.col("hub").alias("a"), F.col("node").alias("b"), "n")
-        spokes = written(spokes.distinct(), "spokes")
+        spokes = written(_hubs(long), "spokes")
         asked = written(pairs.union(spokes.where("a <> b").select("a", "b")).distinct(), "asked")
         links = written(_searched(_tested(asked), texts), "links")
         roots = components(links)
