@@ -29,9 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a table in the shared folder, read back: computed once, lineage cut, safe against lost executors."""
+#: Rows of a file of a table whose number of rows is known to be small.
+FILE_ROWS = 100_000
+
+
+def written(df: DataFrame, name: str = "table", rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back: computed once, lineage cut, safe against lost executors.
+
+    rows: what df has at most, if that is known; then small tables are few files.
+    """
     prepare(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, min(partitions(df.sparkSession), -(-rows // FILE_ROWS))))
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
