@@ -353,7 +353,7 @@ def _hubs(long: DataFrame) -> DataFrame:
     return salted.join(spread, ["tok", "salt"]).select("a", F.col("node").alias("b"), "n").distinct()
 
 
-def _outside(spokes: DataFrame, out: DataFrame) -> DataFrame:
+def _outside(spokes: DataFrame, out: DataFrame, n: int) -> DataFrame:
     """spokes(a, b, n), and those of them (out) that aren't linked with their hub, as groups: each of these meets all sets of its
     hub's list whose size lets them be similar. Lists are cut by size and into blocks of a bounded number of shingles."""
     kind = F.floor(F.log(F.col("n")) / math.log(1.34)).cast("long")  # similar sets are of one kind, or of neighbouring ones
@@ -361,7 +361,7 @@ def _outside(spokes: DataFrame, out: DataFrame) -> DataFrame:
     asks = out.withColumn("kind", F.explode(F.array(kind - 1, kind, kind + 1)))
     blocks = held.groupBy("a", "kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / INDEXED)).alias("blocks"))
     parts = asks.groupBy("a", "kind").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
-    sizes = written(blocks.join(parts, ["a", "kind"]), "sizes")
+    sizes = written(blocks.join(parts, ["a", "kind"]), "sizes", n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     place = lambda c: F.col("kind") * 1_000_000_000 + F.col(c)
     held = held.join(sizes, ["a", "kind"]).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))).withColumn("part", every("parts"))
@@ -390,7 +390,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = docs.select("text").mapInArrow(_lists(spark.sparkContext.broadcast((known, counts)), 4 * parts), "bucket long, packed binary")
     merged = written(dealt.repartition(parts, "bucket").mapInArrow(_merged_lists(4 * parts), "kind byte, a long, b long, shared long, m long, n long"), "lists")
     long = merged.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("node"), "n")
-    any_long = not long.isEmpty()
+    n_long = long.count()
+    any_long = n_long > 0
 
     pairs = merged.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("m").alias("m"), F.max("n").alias("n"))
     # what the shingles beyond the short lists can add: the set whose last short list comes first has ceil(3n/4) - 1 of them
@@ -411,21 +412,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = reps.join(wanted.distinct(), "fp", "left_semi").select(F.col("fp").alias("node"), "doc_id")
     texts = written(_texts(docs, wanted), "texts")
     if any_long:
-        spokes = written(_hubs(long), "spokes")
-        asked = written(pairs.union(spokes.where("a <> b").select("a", "b")).distinct(), "asked")
+        spokes = written(_hubs(long), "spokes", n_long)
+        n_asked = measured_pairs.count() + n_long
+        asked = written(pairs.union(spokes.where("a <> b").select("a", "b")).distinct(), "asked", n_asked)
         links = written(_searched(_tested(asked), texts), "links")
         roots = components(links)
         root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         placed = spokes.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        out = written(placed.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "n"), "outside")
+        out = written(placed.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "n"), "outside", n_long)
         if not out.isEmpty():
-            more = written(_searched(_outside(spokes, out), texts), "links")
+            more = written(_searched(_outside(spokes, out, n_long), texts), "links")
             discard(roots)
             roots = components(links.union(more))
             discard(more)
         discard(links, spokes, asked, out)
     else:
-        asked = written(pairs.distinct(), "asked")
+        asked = written(pairs.distinct(), "asked", measured_pairs.count())
         roots = components(_searched(_tested(asked), texts))
         discard(asked)
     discard(merged, measured_pairs, texts)
