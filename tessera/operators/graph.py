@@ -290,7 +290,8 @@ def walk_clusters(n: int, a, b, w, steps: int, target: int) -> np.ndarray:
 
 
 def merge_to(edges: DataFrame, labels: DataFrame, target: int) -> DataFrame:
-    """labels(id, label) merged to target classes: always the two with the largest weight between over sqrt(vol vol). Classes are few and meet on the driver."""
+    """labels(id, label) merged to target classes: always the two with the largest weight between over sqrt(vol vol). Classes meet on the driver: they are counted first, more than 5,000 raise TooLarge."""
+    bounded(labels.select("label").distinct(), 5_000, "classes to merge")
     of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}"))
     e = edges.join(of("a"), "a").join(of("b"), "b").groupBy(F.least("l_a", "l_b").alias("x"), F.greatest("l_a", "l_b").alias("y")).agg(F.sum("w").alias("w"))
     classes = sorted(r.label for r in labels.select("label").distinct().collect())

@@ -137,8 +137,9 @@ def ivf_centroids(rows: DataFrame, lists: int | None = None, steps: int = 8, see
     n = rows.count()
     lists = lists or min(4096, max(1, int(np.ceil(np.sqrt(n)))))
     key = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
-    picked = rows.select(key.alias("key"), "id", vec.doubles(F.col("vec")).alias("vec")).where(F.col("key") < int((1 << 40) * min(1.0, sample / max(1, n)))).collect()
-    x = np.array([r.vec for r in sorted(picked, key=lambda r: (r.key, r.id))], float)
+    picked = rows.select(key.alias("key"), "id", vec.doubles(F.col("vec")).alias("vec")).where(F.col("key") < int((1 << 40) * min(1.0, sample / max(1, n)))).toArrow()
+    x = picked["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(picked.num_rows, -1) if picked.num_rows else np.zeros((0, 0))
+    x = x[np.lexsort((picked["id"].to_numpy(), picked["key"].to_numpy()))]
     c = x[:lists].copy()
     for _ in range(steps):
         near = np.concatenate([((c**2).sum(axis=1)[None] - 2 * x[a : a + 2048] @ c.T).argmin(axis=1) for a in range(0, len(x), 2048)])
