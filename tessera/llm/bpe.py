@@ -41,20 +41,48 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=0)
-        self.reach: dict[bytes, int] = {}  # the longest token that ends with three bytes
-        for b in ranks:
-            if len(b) > 2 and len(b) > self.reach.get(b[-3:], 2):
-                self.reach[b[-3:]] = len(b)
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
         self.token = {r: b for b, r in ranks.items()}
+        self._automaton()
         self.size = {r: len(b) for b, r in ranks.items()}
         for rank in sorted(self.token):
             if len(self.token[rank]) > 1 and (pair := self._parts(self.token[rank], rank)):
                 self.parts[rank] = pair
                 self.merged[pair] = rank
 
+    def _automaton(self) -> None:
+        """Tells from byte to byte which tokens end there: a trie of the tokens, where each node knows its longest suffix that is a node.
+
+        A node: the node after a byte, (length, token, whether it fits after a token) of its suffixes that are
+        tokens, the longest first, and the suffix. What is known to fit is told by token, then by the one before.
+        """
+        self.fits: dict[int, dict[int, bool]] = {t: {} for t in self.token}
+        self.remembers = 4_000_000
+        leaf = {}.get
+        self.root: list = [{}.get, (), None]
+        level = [(b"", self.root)]
+        words: list[list[bytes]] = [[] for _ in range(self.longest + 1)]
+        for start in {word[:n] for word in self.ranks for n in range(1, len(word) + 1)}:
+            words[len(start)].append(start)
+        for starts in words[1:]:
+            above, level = dict(level), []
+            for word in starts:
+                parent = above[word[:-1]]
+                node = [leaf, (), self.root]
+                if parent[0] is leaf:
+                    parent[0] = {}.get
+                parent[0].__self__[word[-1]] = node
+                short = parent[2]
+                while short is not None:
+                    if (found := short[0](word[-1])) is not None:
+                        node[2] = found
+                        break
+                    short = short[2]
+                rank = self.ranks.get(word)
+                node[1] = node[2][1] if rank is None else ((len(word), rank, self.fits[rank].get), *node[2][1])
+                level.append((word, node))
+
     def _parts(self, word: bytes, rank: int) -> tuple[int, int] | None:
         """The last two tokens when only merges before rank are done."""
         own = [word[i : i + 1] for i in range(len(word))]
@@ -74,8 +102,8 @@ class Vocabulary:
         Undoes merges on both sides of the seam, the latest first. If two tokens that faced each other
         there would have merged before what was undone, BPE would have crossed the seam.
         """
-        key = (left, right)
-        if (known := self.fits.get(key)) is not None:
+        told, after = self.fits[right], left
+        if (known := told.get(after)) is not None:
             return known
         before, fits = sys.maxsize, True  # merges across the seam of a rank below before come first
         while True:
@@ -91,16 +119,17 @@ class Vocabulary:
                 before, left = left, undo_left[0][1]
             else:
                 before, right = right + 1, undo_right[0][0]
-        if len(self.fits) < 4_000_000:
-            self.fits[key] = fits
+        if self.remembers:
+            self.remembers -= 1
+            told[after] = fits
         return fits
 
 
 class Prefixes:
-    """A byte string with the last token of each of its prefixes."""
+    """A byte string with the last token of each of its prefixes, and where the automaton is after it."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
+        self.vocabulary, self.data, self.last, self.nodes = vocabulary, b"", [-1], [vocabulary.root]
         self.append(data)
 
     def append(self, data: bytes) -> None:
@@ -109,23 +138,27 @@ class Prefixes:
         self._extend(len(self.data))
 
     def _extend(self, upto: int) -> None:
-        data, last, v = self.data, self.last, self.vocabulary
-        rank, fits, reach = v.ranks.get, v.fits.get, v.reach.get
-        for end in range(len(last), upto + 1):
-            far = end - reach(data[end - 3 : end], 2) if end > 2 else 0
-            for start in range(far if far > 0 else 0, end):
-                t = rank(data[start:end])
-                if t is not None:
-                    if not start:
-                        last.append(t)
-                        break
-                    u = last[start]
-                    ok = fits((u, t))
-                    if ok or (ok is None and v.may_follow(u, t)):
-                        last.append(t)
-                        break
+        last, nodes, v = self.last, self.nodes, self.vocabulary
+        end = len(last)
+        node = nodes[-1]
+        for byte in self.data[end - 1 : upto]:
+            while (following := node[0](byte)) is None:
+                node = node[2]
+                if node is None:
+                    raise ValueError("the vocabulary lacks a byte")
+            node = following
+            for n, t, fits in node[1]:
+                u = last[end - n]
+                if u < 0:
+                    break
+                ok = fits(u)
+                if ok or (ok is None and v.may_follow(u, t)):
+                    break
             else:
                 raise ValueError("the vocabulary lacks a byte")
+            last.append(t)
+            nodes.append(node)
+            end += 1
 
     def become(self, data: bytes) -> None:
         """Another byte string: the states of the prefix that both share stay, the rest is appended."""
@@ -133,15 +166,15 @@ class Prefixes:
         same = 0
         while same < n and old[same] == data[same]:
             same += 1
-        del self.last[same + 1 :]
+        del self.last[same + 1 :], self.nodes[same + 1 :]
         self.data = data
         self._extend(len(data))
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replaces data[start:end]; returns how many states were computed anew."""
-        old, shift = self.last, len(new) - (end - start)
+        old, nodes, shift = self.last, self.nodes, len(new) - (end - start)
         self.data = self.data[:start] + new + self.data[end:]
-        self.last, same = old[: start + 1], 0
+        self.last, self.nodes, same = old[: start + 1], nodes[: start + 1], 0
         while len(self.last) <= len(self.data):
             at = len(self.last)
             self._extend(at)
@@ -150,6 +183,7 @@ class Prefixes:
             if same >= self.vocabulary.longest:  # a state depends on that many before it
                 done = at - start
                 self.last += old[was + 1 :]
+                self.nodes += nodes[was + 1 :]
                 return done
         return len(self.last) - 1 - start
 

@@ -60,6 +60,28 @@ def test_appends_and_edits(ranks, library):
     assert long.edit(40, 41, b"x") < 1000 and long.tokens() == fresh(long.data)
 
 
+def test_a_state_asks_only_for_tokens_that_end_there(ranks, library):
+    class Asked(dict):
+        asked = 0
+
+        def get(self, *key):
+            Asked.asked += 1
+            return super().get(*key)
+
+    v = bpe.Vocabulary(Asked(ranks))
+    rng = random.Random(2)
+    for _ in range(60):
+        word = bytes(rng.choice(b"abcdeinrst \xc3\xa9\xff") for _ in range(rng.randrange(1, 90)))
+        Asked.asked = 0
+        p = bpe.Prefixes(v, word)
+        assert Asked.asked <= len(word) and p.tokens() == library._core_bpe.encode_single_piece(word)
+        for end in range(1, len(word) + 1):
+            here = [word[a:end] for a in range(max(0, end - v.longest), end)]
+            assert [t for _, t, _ in p.nodes[end][1]] == [ranks[b] for b in here if b in ranks]
+    with pytest.raises(ValueError):
+        bpe.Prefixes(bpe.Vocabulary({b"a": 0, b"b": 1, b"ab": 2}), b"abab c")
+
+
 def test_query(spark, tmp_path, library):
     from tessera.llm.queries import op8_byte_bpe
 
