@@ -217,3 +217,16 @@ def test_large_hosts_count_as_a_whole(spark, monkeypatch):
     for size in (2000, 512, 50):
         monkeypatch.setattr(H, "HOST_PAGES", size)
         assert {r.page_id: r.text for r in main_text(df).collect()} == want
+
+
+def test_the_array_judges_every_page(spark, monkeypatch):
+    """Also pages that structure decides by itself: what the host repeats outside text is counted in it, and stays."""
+    notice = "all rights to these words are kept by the house that prints them"
+    pages = [(i, "http://own.host/a", f"<article><p>words of page number {i}</p><p>{notice if i in (0, 7) else 'short'}</p></article><footer>{notice} {i}</footer>") for i in range(8)]
+    pages += [(20 + i, "http://two.host/a", f"<article><p>{notice}</p></article><footer>{notice if i < PAGES - 1 else ''} {i}</footer>") for i in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for size in (512, 2):
+        monkeypatch.setattr(H, "HOST_PAGES", size)
+        got = {r.page_id: (r.text, r.n_repeated) for r in main_text(df).collect()}
+        repeats = len(notice.split())
+        assert got == {i: (f"words of page number {i}\n{notice}", repeats) if i in (0, 7) else (f"words of page number {i}\nshort", 0) for i in range(8)} | {20 + i: (notice, 0) for i in range(6)}
