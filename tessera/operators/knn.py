@@ -19,56 +19,186 @@ from tessera.functions import vec
 from tessera.session import partitions, prepare, written
 
 METRICS = ("euclidean", "cosine", "inner_product")
-#: Rows of a block of queries and of base rows.
-BLOCK = 4_096
+#: Rows of a block of queries and of base rows, and numbers in their vectors, at most.
+BLOCK, BLOCK_VALUES = 65_536, 1 << 22
 
 
-def _distances(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Queries x base. Sums run over dimensions in order, as a SQL fold does."""
-    out = np.zeros((len(q), len(b)))
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.concatenate([np.asarray(v, float) for v in column]).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows over their norms, summed in order of dimensions; a zero or non-finite norm counts as 1."""
+    n = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        n += x[:, d] * x[:, d]
+    n = np.sqrt(n)
+    return x / np.where(np.isfinite(n) & (n > 0), n, 1.0)[:, None]
+
+
+def _stretches(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which stretch, place) of each element of stretches that start at `first` and have `count` elements."""
+    which = np.repeat(np.arange(len(first)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
+def _pair_distances(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows of q to the rows of b beside them, summed over dimensions in order, as a SQL fold does."""
+    out = np.zeros(len(q))
     for d in range(q.shape[1]):
         if metric == "euclidean":
-            diff = q[:, d, None] - b[None, :, d]
+            diff = q[:, d] - b[:, d]
             out += diff * diff
         else:
-            out += q[:, d, None] * b[None, :, d]
+            out += q[:, d] * b[:, d]
     if metric == "euclidean":
         return np.sqrt(out)
     return np.maximum(0.0, 1.0 - out) if metric == "cosine" else 1.0 - out
 
 
-def _stacked(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), float).reshape(len(column), -1)
+class Search:
+    """The exact k nearest of blocks of base rows, by products of matrices.
 
+    Products in single precision tell each distance within a bound, so rows that may be among the nearest are those whose least
+    distance isn't beyond the k-th largest; only their distances are summed in double precision, dimension by dimension, and ordered
+    by (distance, id). Base rows are kept by group, and by length within it. Held at once: QUERIES x ROWS products, and pairs that may count.
+    """
 
-def _units(x: np.ndarray) -> np.ndarray:
-    """Rows over their norms, summed in order of dimensions; a zero or non-finite norm counts as 1."""
-    n = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        n += x[:, d] * x[:, d]
-    n = np.sqrt(n)
-    return x / np.where(np.isfinite(n) & (n > 0), n, 1.0)[:, None]
+    QUERIES, ROWS, PIECE = 256, 4_096, 4_096
+
+    def __init__(self, q: np.ndarray, qid: np.ndarray, b: np.ndarray, bid: np.ndarray, k: int, metric: str = "euclidean", exclude_self: bool = False, qpart: np.ndarray | None = None, bpart: np.ndarray | None = None, group: np.ndarray | None = None):
+        if metric == "cosine":
+            q, b = _units(q), _units(b)
+        self.k, self.metric = k, metric
+        fine, known = np.isfinite(q).all(axis=1), np.isfinite(b).all(axis=1)
+        x, y = np.where(fine[:, None], q, 0.0), np.where(known[:, None], b, 0.0)
+        if metric == "euclidean":
+            middle = (y / max(1, len(y))).sum(axis=0)
+            x, y = x - middle, y - middle  # near zero, differences of squares lose less
+        top = max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0))
+        scale = 2.0 ** min(500.0, -np.ceil(np.log2(top))) if 0 < top < np.inf else 1.0
+        x, y = x * scale, y * scale
+        self.nq, ny = np.sqrt(np.square(x).sum(axis=1)), np.sqrt(np.square(y).sum(axis=1))
+        order = np.lexsort((ny,) if group is None else (ny, group))
+        y, self.nb, self.b, self.bid, self.known = y[order], ny[order], b[order], bid[order], known[order]
+        self.q, self.qid, self.qpart, self.bpart, self.fine = q, qid, qpart, None if bpart is None else bpart[order], fine
+        self.rounding = (q.shape[1] + 8) * 2.0**-24 * 1.05
+        self.least = 1e-30 if metric == "euclidean" else 2.0**-48 * scale**2  # 1 - dot is rounded, and a cosine's distance is cut at 0
+        if metric == "euclidean":
+            self.left = np.concatenate([-2 * x, np.ones((len(x), 1))], axis=1).astype(np.float32)
+            self.right = np.concatenate([y, np.square(self.nb)[:, None]], axis=1).astype(np.float32)
+        else:
+            self.left, self.right = (-x).astype(np.float32), y.astype(np.float32)
+        if exclude_self:  # where each query's id is among the base rows
+            by = np.argsort(self.bid, kind="stable")
+            lo, hi = (np.searchsorted(self.bid, qid, side, sorter=by) for side in ("left", "right"))
+            which, at = _stretches(lo, hi - lo)
+            self.own_first, self.own = np.concatenate([[0], np.cumsum(hi - lo)]), by[at]
+        self.exclude_self = exclude_self
+
+    def _bound(self, rows: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """How far the products of queries and a stretch of base rows may be from distances (squared, less the query's own square)."""
+        reach = self.nb[start:stop].max(initial=0.0)
+        if self.metric == "euclidean":
+            return self.rounding * (2 * self.nq[rows] * reach + reach**2) + self.least + 2.0**-46 * (self.nq[rows] + reach) ** 2
+        return self.rounding * self.nq[rows] * reach + self.least
+
+    def _bar(self, g: np.ndarray, rows: np.ndarray, start: int, stop: int) -> None:
+        """Infinitely far: rows that aren't finite, the query itself, rows of the query's part."""
+        if not self.known[start:stop].all():
+            g[:, ~self.known[start:stop]] = np.inf
+        if self.exclude_self:
+            which, at = _stretches(self.own_first[rows], self.own_first[rows + 1] - self.own_first[rows])
+            at = self.own[at]
+            here = (at >= start) & (at < stop)
+            g[which[here], at[here] - start] = np.inf
+        if self.qpart is not None:
+            g[self.qpart[rows][:, None] == self.bpart[None, start:stop]] = np.inf
+
+    def _best(self, r: np.ndarray, c: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs (place in rows, base row) the k nearest of each, in order, as (place, base row, distance)."""
+        pieces = [slice(a, a + self.PIECE) for a in range(0, len(r), self.PIECE)]
+        d = np.concatenate([_pair_distances(self.q[rows[r[p]]], self.b[c[p]], self.metric) for p in pieces]) if pieces else np.empty(0)
+        ok = np.isfinite(d)
+        r, c, d = r[ok], c[ok], d[ok]
+        order = np.lexsort((self.bid[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        size = np.bincount(r, minlength=len(rows))
+        keep = np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size) < self.k
+        return r[keep], c[keep], d[keep]
+
+    def nearest(self, rows: np.ndarray, parts: list[tuple[np.ndarray | None, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, base row, distance) of the nearest; parts: (which of `rows` look, None for all; the stretch of base rows that they look at)."""
+        rows = rows[self.fine[rows]] if all(mine is None for mine, _, _ in parts) else rows
+        k, cut = self.k, np.full(len(rows), np.inf)  # the k-th nearest so far is at most this far
+        pool = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))]  # place in rows, base row, least and most that its distance can be
+        held, kept = 0, 0
+
+        def prune() -> None:
+            nonlocal held, kept
+            r, c, low, high = (np.concatenate(x) for x in zip(*pool))
+            order = np.lexsort((high, r))
+            size = np.bincount(r, minlength=len(rows))
+            full = np.flatnonzero(size >= k)
+            cut[full] = np.minimum(cut[full], high[order[(np.cumsum(size) - size)[full] + k - 1]])
+            keep = low <= cut[r]
+            r, c, low, high = r[keep], c[keep], low[keep], high[keep]
+            if len(r) > len(rows) * max(64, 4 * k):  # more are equally near, as far as single precision tells
+                key = r * len(self.bid) + c
+                o = np.argsort(key)
+                r, c, _ = self._best(r, c, rows)
+                at = o[np.searchsorted(key, r * len(self.bid) + c, sorter=o)]
+                low, high = low[at], high[at]
+            pool[:] = [(r, c, low, high)]
+            held = kept = len(r)
+
+        for mine, start, stop in parts:
+            own = np.arange(len(rows)) if mine is None else mine[self.fine[rows[mine]]]
+            if not len(own):
+                continue
+            left = self.left[rows[own]]
+            for a in range(start, stop, self.ROWS):
+                z = min(a + self.ROWS, stop)
+                g = left @ self.right[a:z].T
+                self._bar(g, rows[own], a, z)
+                bound, limit = self._bound(rows[own], a, z), cut[own]
+                fresh = np.isinf(limit)
+                if fresh.any() and z - a > k:
+                    limit[fresh] = np.partition(g if fresh.all() else g[fresh], k - 1, axis=1)[:, k - 1] + bound[fresh]
+                    cut[own] = limit
+                limit = np.nextafter(np.minimum(limit + bound, 3e38).astype(np.float32), np.float32(np.inf))
+                at = np.flatnonzero(g <= limit[:, None])
+                r, c = at // (z - a), at % (z - a)
+                d = g[r, c].astype(float)
+                pool.append((own[r], c + a, d - bound[r], d + bound[r]))
+                held += len(r)
+                if held > 2 * kept + len(rows) * k:
+                    prune()
+        prune()
+        r, c, d = self._best(pool[0][0], pool[0][1], rows)
+        return rows[r], c, d
+
+    def edges(self, parts_of) -> pd.DataFrame:
+        """(i, j, dist) of all queries, a stretch of them after another; parts_of(rows): where they look."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for a in range(0, len(self.qid), self.QUERIES):
+            rows = np.arange(a, min(a + self.QUERIES, len(self.qid)))
+            out.append(self.nearest(rows, parts_of(rows)))
+        i, j, d = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"i": self.qid[i].astype(np.int64), "j": self.bid[j].astype(np.int64), "dist": d})
+
+
+def _nothing() -> pd.DataFrame:
+    return pd.DataFrame({"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "dist": np.empty(0)})
 
 
 def _nearest(k: int, metric: str, exclude_self: bool, apart: bool):
     def run(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(b):
-            b = b.sort_values("id")
-            qv, bv, bid = _stacked(q["vec"]), _stacked(b["vec"]), b["id"].to_numpy()
-            if metric == "cosine":
-                qv, bv = _units(qv), _units(bv)
-            for a in range(0, len(q), 256):
-                d = _distances(qv[a : a + 256], bv, metric)
-                if exclude_self:
-                    d[q["id"].to_numpy()[a : a + 256, None] == bid[None, :]] = np.inf
-                if apart:
-                    d[q["part"].to_numpy()[a : a + 256, None] == b["part"].to_numpy()[None, :]] = np.inf
-                first = np.argsort(d, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(d, first, 1)
-                ok = np.isfinite(best)
-                out.append(pd.DataFrame({"i": np.repeat(q["id"].to_numpy()[a : a + 256], ok.sum(axis=1)), "j": bid[first[ok]], "dist": best[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "dist": np.empty(0)})
+        if not len(q) or not len(b):
+            return _nothing()
+        part = lambda df: df["part"].to_numpy() if apart else None
+        search = Search(_stacked(q["vec"]), q["id"].to_numpy(), _stacked(b["vec"]), b["id"].to_numpy(), k, metric, exclude_self, part(q), part(b))
+        return search.edges(lambda rows: [(None, 0, len(b))])
 
     return run
 
@@ -80,17 +210,28 @@ def top_k(edges: DataFrame, k: int, *order: str | Column) -> DataFrame:
 
 
 def block_pairs(q: DataFrame, b: DataFrame, kernel, schema: str, by: str | None = None) -> DataFrame:
-    """kernel(key, query rows, base rows) over every pair of a block of q and a block of b, within each value of `by`: each pair a task of bounded size. Both have an id."""
-    blocks = lambda df: max(1, -(-df.count() // BLOCK))
+    """kernel(key, query rows, base rows) over every pair of a block of q and a block of b, within each value of `by`: each pair a task of bounded size. Both have an id and a vec.
+
+    Rows are sent once a block of the other side, so there are as few blocks as BLOCK and BLOCK_VALUES and the use of all cores allow, about as many on either side.
+    """
+    spark = q.sparkSession
+
+    def blocks(df: DataFrame) -> int:
+        n, wide = df.agg(F.count("*"), F.max(F.size("vec"))).first()
+        return max(1, -(-n // max(1, min(BLOCK, BLOCK_VALUES // max(1, wide or 1)))))
+
     nb = blocks(b)
     nq = nb if q is b else blocks(q)
-    nq = max(nq, -(-partitions(q.sparkSession) // nb))
+    tasks = min(partitions(spark), 4 * spark.sparkContext.defaultParallelism)
+    while nq * nb < tasks:
+        nq, nb = (nq + 1, nb) if nq <= nb else (nq, nb + 1)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = q.withColumn("qb", own(nq)).withColumn("bb", spread(nb))
     right = b.withColumn("bb", own(nb)).withColumn("qb", spread(nq))
     right = right.toDF(*right.columns)  # apart from left, which may stem from the same tables
     key = [*([by] if by else []), "qb", "bb"]
+    left, right = (x.repartition(nq * nb, *key) for x in (left, right))
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(kernel, schema)
 
 

@@ -15,12 +15,14 @@ from tessera.functions import vec as V
 from tessera.functions.table import beside
 from tessera.session import bounded, prepare, written
 
-from .knn import BLOCK, _nearest, block_pairs, top_k
+from .knn import _nearest, block_pairs, top_k
 from .preprocess import column_stats
 from .stats import beta_tail
 
 #: Least p-value kept, and the clip of Cauchy combinations.
 P_FLOOR, P_CLIP = 1e-300, 1e-15
+#: Rows of cells' blocks that meet queries in a task.
+BLOCK = 4_096
 
 
 def separate_samples(rows: DataFrame) -> DataFrame:
