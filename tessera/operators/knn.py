@@ -36,7 +36,7 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.where(np.isfinite(n) & (n > 0), n, 1.0)[:, None]
 
 
-def _stretches(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stretches(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which stretch, place) of each element of stretches that start at `first` and have `count` elements."""
     which = np.repeat(np.arange(len(first)), count)
     return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
@@ -92,7 +92,7 @@ class Search:
         if exclude_self:  # where each query's id is among the base rows
             by = np.argsort(self.bid, kind="stable")
             lo, hi = (np.searchsorted(self.bid, qid, side, sorter=by) for side in ("left", "right"))
-            which, at = _stretches(lo, hi - lo)
+            which, at = stretches(lo, hi - lo)
             self.own_first, self.own = np.concatenate([[0], np.cumsum(hi - lo)]), by[at]
         self.exclude_self = exclude_self
 
@@ -108,7 +108,7 @@ class Search:
         if not self.known[start:stop].all():
             g[:, ~self.known[start:stop]] = np.inf
         if self.exclude_self:
-            which, at = _stretches(self.own_first[rows], self.own_first[rows + 1] - self.own_first[rows])
+            which, at = stretches(self.own_first[rows], self.own_first[rows + 1] - self.own_first[rows])
             at = self.own[at]
             here = (at >= start) & (at < stop)
             g[which[here], at[here] - start] = np.inf

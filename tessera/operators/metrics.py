@@ -12,7 +12,7 @@ from tessera.functions import vec as V
 from tessera.functions.table import beside
 from tessera.session import prepare, written
 
-from .knn import block_pairs, knn_graph
+from .knn import block_pairs, knn_graph, stretches
 from .stats import assignment
 
 
@@ -107,36 +107,58 @@ def sampled(rows: DataFrame, most: int | None, seed: int = 4) -> DataFrame:
     return written(rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(most), "sample")
 
 
-def _distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(np.square(q).sum(axis=1)[:, None] + np.square(b).sum(axis=1)[None, :] - 2 * q @ b.T, 0.0))
+#: Rows of both sides whose products are held at once.
+HELD = 256, 4_096
+
+
+def _squares(q: pd.DataFrame, b: pd.DataFrame):
+    """Both sides by label, and their squared distances piece by piece: (q's rows, b's rows, products); a row and itself (an equal id) as `same` of a piece."""
+    q, b = (d.sort_values("label", kind="stable") for d in (q, b))
+    x, y = (np.concatenate([np.asarray(v, float) for v in d["vec"]]).reshape(len(d), -1) for d in (q, b))
+    middle = (y / len(y)).sum(axis=0)
+    x, y = x - middle, y - middle  # near zero, differences of squares lose less
+    left = np.concatenate([-2 * x, np.ones((len(x), 1)), np.square(x).sum(axis=1)[:, None]], axis=1)
+    right = np.concatenate([y, np.square(y).sum(axis=1)[:, None], np.ones((len(y), 1))], axis=1)
+    ids, by = b["id"].to_numpy(), np.argsort(b["id"].to_numpy(), kind="stable")
+
+    def pieces():
+        for u in range(0, len(q), HELD[0]):
+            rows = slice(u, min(u + HELD[0], len(q)))
+            own = q["id"].to_numpy()[rows]
+            lo, hi = (np.searchsorted(ids, own, side, sorter=by) for side in ("left", "right"))
+            which, at = stretches(lo, hi - lo)
+            at = by[at]
+            for v in range(0, len(b), HELD[1]):
+                cols = slice(v, min(v + HELD[1], len(b)))
+                here = (at >= cols.start) & (at < cols.stop)
+                yield rows, cols, np.maximum(left[rows] @ right[cols].T, 0.0), (which[here], at[here] - v)
+
+    return q, b, x, y, pieces()
 
 
 def _class_sums(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """(id, label, k, s, n): the summed distances of each row of q to the rows of b of each label k, itself left out."""
     if not len(q) or not len(b):
         return pd.DataFrame({"id": [], "label": [], "k": [], "s": [], "n": []})
-    middle = np.array(b["vec"].tolist()).mean(axis=0)
-    x, y = (np.array(d["vec"].tolist()) - middle for d in (q, b))  # near zero, differences of squares lose less
+    q, b, _, _, pieces = _squares(q, b)
     classes, own = np.unique(b["label"].to_numpy(), return_inverse=True)
-    on = np.zeros((len(b), len(classes)))
-    on[np.arange(len(b)), own] = 1.0
-    out = []
-    for a in range(0, len(q), 512):
-        d = _distances(x[a : a + 512], y)
-        same = q["id"].to_numpy()[a : a + 512, None] == b["id"].to_numpy()[None, :]
+    s = np.zeros((len(q), len(classes)))
+    n = np.repeat(np.bincount(own, minlength=len(classes))[None], len(q), axis=0)
+    for rows, cols, d, same in pieces:
         d[same] = 0.0
-        out.append((d @ on, on.sum(axis=0)[None, :] - same @ on))
-    s, n = (np.concatenate(z) for z in zip(*out))
-    return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), len(classes)), "label": np.repeat(q["label"].to_numpy(), len(classes)), "k": np.tile(classes, len(q)), "s": s.ravel(), "n": n.ravel().astype(np.int64)})
+        np.sqrt(d, out=d)
+        starts = np.flatnonzero(np.diff(own[cols], prepend=-1))
+        s[rows, own[cols][starts]] += np.add.reduceat(d, starts, axis=1)
+        np.subtract.at(n, (same[0] + rows.start, own[same[1] + cols.start]), 1)
+    return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), len(classes)), "label": np.repeat(q["label"].to_numpy(), len(classes)), "k": np.tile(classes, len(q)), "s": s.ravel(), "n": n.ravel()})
 
 
-def silhouette(rows: DataFrame, most: int | None = 5_000, seed: int = 4) -> DataFrame:
+def silhouette(rows: DataFrame, most: int | None = None, seed: int = 4) -> DataFrame:
     """rows(id, label, vec) -> (label, n, silhouette), and the mean over all rows (label null): (b - a) / max(a, b) from mean Euclidean distances.
 
     a: to the other rows of the class, b: the least mean to another class. A class of one row scores 0; with
     one class there is none (null). Rows without a label or a finite vector take no part. The distances of
-    all pairs are needed, so of more than `most` rows a sample of as many counts, by their ids' hashes; None: all rows,
-    in pairs of blocks.
+    all pairs are needed: all rows meet in pairs of blocks. A caller may ask for a sample of `most` rows, by their ids' hashes.
     """
     prepare(rows.sparkSession)
     own = sampled(finite(rows), most, seed)
@@ -150,7 +172,7 @@ def silhouette(rows: DataFrame, most: int | None = 5_000, seed: int = 4) -> Data
     return r.withColumn("s", s).rollup("label").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"))
 
 
-def silhouette_summary(rows: DataFrame, most: int | None = 5_000, seed: int = 4) -> DataFrame:
+def silhouette_summary(rows: DataFrame, most: int | None = None, seed: int = 4) -> DataFrame:
     """(silhouette, silhouette_class_min): the mean over all rows, and the least class's."""
     by = silhouette(rows, most, seed)
     return by.agg(F.max(F.when(F.col("label").isNull(), F.col("silhouette"))).alias("silhouette"), F.min(F.when(F.col("label").isNotNull(), F.col("silhouette"))).alias("silhouette_class_min"))
@@ -160,21 +182,32 @@ def _extremes(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """(intra, inter): the largest distance of two rows of a class, the least of two rows of different classes."""
     intra, inter = -np.inf, np.inf
     if len(q) and len(b):
-        x, y = (np.array(d["vec"].tolist()) for d in (q, b))
-        for a in range(0, len(q), 512):
-            d = _distances(x[a : a + 512], y)
-            same = q["label"].to_numpy()[a : a + 512, None] == b["label"].to_numpy()[None, :]
-            other = q["id"].to_numpy()[a : a + 512, None] != b["id"].to_numpy()[None, :]
-            intra = max(intra, d[same & other].max(initial=-np.inf))
-            inter = min(inter, d[~same].min(initial=np.inf))
-    return pd.DataFrame({"intra": [intra], "inter": [inter]})
-
-
-def scatter(rows: DataFrame, most: int | None = 2_000, seed: int = 4) -> DataFrame:
+        q, b, x, y, pieces = _squares(q, b)
+        lx, ly = q["label"].to_numpy(), b["label"].to_numpy()
+        slack = 2.0**-44 * (np.square(x).sum(axis=1).max() + np.square(y).sum(axis=1).max())  # of a product; the least distances are computed anew
+        for rows, cols, d, same in pieces:
+            alike = []
+            for label in np.unique(lx[rows]):
+                u, v = (slice(*(np.searchsorted(z, label, side) for side in ("left", "right"))) for z in (lx[rows], ly[cols]))
+                if v.start < v.stop:
+                    alike.append((u, v))
+            d[same] = -np.inf
+            for u, v in alike:
+                intra = max(intra, d[u, v].max())
+                d[u, v] = np.inf
+            d[same] = np.inf
+            least = d.min()
+            if np.isfinite(least) and least <= inter + slack:
+                r, c = np.nonzero(d <= least + slack)
+                inter = min(inter, *(np.square(x[rows][r[a : a + 4096]] - y[cols][c[a : a + 4096]]).sum(axis=1).min() for a in range(0, len(r), 4096)), np.inf)
+    return pd.DataFrame({"intra": [np.sqrt(intra) if intra >= 0 else intra], "inter": [np.sqrt(inter)]})
+
+
+def scatter(rows: DataFrame, most: int | None = None, seed: int = 4) -> DataFrame:
     """rows(id, label, vec) -> (within, between, calinski_harabasz, davies_bouldin, separation_ratio, dunn).
 
     davies_bouldin from the root mean squared distances to the centroids; dunn: the least distance of two rows of different classes over
-    the largest of two of one, of all rows or of a sample of `most`. With fewer than two classes, or as many as
+    the largest of two of one, of all rows (or, if a caller asks, of a sample of `most`). With fewer than two classes, or as many as
     rows, all are null.
     """
     prepare(rows.sparkSession)
@@ -215,8 +248,8 @@ def graph_purity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return by.agg(F.sum("n").alias("edges"), (F.sum("s") / F.sum("n")).alias("purity"), F.avg(F.col("s") / F.col("n")).alias("mean_row_purity"))
 
 
-def neighbor_purity(rows: DataFrame, k: int = 15, most: int | None = 3_000, seed: int = 17) -> DataFrame:
-    """rows(id, label, vec) -> (n, purity): the mean share of a row's k nearest others that have its label, of all rows or of a sample of `most`; null for fewer than k + 2 rows."""
+def neighbor_purity(rows: DataFrame, k: int = 15, most: int | None = None, seed: int = 17) -> DataFrame:
+    """rows(id, label, vec) -> (n, purity): the mean share of a row's k nearest others that have its label, of all rows (or, if a caller asks, of a sample of `most`); null for fewer than k + 2 rows."""
     own = sampled(finite(rows), most, seed)
     n = own.count()
     if n < k + 2:
@@ -286,14 +319,14 @@ def _edge_agreement(graph: DataFrame, labels: DataFrame, prefixes: list[int], mo
     return met.select("i", "j", *((V.total(F.slice("same", 1, m)) / m).alias(f"a{n}") for n, m in enumerate(prefixes)))
 
 
-def agreement_quantiles(graph: DataFrame, labels: DataFrame, at: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), most: int | None = 100_000, seed: int = 812) -> DataFrame:
+def agreement_quantiles(graph: DataFrame, labels: DataFrame, at: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), most: int | None = None, seed: int = 812) -> DataFrame:
     """graph(i, j), labels(run, id, label) -> (edges, q0, q10, ...): quantiles, interpolated, of the edges' share of runs in which both ends have one label."""
     runs = labels.select("run").distinct().count()
     e = _edge_agreement(graph, labels, [runs], most, seed)
     return e.agg(F.count("*").alias("edges"), *(F.percentile("a0", F.lit(q)).alias(f"q{round(100 * q)}") for q in at))
 
 
-def prefix_agreement(graph: DataFrame, labels: DataFrame, prefixes: tuple[int, ...] = (10, 20, 50, 100), most: int | None = 1_000_000, seed: int = 9095) -> DataFrame:
+def prefix_agreement(graph: DataFrame, labels: DataFrame, prefixes: tuple[int, ...] = (10, 20, 50, 100), most: int | None = None, seed: int = 9095) -> DataFrame:
     """graph(i, j), labels(run, id, label) -> (prefix, edges, mean_agreement, sd_agreement): the edges' agreement over the first runs; prefixes beyond the runs are all runs."""
     runs = labels.select("run").distinct().count()
     use = sorted({min(p, runs) for p in prefixes})

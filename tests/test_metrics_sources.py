@@ -70,6 +70,25 @@ def test_silhouette_against_pairs(spark, monkeypatch):
     assert {r.label: r.n for r in M.silhouette(odd).collect()} == {0: 20, 1: 19, 2: 1, None: 40}
 
 
+def test_metrics_take_all_rows(spark, monkeypatch):
+    """Beyond the numbers of rows and edges that samples had."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(5_200, 2)).round(2), rng.integers(0, 3, 5_200)
+    f = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, vec array<double>, label int").cache()
+    assert {r.label: r.n for r in M.silhouette(f).collect()} == {**{c: int((y == c).sum()) for c in range(3)}, None: 5_200}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    same = y[:, None] == y[None]
+    assert M.scatter(f).first().dunn == d[~same].min() / d[same].max() == 0
+    apart = f.withColumn("vec", F.transform("vec", lambda v: v + 20 * F.col("label")))
+    z = x + 20 * y[:, None]
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    assert np.isclose(M.scatter(apart).first().dunn, d[~same].min() / d[same].max(), rtol=1e-12)
+    assert M.neighbor_purity(f, 5).first().n == 5_200
+    ring = spark.range(130_000).select(F.col("id").alias("i"), ((F.col("id") + 1) % 130_000).alias("j"))
+    runs = spark.range(130_000).select(F.lit(1).alias("run"), "id", (F.col("id") % 2).alias("label"))
+    assert M.agreement_quantiles(ring, runs).first().edges == 130_000
+
+
 def test_four_points(spark):
     """Two classes of two points each on a line: 0, 2 and 5, 9."""
     f = spark.createDataFrame([(1, [0.0], 0), (2, [2.0], 0), (3, [5.0], 1), (4, [9.0], 1)], "id long, vec array<double>, label int")
