@@ -226,17 +226,24 @@ RUN = "run int, id long, label long, pred long, best boolean, cycle int, accurac
 CYCLE = ("run", "cycle", "accuracy", "score", "proposal_size", "active_classes", "accepted", "improving", "temperature")
 
 
-def optimize(rows: DataFrame, neighbours: DataFrame, o: Options, run: str = "run", most: int = 50_000) -> DataFrame:
+#: Bytes that a run's rows may come to in its task, and what a neighbour and a number of a vector come to there (as measured at its peak).
+MOST_BYTES, NEIGHBOUR_BYTES, VALUE_BYTES = 4 << 30, 180, 32
+
+
+def optimize(rows: DataFrame, neighbours: DataFrame, o: Options, run: str = "run", most: int | None = None) -> DataFrame:
     """One optimisation for each run: rows(run, id, label, grp, fixed, fold), neighbours(run, i, rank, j, dist) of other folds.
 
     Returns two kinds of rows: best = true: (run, id, label, pred) of the best state, with its accuracy and
     score; best = false: CYCLE, with the best accuracy and score so far after each cycle, the groups that the
     cycle proposed to relabel, the classes after it, and whether the proposal was accepted, as it improves or by
     temperature. Run r is seeded with
-    seed + r, so replays are equal. A run's rows meet in one task; their number is checked against `most`.
+    seed + r, so replays are equal. A run's rows meet in one task; what they come to is checked against MOST_BYTES, their number against `most` if that is given.
     """
     prepare(rows.sparkSession)
+    knn = o.classifier == "knn"
+    wide = neighbours.agg(F.max("rank")).first()[0] if knn else rows.agg(F.max(F.size("vec"))).first()[0]
     largest = rows.groupBy(run).count().agg(F.max("count")).first()[0] or 0
+    most = MOST_BYTES // (100 + (NEIGHBOUR_BYTES if knn else VALUE_BYTES) * (wide or 1)) if most is None else most
     if largest > most:
         raise TooLarge(f"{largest} rows in one run; take fewer landmarks")
 
@@ -246,7 +253,7 @@ def optimize(rows: DataFrame, neighbours: DataFrame, o: Options, run: str = "run
         if not len(ids):
             return pd.DataFrame(columns=[c.split()[0] for c in RUN.split(", ")])
         width = int(e["rank"].max()) if len(e) else 1
-        near, score = np.full((len(ids), width), -1), np.zeros((len(ids), width))
+        near, score = np.full((len(ids), width), -1, np.int32), np.zeros((len(ids), width))
         i, j = np.searchsorted(ids, e["i"].to_numpy()), np.searchsorted(ids, e["j"].to_numpy())
         near[i, e["rank"].to_numpy() - 1] = j
         score[i, e["rank"].to_numpy() - 1] = -np.square(e["dist"].to_numpy())

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import ensemble, metrics, optimizer
 from tessera.session import TooLarge
@@ -112,6 +113,15 @@ def test_kernels_check_their_size(spark):
         optimizer.optimize(rows, none, optimizer.Options(), most=20)
 
 
+@pytest.mark.parametrize("classifier", ["knn", "pls-lda"])
+def test_a_run_of_more_than_fifty_thousand_rows(spark, classifier):
+    vec = F.array(*(F.rand(c) + (F.col("id") % 2) for c in range(2)))
+    rows = spark.range(50_500).select(F.lit(1).alias("run"), "id", (F.col("id") % 4).alias("label"), F.col("id").alias("grp"), F.lit(False).alias("fixed"), (F.col("id") % 5).cast("int").alias("fold"), vec.alias("vec"))
+    near = spark.range(50_500).select(F.lit(1).alias("run"), F.col("id").alias("i"), F.lit(1).alias("rank"), ((F.col("id") + 1) % 50_500).alias("j"), F.lit(1.0).alias("dist"))
+    found = optimizer.optimize(rows, near, optimizer.Options(cycles=1, classifier=classifier, components=2))
+    assert found.where("best").count() == 50_500 and found.where("not best").count() == 1
+
+
 @pytest.mark.parametrize("mode", [0, 1, -1])
 def test_spatial_groups_stay_in_their_sample(spark, mode):
     rng = np.random.default_rng(4)
