@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import embed, ensemble, graph
 from tessera.operators.knn import knn_graph
@@ -119,6 +120,25 @@ def test_affinities_and_layouts(spark):
         embed.tsne_layout(p, start, 30.0)
 
 
+@pytest.mark.parametrize("spread", [1e-4, 1.0, 30.0, 60.0])
+def test_repulsion_by_a_grid_against_all_pairs(spread):
+    rng = np.random.default_rng(2)
+    y = spread * np.concatenate([rng.normal(size=(700, 2)), 0.05 * rng.normal(size=(700, 2)) + 1])
+    (z, away), (want_z, want) = embed.Repulsion()(y), embed._paired(y)
+    assert abs(z / want_z - 1) < 0.01 and np.linalg.norm(away - want) < 0.02 * np.linalg.norm(want)
+
+
+def test_layouts_of_more_points_than_pairs_allow(spark):
+    """Beyond 5,000 points t-SNE raised TooLarge, beyond 20,000 UMAP and the spectral start did."""
+    n = 20_100
+    ring = spark.range(n).select(F.col("id").alias("i"), ((F.col("id") + 1) % n).alias("j"))
+    e = ring.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.lit(0.5 / n).alias("w"))
+    start = spark.range(n).select("id", F.array(F.cos(2 * np.pi * F.col("id") / n), F.sin(2 * np.pi * F.col("id") / n)).alias("vec"))
+    for y in (embed.tsne_layout(e, start, 10.0, (3, 12.0), 3), embed.umap_layout(e, start, epochs=2), embed.spectral_start(e, start)):
+        y = np.array([r.vec for r in y.collect()])
+        assert y.shape == (n, 2) and np.isfinite(y).all()
+
+
 def test_laplacian_features_against_numpy(spark):
     """Power iterations of the dense normalised matrix from the same hashed normal numbers span the same features."""
     rng = np.random.default_rng(4)
