@@ -106,7 +106,7 @@ def s6_spatial_container(spark, sf_dir):
 def s8_single_cell_reduction(spark, sf_dir):
     """Two reductions of named cells, of which one is taken, in 8 dimensions, with coordinates from two images."""
     f = features(spark, sf_dir).withColumn("cell", F.format_string("c%05d", F.col("id")))
-    both = f.select(F.lit("pca").alias("reduction"), "cell", "vec").union(f.select(F.lit("other"), "cell", F.slice("vec", 1, 3)))
+    both = f.select(F.lit("pca").alias("reduction"), "cell", "vec", F.col("id").alias("place")).union(f.select(F.lit("other"), "cell", F.slice("vec", 1, 3), "id"))
     images = f.select(F.concat(F.lit("slide"), (F.col("id") % 2).cast("string")).alias("image"), "cell", F.get("vec", 0).alias("x"), F.get("vec", 1).alias("y"))
     got = matrices.single_cell(both, "pca", 8, images)
     rows = got.names.join(got.features, "id").join(got.points.withColumnRenamed("vec", "xy"), "id")

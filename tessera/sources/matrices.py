@@ -105,7 +105,8 @@ def container(table: DataFrame, id: str, vec: str, coordinates: tuple[str, ...]
 
 
 def single_cell(reductions: DataFrame, reduction: str, dims: int | None = None, images: DataFrame | None = None) -> Container:
-    """reductions(reduction, cell, vec), images(image, cell, x, y): the named reduction's cells, numbered in order of their names from 0, with their coordinates, an image a sample.
+    """reductions(reduction, cell, vec[, place]), images(image, cell, x, y): the named reduction's cells, numbered from 0 in order of their place in the container (where none is
+    told, of their names), with their coordinates, an image a sample.
 
     ValueError if there is no such reduction, it has fewer dimensions, or a cell is in no image. A cell in several images counts in the one that sorts last.
     """
@@ -115,7 +116,8 @@ def single_cell(reductions: DataFrame, reduction: str, dims: int | None = None,
     if own.isEmpty():
         known = sorted(r.reduction for r in reductions.select("reduction").distinct().limit(100).collect())
         raise ValueError(f"no reduction {reduction}; there are {', '.join(known)}")
-    rows = numbered(own.select("cell", "vec"), "cell").withColumn("id", (F.col("number") - 1).cast("long"))
+    order = ["place", "cell"] if "place" in own.columns else ["cell"]
+    rows = numbered(own.select("vec", *order), *order).withColumn("id", (F.col("number") - 1).cast("long"))
     if images is not None:
         place = images.groupBy("cell").agg(F.max_by(F.struct("image", "x", "y"), "image").alias("at"))
         rows = rows.join(place, "cell", "left").select("id", "cell", "vec", F.col("at.image").alias("sample"), F.col("at.x").alias("x"), F.col("at.y").alias("y"))

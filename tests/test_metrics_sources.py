@@ -145,3 +145,17 @@ def test_manifolds(spark, kind, dims):
         assert np.allclose(np.abs(got[:, 0] * np.sin(u)), np.abs(got[:, 1] * np.cos(u)), atol=1e-9) and r.max() <= 1
     with pytest.raises(ValueError):
         matrices.manifold(spark, "plane", 3)
+
+
+def test_cells_are_numbered_by_place_beyond_five_digits(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.range(99_995, 100_006).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda c: (c * F.col("id") / 1000).cast("float")).alias("embedding"), F.lit(0).alias("label")).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = con.execute(entry.oracle_sql()["s8_single_cell_reduction"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["s8_single_cell_reduction"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and (4, "c99999") in {r[:2] for r in got} and (5, "c100000") in {r[:2] for r in got}
