@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,6 +82,7 @@ class Search:
         order = np.lexsort((ny,) if group is None else (ny, group))
         y, self.nb, self.b, self.bid, self.known = y[order], ny[order], b[order], bid[order], known[order]
         self.q, self.qid, self.qpart, self.bpart, self.fine = q, qid, qpart, None if bpart is None else bpart[order], fine
+        self.group = None if group is None else group[order]
         self.rounding = (q.shape[1] + 8) * 2.0**-24 * 1.05
         self.least = 1e-30 if metric == "euclidean" else 2.0**-48 * scale**2  # 1 - dot is rounded, and a cosine's distance is cut at 0
         if metric == "euclidean":
@@ -129,7 +130,7 @@ class Search:
 
     def nearest(self, rows: np.ndarray, parts: list[tuple[np.ndarray | None, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, base row, distance) of the nearest; parts: (which of `rows` look, None for all; the stretch of base rows that they look at)."""
-        rows = rows[self.fine[rows]] if all(mine is None for mine, _, _ in parts) else rows
+        fine = np.flatnonzero(self.fine[rows])
         k, cut = self.k, np.full(len(rows), np.inf)  # the k-th nearest so far is at most this far
         pool = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))]  # place in rows, base row, least and most that its distance can be
         held, kept = 0, 0
@@ -153,7 +154,7 @@ class Search:
             held = kept = len(r)
 
         for mine, start, stop in parts:
-            own = np.arange(len(rows)) if mine is None else mine[self.fine[rows[mine]]]
+            own = fine if mine is None else mine[self.fine[rows[mine]]]
             if not len(own):
                 continue
             left = self.left[rows[own]]
@@ -209,6 +210,15 @@ def top_k(edges: DataFrame, k: int, *order: str | Column) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("i", "rank", "j", "dist")
 
 
+def _blocks(spark: SparkSession, q: tuple[int, int | None], b: tuple[int, int | None]) -> tuple[int, int]:
+    """Into how many blocks both sides, of (rows, numbers a vector), are dealt."""
+    least = lambda rows, wide: max(1, -(-rows // max(1, min(BLOCK, BLOCK_VALUES // max(1, wide or 1)))))
+    nq, nb = least(*q), least(*b)
+    while nq * nb < min(partitions(spark), 4 * spark.sparkContext.defaultParallelism):
+        nq, nb = (nq + 1, nb) if nq * b[0] <= nb * q[0] else (nq, nb + 1)
+    return nq, nb
+
+
 def block_pairs(q: DataFrame, b: DataFrame, kernel, schema: str, by: str | None = None) -> DataFrame:
     """kernel(key, query rows, base rows) over every pair of a block of q and a block of b, within each value of `by`: each pair a task of bounded size. Both have an id and a vec.
 
@@ -216,15 +226,9 @@ def block_pairs(q: DataFrame, b: DataFrame, kernel, schema: str, by: str | None
     """
     spark = q.sparkSession
 
-    def blocks(df: DataFrame) -> int:
-        n, wide = df.agg(F.count("*"), F.max(F.size("vec"))).first()
-        return max(1, -(-n // max(1, min(BLOCK, BLOCK_VALUES // max(1, wide or 1)))))
-
-    nb = blocks(b)
-    nq = nb if q is b else blocks(q)
-    tasks = min(partitions(spark), 4 * spark.sparkContext.defaultParallelism)
-    while nq * nb < tasks:
-        nq, nb = (nq + 1, nb) if nq <= nb else (nq, nb + 1)
+    size = lambda df: df.agg(F.count("*"), F.max(F.size("vec"))).first()
+    of_b = size(b)
+    nq, nb = _blocks(spark, of_b if q is b else size(q), of_b)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = q.withColumn("qb", own(nq)).withColumn("bb", spread(nb))
@@ -291,39 +295,89 @@ def ivf_centroids(rows: DataFrame, lists: int | None = None, steps: int = 8, see
     return c
 
 
+def _listed(k: int, exclude_self: bool):
+    """As _nearest, of base rows in lists and queries that look into `lists` of them only."""
+
+    def run(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return _nothing()
+        search = Search(_stacked(q["vec"]), q["id"].to_numpy(), _stacked(b["vec"]), b["id"].to_numpy(), k, "euclidean", exclude_self, group=b["list"].to_numpy())
+        known = np.unique(search.group)
+        first, last = np.searchsorted(search.group, known, "left"), np.searchsorted(search.group, known, "right")
+        asked = q["lists"].to_numpy()
+
+        def parts(rows: np.ndarray) -> list[tuple[np.ndarray | None, int, int]]:
+            which = np.repeat(np.arange(len(rows)), [len(asked[r]) for r in rows])
+            at = np.concatenate([asked[r] for r in rows])
+            place = np.minimum(np.searchsorted(known, at), len(known) - 1)
+            there = known[place] == at
+            which, place = which[there], place[there]
+            if len(which) == len(rows) * len(known):
+                return [(None, 0, len(b))]
+            order = np.argsort(place, kind="stable")
+            cuts = np.searchsorted(place[order], np.arange(len(known) + 1))
+            return [(which[order[x:y]], first[n], last[n]) for n, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if x < y]
+
+        return search.edges(parts)
+
+    return run
+
+
 def ivf_join(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray, probes: int, exclude_self: bool = False) -> DataFrame:
     """Approximate Euclidean k nearest: every base row is indexed by its nearest centroid, a query looks into its nearest `probes` lists.
 
-    The centroids are few (at most 4,096) and broadcast. Lists are split in blocks of BLOCK rows, so that a
-    crowded list is several tasks; distances within them are exact.
+    The centroids are few (at most 4,096) and broadcast. Base rows are dealt to blocks by list (a crowded list to several), and a query goes
+    once to each block that holds lists of its own, with their numbers, however many they are; distances within lists are exact.
     """
     spark = queries.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(centroids)
     probes = min(probes, len(centroids))
-
-    def lists(n: int):
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            c = shared.value
-            for pdf in it:
-                x = _stacked(pdf["vec"])
-                d = (c**2).sum(axis=1)[None] - 2 * x @ c.T
-                near = np.argsort(d, axis=1, kind="stable")[:, :n]
-                yield pdf.loc[pdf.index.repeat(n)].assign(list=near.ravel().astype(np.int64))
-
-        return run
-
-    shaped = lambda df: df.select(F.col("id").cast("long").alias("id"), vec.doubles(F.col("vec")).alias("vec"), F.lit(0).cast("long").alias("part")).where("id is not null and vec is not null")
-    schema = "id long, vec array<double>, part long, list long"
-    b = written(shaped(base).mapInPandas(lists(1), schema), "ivf")
-    sizes = b.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    b = b.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))  # sizes: at most 4,096 rows
-    q = shaped(queries).mapInPandas(lists(probes), schema).join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    q = q.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4)))
-    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    shaped = lambda df: df.select(F.col("id").cast("long").alias("id"), vec.doubles(F.col("vec")).alias("vec")).where("id is not null and vec is not null")
+
+    def distances(x: np.ndarray) -> np.ndarray:
+        c = shared.value
+        return (c**2).sum(axis=1)[None] - 2 * x @ c.T
+
+    def listed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                yield pdf.assign(list=distances(_stacked(pdf["vec"])).argmin(axis=1))
+
+    b = written(shaped(base).mapInPandas(listed, "id long, vec array<double>, list long"), "ivf")
+    lists = sorted((r.list, r.n) for r in b.groupBy("list").agg(F.count("*").alias("n")).collect())  # at most 4,096 rows
+    wide, n = centroids.shape[1], sum(c for _, c in lists)
+    if not n:
+        return spark.createDataFrame([], "i long, rank int, j long, dist double")
+    nq, nb = _blocks(spark, (queries.count(), wide), (n, wide))
+    size = -(-n // nb)  # rows of a block: lists follow one another, and are cut where a block ends
+    starts = np.cumsum([0] + [c for _, c in lists])
+    table = spark.createDataFrame([(int(v), int(c), int(s)) for (v, c), s in zip(lists, starts)], "list long, _n long, _start long")
+    b = b.join(F.broadcast(table), "list").withColumn("bb", ((F.col("_start") + F.pmod(F.xxhash64("id"), F.col("_n"))) / size).cast("int"))
+    held = [[v for (v, c), s in zip(lists, starts) if s < (x + 1) * size and s + c > x * size] for x in range(nb)]
+    place = spark.sparkContext.broadcast([np.isin(np.arange(len(centroids)), h) for h in held])
+
+    def asked(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for a in range(0, len(pdf), 1_024):
+                some = pdf.iloc[a : a + 1_024]
+                d = distances(_stacked(some["vec"]))
+                mine = np.ones(d.shape, bool)
+                if probes < d.shape[1]:
+                    mine[:] = False
+                    np.put_along_axis(mine, np.argsort(d, axis=1, kind="stable")[:, :probes], True, axis=1)
+                for bb, here in enumerate(place.value):
+                    own = mine & here
+                    at = np.flatnonzero(own.any(axis=1))
+                    if len(at):
+                        yield some.iloc[at].assign(bb=bb, lists=[np.flatnonzero(own[r]).astype(np.int32) for r in at])
+
+    block = F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")
+    q = shaped(queries).mapInPandas(asked, "id long, vec array<double>, bb int, lists array<int>").withColumn("qb", block)
+    b = b.select("id", "vec", "list", "bb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     q = q.toDF(*q.columns)  # apart from b, which may stem from the same tables
-    met = q.groupBy("list", "block", "salt").cogroup(b.groupBy("list", "block", "salt")).applyInPandas(_nearest(k, "euclidean", exclude_self, False), "i long, j long, dist double")
-    return top_k(met, k)
+    q, b = (x.repartition(nq * nb, "qb", "bb") for x in (q, b))
+    return top_k(q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(_listed(k, exclude_self), "i long, j long, dist double"), k)
 
 
 def tuned_probes(rows: DataFrame, k: int, centroids: np.ndarray, target: float = 0.99, pilot: int = 128) -> tuple[int, float]:

@@ -110,3 +110,24 @@ def test_a_pair_of_blocks_takes_seconds():
     start = time.process_time()
     out = knn._nearest(15, "euclidean", True, False)((0, 0), block, block)
     assert len(out) == 15 * len(x) and time.process_time() - start < 12  # 50 to 90 s by a fold over dimensions and a sort of each row
+
+
+def test_ivf_sends_a_query_once_a_block(spark, monkeypatch):
+    """However many lists it looks into: rows sent to the join don't grow with the probes."""
+    x = np.random.default_rng(8).normal(size=(900, 6)).round(1)
+    f = frame(spark, x)
+    c = knn.ivf_centroids(f)
+    monkeypatch.setattr(knn, "BLOCK", 300)
+    out = knn.ivf_join(f, f, 5, c, len(c), exclude_self=True)
+    assert rows(out) == brute(x, x, 5, True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lists" in plan and plan.count("MapInPandas") == 1
+    some = knn.ivf_join(f, f, 5, c, 3, exclude_self=True)
+    lists = ((c**2).sum(axis=1)[None] - 2 * x @ c.T)
+    own, near = lists.argmin(axis=1), np.argsort(lists, axis=1, kind="stable")[:, :3]
+    want = []
+    for i in range(len(x)):
+        may = [j for j in range(len(x)) if j != i and own[j] in near[i]]
+        d = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in may)
+        want += [(i, r + 1, j, round(v, 9)) for r, (v, j) in enumerate(d[:5])]
+    assert rows(some) == want
