@@ -139,6 +139,30 @@ def test_layouts_of_more_points_than_pairs_allow(spark):
         assert y.shape == (n, 2) and np.isfinite(y).all()
 
 
+def test_sparse_walks_give_the_clusters_of_dense_ones(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 1, (60, 3)) for c in (0, 4, 8)])
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    near = np.argsort(d, axis=1)[:, 1:8]
+    e = sorted({(min(i, int(j)), max(i, int(j))) for i in range(len(x)) for j in near[i]})
+    a, b = np.array(e).T
+    w = 1 / (1 + np.sqrt(d[a, b]))
+    for target in (0, 5):
+        dense = graph.walk_clusters(len(x), a, b, w, 4, target)
+        with monkeypatch.context() as m:
+            m.setattr(graph, "MOST_DENSE", 10)
+            assert np.array_equal(graph.walk_clusters(len(x), a, b, w, 4, target), dense)
+
+
+def test_more_than_four_thousand_rows_are_clustered(spark):
+    """Pairs of rows, more of them than walks took."""
+    n = 4_200
+    nodes = spark.range(n)
+    e = nodes.where("id % 2 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1.0).alias("w"))
+    got = {r.id: r.cluster for r in graph.walktrap(e, nodes).collect()}
+    assert len(got) == n and all(got[i] == got[i + 1] for i in range(0, n, 2)) and len(set(got.values())) == n // 2
+
+
 def test_laplacian_features_against_numpy(spark):
     """Power iterations of the dense normalised matrix from the same hashed normal numbers span the same features."""
     rng = np.random.default_rng(4)
