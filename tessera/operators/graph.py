@@ -359,24 +359,38 @@ def cluster_graph(edges: DataFrame, nodes: DataFrame, weight: str = "distance",
     return walktrap(written(weigh(edges, weight, prune, mutual), "weights"), nodes, steps, target)
 
 
+#: Components that are bridged: their shortest tree takes as many steps of as many distances.
+MOST_PARTS = 50_000
+
+
+def _shortest_tree(x: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of the shortest tree over points, from the first on; ties go to the end joined first, then to the smaller one. One row of distances is held at a time."""
+    left, near, far, at = np.arange(1, len(x)), x[1:].copy(), np.full(len(x) - 1, np.inf), np.zeros(len(x) - 1, int)
+    joined, out = [0], []
+    while len(left):
+        d = np.sqrt(((x[joined[-1]] - near) ** 2).sum(axis=1))
+        closer = d < far
+        far[closer], at[closer] = d[closer], len(joined) - 1
+        ties = np.flatnonzero(far == far.min())
+        k = ties[np.lexsort((left[ties], at[ties]))[0]]
+        out.append((joined[at[k]], int(left[k])))
+        joined.append(int(left[k]))
+        last = len(left) - 1  # the last takes its place
+        left[k], near[k], far[k], at[k] = left[last], near[last], far[last], at[last]
+        left, near, far, at = left[:last], near[:last], far[:last], at[:last]
+    return out
+
+
 def bridged(edges: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """edges(a, b, w) with its components joined by a shortest tree over their centroids, each bridge of the median weight between the rows of smallest id. Components are few and meet on the driver."""
     parts = written(components(edges, nodes), "parts")
     long = rows.select("id", F.posexplode(V.doubles(F.col("vec"))).alias("c", "v")).join(parts, "id").groupBy("component", "c").agg(F.avg("v").alias("v"))
-    found = long.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda p: p["v"]).alias("m")).orderBy("component")
-    bounded(found, 5_000, "components to bridge")
-    found = found.collect()
+    found = written(long.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda p: p["v"]).alias("m")), "centroids")
+    bounded(found, MOST_PARTS, "components to bridge")
+    found = sorted(found.collect())
     if len(found) < 2:
         return edges.select("a", "b", "w")
-    x, ids = np.array([r.m for r in found]), [r.component for r in found]
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-    joined, bridges = [0], []
-    while len(joined) < len(ids):
-        sub = d[joined].copy()
-        sub[:, joined] = np.inf
-        k, j = np.unravel_index(int(np.argmin(sub)), sub.shape)
-        bridges.append((min(ids[joined[k]], ids[j]), max(ids[joined[k]], ids[j])))
-        joined.append(int(j))
+    bridges = [(min(e), max(e)) for e in ((found[i].component, found[j].component) for i, j in _shortest_tree(np.array([r.m for r in found])))]
     w = edges.agg(F.median("w")).first()[0] or 1.0
     return edges.select("a", "b", "w").union(edges.sparkSession.createDataFrame([(*b, float(w)) for b in bridges], "a long, b long, w double"))
 

@@ -139,6 +139,28 @@ def test_layouts_of_more_points_than_pairs_allow(spark):
         assert y.shape == (n, 2) and np.isfinite(y).all()
 
 
+def test_shortest_tree_against_all_distances():
+    """Also with many equal distances, as a table of all of them gave it."""
+    for x in (np.random.default_rng(1).normal(size=(60, 3)), np.random.default_rng(1).integers(0, 4, (50, 2)).astype(float)):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        joined, want = [0], []
+        while len(joined) < len(x):
+            sub = d[joined].copy()
+            sub[:, joined] = np.inf
+            k, j = np.unravel_index(int(np.argmin(sub)), sub.shape)
+            want.append((joined[k], int(j)))
+            joined.append(int(j))
+        assert graph._shortest_tree(x) == want
+
+
+def test_more_than_five_thousand_components_are_bridged(spark):
+    n = 10_400
+    rows = spark.range(n).select("id", F.array(F.expr("id div 2").cast("double"), F.lit(0.0)).alias("vec"))
+    e = rows.where("id % 2 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1.0).alias("w"))
+    got = {(r.a, r.b) for r in graph.bridged(e, rows, rows).collect()}
+    assert got == {(i, i + 1) for i in range(0, n, 2)} | {(i, i + 2) for i in range(0, n - 2, 2)}
+
+
 def test_sparse_walks_give_the_clusters_of_dense_ones(monkeypatch):
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(c, 1, (60, 3)) for c in (0, 4, 8)])
